@@ -1,7 +1,7 @@
 """Toxicity by cumulative-link ordinal regression.
 
 P(grade >= k) = sigmoid(w . x - threshold_k) for k = 1, 2, 3: one weight vector, ordered thresholds. x is sparse: log(1 + count) of
-the words of a vocabulary chosen by how far their documents' labels differ. Expected severity is the sum of the three probabilities.
+words and word beginnings (three and five letters) from a vocabulary chosen by how far their documents' labels differ. Expected severity is the sum of the three probabilities.
 
 Labels are 0 or 1, so the grades of toxic training documents come from how dense their telling words are: thirds of the training
 documents' density (1 mild, 2 clear, 3 dense). The vocabulary, the grades and the fit use a sample bounded by MAX_DOCS; scoring reads
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import sample_by_hash
 
-MAX_DOCS, MAX_WORDS, MIN_DOCS = 8000, 2000, 5
+MAX_DOCS, MAX_WORDS, MIN_DOCS = 8000, 3000, 5
 GRADES = 3
+#: Words whose features a worker remembers.
+MEMO = 300_000
 
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -34,17 +36,39 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_WORD_BYTES).split()
 
 
-def _distinct_words(text: Column) -> Column:
+def _names(word: bytes) -> list[str]:
+    """The features of a word: itself and, where it is longer, its first three and five letters."""
+    w = word.decode("utf-8", "replace")
+    return [w, *("^" + w[:n] for n in (3, 5) if len(w) > n)]
+
+
+def _counts(text: str | None, place: dict[str, int], memo: dict[bytes, tuple[int, ...]]) -> tuple[Counter, int]:
+    """How often each feature of the vocabulary occurs in a text, and the text's words. memo: the features of words met before."""
+    words, out = _words(text), Counter()
+    if len(memo) > MEMO:
+        memo.clear()
+    for w, n in Counter(words).items():
+        if (at := memo.get(w)) is None:
+            at = memo[w] = tuple(place[x] for x in _names(w) if x in place)
+        for i in at:
+            out[i] += n
+    return out, len(words)
+
+
+def _distinct_names(text: Column) -> Column:
     @F.pandas_udf("array<string>")
     def distinct(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: sorted({w.decode("utf-8", "replace") for w in _words(t)}), na_action=None)
+        return texts.map(lambda t: sorted({x for w in set(_words(t)) for x in _names(w)}), na_action=None)
+
+    return distinct(text)
 
     return distinct(text)
 
 
 @dataclass
 class Severity:
-    words: dict[bytes, float]  # word to weight
+    place: dict[str, int]  # word or word beginning to its weight's place
+    weights: np.ndarray
     thresholds: np.ndarray
 
     def probabilities(self, score: np.ndarray) -> np.ndarray:
@@ -81,21 +105,21 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS,
     sample = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(some), "doc_id")  # bound: max_docs ids
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
-        return Severity({}, np.zeros(0))
-    seen = sample.select("toxic", F.explode(_distinct_words(F.col("text"))).alias("word")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all"))
+        return Severity({}, np.zeros(0), np.zeros(0))
+    seen = sample.select("toxic", F.explode(_distinct_names(F.col("text"))).alias("word")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all"))
     seen = seen.filter(F.col("all") >= min_docs)
     odds = F.log((F.col("bad") + 0.5) / (n[1] + 1)) - F.log((F.col("all") - F.col("bad") + 0.5) / (n[0] + 1))
     told = seen.withColumn("odds", odds).withColumn("z", odds * F.sqrt("all")).orderBy(F.abs("z").desc(), "word").limit(max_words).collect()
-    place = {r["word"].encode(): i for i, r in enumerate(told)}
+    place = {r["word"]: i for i, r in enumerate(told)}
     telling = np.array([r["odds"] > 3 and r["z"] > 10 for r in told] or [False])
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict[bytes, tuple[int, ...]] = {}
         for b in batches:
             rows = []
             for doc, toxic, text in zip(b["doc_id"], b["toxic"], b["text"]):
-                words = _words(text)
-                c = Counter(i for i in map(place.get, words) if i is not None)
-                rows.append((doc, toxic, len(words), sorted(c), [c[i] for i in sorted(c)]))
+                c, n_words = _counts(text, place, memo)
+                rows.append((doc, toxic, n_words, sorted(c), [c[i] for i in sorted(c)]))
             yield pd.DataFrame(rows, columns=["doc_id", "toxic", "n", "at", "count"])
 
     rows = sorted(sample.mapInPandas(counted, "doc_id long, toxic int, n int, at array<int>, count array<int>").collect(), key=lambda r: (r["doc_id"], r["n"], r["at"], r["count"]))
@@ -107,7 +131,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS,
     thirds = np.quantile(density[toxic == 1], [1 / 3, 2 / 3])
     grade = np.where(toxic == 1, 1 + (density > thirds[0]) + (density > thirds[1]), 0)
     w, theta = fit_ordinal(owner, cols, np.log1p(values), grade, max(1, len(told)))
-    return Severity({k: float(w[i]) for k, i in place.items()}, theta)
+    return Severity(place, w, theta)
 
 
 def toxicity_column(text: Column, model: Severity) -> Column:
@@ -115,13 +139,13 @@ def toxicity_column(text: Column, model: Severity) -> Column:
 
     @F.pandas_udf("severity double, p_toxic double, grade int")
     def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        weight = model.words.get
+        memo: dict[bytes, tuple[int, ...]] = {}
         for b in batches:
             score = np.zeros(len(b))
             for i, t in enumerate(b):
-                if t:
-                    found = Counter(filter(model.words.__contains__, _words(t)))
-                    score[i] = sum(weight(k) * np.log1p(c) for k, c in sorted(found.items()))
+                found = _counts(t, model.place, memo)[0] if t else {}
+                at = np.fromiter(sorted(found), np.int64, len(found))
+                score[i] = model.weights[at] @ np.log1p([found[k] for k in at.tolist()]) if len(at) else 0.0
             p = model.probabilities(score)
             each = np.concatenate([1 - p[:, :1], p[:, :-1] - p[:, 1:], p[:, -1:]], 1)
             yield pd.DataFrame({"severity": p.sum(1), "p_toxic": p[:, 0], "grade": each.argmax(1).astype(np.int32)})
