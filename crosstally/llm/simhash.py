@@ -99,7 +99,7 @@ def _replicated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def spanning_edges(fps: np.ndarray, nodes: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links inside one group, found breadth first."""
-    left, edges = np.arange(len(fps)), []
+    fps, left, edges = fps.view(np.uint64), np.arange(len(fps)), []  # counts of signed numbers would be those of their absolute values
     while len(left) > 1:
         front, left = left[:1], left[1:]
         while len(front) and len(left):
