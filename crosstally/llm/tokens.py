@@ -128,7 +128,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str, limit: int =
     fetched = docs.join(ids, "doc_id", "left_semi").select("text").unionByName(docs.filter("doc_id is null").withColumn("content_digest", digest).join(orphans, "content_digest", "left_semi").select("text"))
     encoded = fetched.select(digest.alias("content_digest"), count_column(F.col("text"), tokenizer_path).alias("n_tokens"))
     encoded.dropDuplicates(["content_digest"]).select(F.lit(version).alias("tokenizer_digest"), "content_digest", "n_tokens").write.mode("append").parquet(cache)
-    stored = read_cache(spark, cache).filter(F.col("tokenizer_digest") == version).dropDuplicates(["content_digest"]).select("content_digest", "n_tokens")
+    # stored apart, so that the join below reads two plain sides and a digest with very many documents can be split
+    stored = cut(read_cache(spark, cache).filter(F.col("tokenizer_digest") == version).dropDuplicates(["content_digest"]).select("content_digest", "n_tokens"))
     counted = digests.join(stored, "content_digest", "left")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "content_digest")
 
