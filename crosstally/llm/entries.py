@@ -17,6 +17,7 @@ from .mixing import mix
 from .quality import THRESHOLD, quality_column, train_quality
 from .simhash import near_duplicates
 from .tokens import count_tokens, new_cache
+from .toxicity import THRESHOLD as TOXIC
 from .toxicity import toxicity_column, train_toxicity
 
 TOKENIZER = "word_bpe_49k.json"
@@ -41,7 +42,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = train_toxicity(docs, labels)
     scored = docs.select("doc_id", toxicity_column(F.col("text"), model).alias("t"))
-    return scored.select("doc_id", "t.severity", "t.p_toxic", "t.grade", (F.col("t.p_toxic") >= 0.5).alias("toxic"))
+    return scored.select("doc_id", "t.severity", "t.p_toxic", "t.grade", (F.col("t.p_toxic") >= TOXIC).alias("toxic"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

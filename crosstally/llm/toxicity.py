@@ -1,7 +1,7 @@
 """Toxicity by cumulative-link ordinal regression.
 
 P(grade >= k) = sigmoid(w . x - threshold_k) for k = 1, 2, 3: one weight vector, ordered thresholds. x is sparse: log(1 + count) of
-words and word beginnings (three and five letters) from a vocabulary chosen by how far their documents' labels differ. Expected severity is the sum of the three probabilities.
+words and word beginnings (three and five letters) from a vocabulary of those that stand out most in toxic documents. Expected severity is the sum of the three probabilities.
 
 Labels are 0 or 1, so the grades of toxic training documents come from how dense their telling words are: thirds of the training
 documents' density (1 mild, 2 clear, 3 dense). The vocabulary, the grades and the fit use a sample bounded by MAX_DOCS; scoring reads
@@ -26,6 +26,8 @@ from .common import sample_by_hash
 
 MAX_DOCS, MAX_WORDS, MIN_DOCS = 8000, 3000, 5
 GRADES = 3
+#: P(grade >= 1) from which a document counts as toxic.
+THRESHOLD = 0.4
 #: Words whose features a worker remembers.
 MEMO = 300_000
 
@@ -78,11 +80,12 @@ class Severity:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds, -50, 50)))
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarray, width: int, rounds: int = 300, rate: float = 0.05, l2: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds of least negative log likelihood. Thresholds are a first one and exponentials of gaps, so they stay in order."""
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarray, width: int, rounds: int = 300, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds of the largest posterior: standard normal weights, so the penalty fades as rows come in. Thresholds are a first one and exponentials of gaps, so they stay in order."""
     w, gaps = np.zeros(width), np.array([2.0, 0.0, 0.0][:GRADES])
     g1, g2 = np.zeros(width + GRADES), np.zeros(width + GRADES)
     n = len(grade)
+    l2 = 1 / max(n, 1)
     for k in range(1, rounds + 1):
         theta = gaps[0] + np.concatenate(([0.0], np.cumsum(np.exp(gaps[1:]))))
         score = np.bincount(rows, values * w[cols], minlength=n)
@@ -109,7 +112,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS,
     seen = sample.select("toxic", F.explode(_distinct_names(F.col("text"))).alias("word")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all"))
     seen = seen.filter(F.col("all") >= min_docs)
     odds = F.log((F.col("bad") + 0.5) / (n[1] + 1)) - F.log((F.col("all") - F.col("bad") + 0.5) / (n[0] + 1))
-    told = seen.withColumn("odds", odds).withColumn("z", odds * F.sqrt("all")).orderBy(F.abs("z").desc(), "word").limit(max_words).collect()
+    told = seen.withColumn("odds", odds).withColumn("z", odds * F.sqrt("all")).filter("z > 0").orderBy(F.desc("z"), "word").limit(max_words).collect()
     place = {r["word"]: i for i, r in enumerate(told)}
     telling = np.array([r["odds"] > 3 and r["z"] > 10 for r in told] or [False])
 
