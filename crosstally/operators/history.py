@@ -29,11 +29,25 @@ def check_contiguous(log: DataFrame, keys: Sequence[str], seq: str, frontier: Da
     return j.filter(~F.coalesce(whole, F.lit(False))).select(*keys, "n", "low", "high", "frontier")
 
 
-def sequence_gaps(log: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
+def with_previous(log: DataFrame, keys: Sequence[str], seq: str, columns: Sequence[str], block: int = 100_000) -> DataFrame:
+    """log with ``previous``: struct(seq, columns) of the row before it in its key's sequence, null for the first.
+
+    A key's rows are ordered in blocks of numbers, so that one very long sequence is spread over many tasks; what a block's first row
+    follows is the last row of the block before, found among one row for each block.
+    """
+    row = F.struct(F.col(seq).alias("seq"), *columns)
+    dealt = log.withColumn("block_", F.expr(f"`{seq}` div {block}"))
+    tails = dealt.groupBy(*keys, "block_").agg(F.max_by(row, seq).alias("tail"))
+    tails = tails.withColumn("tail_", F.lag("tail").over(Window.partitionBy(*keys).orderBy("block_"))).drop("tail")
+    here = dealt.withColumn("lag_", F.lag(row).over(Window.partitionBy(*keys, "block_").orderBy(seq)))
+    return here.join(tails, [*keys, "block_"], "left").withColumn("previous", F.coalesce("lag_", "tail_")).drop("block_", "lag_", "tail_")
+
+
+def sequence_gaps(log: DataFrame, keys: Sequence[str], seq: str, block: int = 100_000) -> DataFrame:
     """keys, gap_from, gap_to: the missing ranges between numbers that are there, and before the first if that isn't 1."""
-    w = Window.partitionBy(*keys).orderBy(seq)
-    before = F.coalesce(F.lag(seq).over(w), F.lit(0))
-    return log.select(*keys, seq, before.alias("before")).filter(F.col(seq) > F.col("before") + 1).select(*keys, (F.col("before") + 1).alias("gap_from"), (F.col(seq) - 1).alias("gap_to"))
+    before = F.coalesce("previous.seq", F.lit(0))
+    told = with_previous(log.select(*keys, seq), keys, seq, [], block).withColumn("before", before)
+    return told.filter(F.col(seq) > F.col("before") + 1).select(*keys, (F.col("before") + 1).alias("gap_from"), (F.col(seq) - 1).alias("gap_to"))
 
 
 def replay_compare(log: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -87,10 +101,10 @@ def check_checkpoint_artifacts(checkpoints: DataFrame, manifests: DataFrame) ->
     return j.select("run_id", "node_id", "partition_key", "version", "artifact_id", rule.alias("rule")).filter("rule is not null")
 
 
-def illegal_transitions(history: DataFrame, keys: Sequence[str], seq: str, lifecycle: Mapping[str, tuple[str, ...]]) -> DataFrame:
+def illegal_transitions(history: DataFrame, keys: Sequence[str], seq: str, lifecycle: Mapping[str, tuple[str, ...]], block: int = 100_000) -> DataFrame:
     """keys, seq, from_state, to_state of moves that the lifecycle doesn't have."""
-    w = Window.partitionBy(*keys).orderBy(seq)
-    moves = history.select(*keys, seq, F.lag("state").over(w).alias("from_state"), F.col("state").alias("to_state")).filter("from_state is not null")
+    told = with_previous(history.select(*keys, seq, "state"), keys, seq, ["state"], block).filter("previous is not null")
+    moves = told.select(*keys, seq, F.col("previous.state").alias("from_state"), F.col("state").alias("to_state"))
     legal = transition_table(history.sparkSession, dict(lifecycle))
     return moves.join(F.broadcast(legal), ["from_state", "to_state"], "left_anti").select(*keys, seq, "from_state", "to_state")  # bound: the fixed lifecycle
 

@@ -117,11 +117,16 @@ def plan_status(plans: DataFrame, actions: DataFrame) -> DataFrame:
     return plans.select("repair_plan_id").join(g, "repair_plan_id", "left").select("repair_plan_id", F.coalesce("n", F.lit(0)).alias("n_actions"), status.alias("derived_status"))
 
 
-def plan_details(plans: DataFrame, approvals: DataFrame, actions: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """Plans with their approval and their actions (at most MAX_ACTIONS a plan), ordered, each with its conflict's class."""
-    kept = actions.join(conflicts.select("conflict_id", "classification"), "conflict_id", "left")
+def plan_details(plans: DataFrame, approvals: DataFrame, actions: DataFrame, conflicts: DataFrame, limit: int = MAX_ACTIONS) -> DataFrame:
+    """Plans with their approval, n_actions and their actions in order, each with its conflict's class.
+
+    A plan with more actions than the bound - check_plan_uniqueness tells which - has their number only, so no row grows without bound.
+    """
+    n = actions.groupBy("repair_plan_id").agg(F.count("*").alias("n_actions"))
+    kept = actions.join(n.filter(F.col("n_actions") <= limit), "repair_plan_id", "left_semi").join(conflicts.select("conflict_id", "classification"), "conflict_id", "left")
     lists = kept.groupBy("repair_plan_id").agg(F.array_sort(F.collect_list(F.struct("canonical_key", "repair_action_id", "kind", "status", "classification"))).alias("actions"))
-    return plans.join(approvals.select("repair_plan_id", "approver", "approved_at"), "repair_plan_id", "left").join(lists, "repair_plan_id", "left")
+    out = plans.join(approvals.select("repair_plan_id", "approver", "approved_at"), "repair_plan_id", "left").join(n, "repair_plan_id", "left").join(lists, "repair_plan_id", "left")
+    return out.withColumn("n_actions", F.coalesce("n_actions", F.lit(0)))
 
 
 def duplicate_plan_content(plans: DataFrame) -> DataFrame:

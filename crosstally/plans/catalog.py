@@ -329,7 +329,7 @@ def x10_plan_details(spark, d):
     conflicts = spark.createDataFrame([], "conflict_id string, classification string")
     p = repair.plan_details(_plans(spark, d), _approvals(spark, d), _plan_actions(spark, d), conflicts)
     a = F.coalesce("actions", F.array().cast(p.schema["actions"].dataType))
-    return p.select("repair_plan_id", "approver", F.size(a).cast("long").alias("n_actions"), F.try_element_at(a, F.lit(1))["canonical_key"].alias("first_key"))
+    return p.select("repair_plan_id", "approver", "n_actions", F.try_element_at(a, F.lit(1))["canonical_key"].alias("first_key"))
 
 
 @query("SELECT concat('run_', c_custkey % 7) AS run_id, concat('content-', c_custkey % 1000) AS content_fingerprint, count(*) AS n FROM customer GROUP BY 1, 2 HAVING count(*) > 1")

@@ -68,7 +68,7 @@ def test_percentiles_are_nearest_rank(spark, n):
 def test_every_pair_of_states(spark, lifecycle):
     pairs = list(itertools.product(lifecycle, lifecycle))
     rows = [(f"k{i}", j, s) for i, p in enumerate(pairs) for j, s in enumerate(p)]
-    bad = {r["k"] for r in hi.illegal_transitions(spark.createDataFrame(rows, "k string, n int, state string"), ["k"], "n", lifecycle).collect()}
+    bad = {r["k"] for r in hi.illegal_transitions(spark.createDataFrame(rows, "k string, n int, state string"), ["k"], "n", lifecycle, 1).collect()}
     assert bad == {f"k{i}" for i, (a, b) in enumerate(pairs) if b not in lifecycle[a]}
 
 
@@ -76,7 +76,8 @@ def test_contiguity_and_gaps(spark):
     log = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("b", 5), ("c", 1), ("c", 1), ("e", 1)], "k string, n long")
     front = spark.createDataFrame([("a", 2), ("b", 5), ("c", 2), ("d", 0), ("f", 1)], "k string, last long")
     assert {r["k"] for r in hi.check_contiguous(log, ["k"], "n", front, "last").collect()} == {"b", "c", "e", "f"}
-    assert {tuple(r) for r in hi.sequence_gaps(log, ["k"], "n").collect()} == {("b", 1, 1), ("b", 3, 4)}
+    for block in (1, 2, 3, 100_000):
+        assert {tuple(r) for r in hi.sequence_gaps(log, ["k"], "n", block).collect()} == {("b", 1, 1), ("b", 3, 4)}
 
 
 def test_snapshot_change(spark):
