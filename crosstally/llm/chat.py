@@ -9,7 +9,7 @@ before every backslash and before every sign that begins one of these control st
 
 Defined cases: null text and null role are empty; turns are ordered by turn (null first), then role, then text; repeated rows are turns
 of their own; a null conv_id is a conversation of its own; other columns are not read. A conversation is rendered in one task, a
-prefix at a time, so the work on it grows with its turns times its length.
+prefix at a time, so the copying of its text grows with its turns times its length; escaping and searching grow with its length.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,12 +41,15 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.S)
 
 
+@lru_cache(maxsize=2048)
+def _rendered(role: str, text: str) -> str:
+    """One turn; remembered, as the same turns are rendered with every longer prefix."""
+    t = escape(text)
+    return f"[INST]{t}[/INST]" if role == "user" else f"<s>{t}</s>" if role == "assistant" else f"[TURN {escape(role)}]{t}[/TURN]"
+
+
 def render(turns: list[Turn]) -> str:
-    out = []
-    for role, text in turns:
-        t = escape(text)
-        out.append(f"[INST]{t}[/INST]" if role == "user" else f"<s>{t}</s>" if role == "assistant" else f"[TURN {escape(role)}]{t}[/TURN]")
-    return "".join(out)
+    return "".join([_rendered(role, text) for role, text in turns])
 
 
 _TURN = re.compile(r"\[INST\](?P<user>(?:[^\\]|\\.)*?)\[/INST\]|<s>(?P<assistant>(?:[^\\]|\\.)*?)</s>|\[TURN (?P<role>(?:[^\\]|\\.)*?)\](?P<other>(?:[^\\]|\\.)*?)\[/TURN\]", re.S)
@@ -80,7 +84,7 @@ def render_incrementally(turns: list[Turn], template: Template = render) -> Rend
             rewrites = True
         n = 0 if rewrites else len(before)
         mark = _MARK
-        while mark in now:
+        while now.find(mark, n) >= 0:
             mark += _MARK
         probe = template([*turns[: k - 1], (turns[k - 1][0], mark)])
         head = probe.find(mark, n)
