@@ -27,7 +27,7 @@ WINDOW = 10
 #: Bytes of benchmark text handled at once.
 BLOCK_BYTES = 16_000_000
 #: Bytes of document text in a shard.
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 3_000_000
 
 #: Lower-cases A-Z; every ASCII byte that is no digit and no letter becomes a blank.
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))

@@ -25,7 +25,7 @@ SEED = 20260101
 #: Bound of the training sample: documents of each language.
 MAX_DOCS_PER_LANG = 3000
 #: Code points handled at once inside a task.
-CHUNK_CHARS = 800_000
+CHUNK_CHARS = 300_000
 
 _tables: dict = {}
 
@@ -76,7 +76,7 @@ def _bundle(texts: list[str]) -> np.ndarray:
 def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
     start = size = 0
     for i, t in enumerate(texts):
-        if i > start and (size + len(t) > CHUNK_CHARS or i - start >= 256):
+        if i > start and (size + len(t) > CHUNK_CHARS or i - start >= 128):
             yield start, i
             start, size = i, 0
         size += len(t)

@@ -29,7 +29,7 @@ GRADES = 3
 #: P(grade >= 1) from which a document counts as toxic.
 THRESHOLD = 0.4
 #: Words whose features a worker remembers.
-MEMO = 300_000
+MEMO = 150_000
 
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
