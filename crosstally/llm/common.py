@@ -32,6 +32,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def long_rows(spark: SparkSession, n: int = 1000) -> None:
+    """Arrow batches of at most n rows: documents are long, and the default of 10 000 makes batches of tens of MB for each task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > n:
+        spark.conf.set(key, str(n))
+
+
 def id_remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
