@@ -553,7 +553,7 @@ def h14_unfinished_work(spark, d):
 
 @query(f"{EVS} SELECT concat('run_', user_id) AS run_id, CAST(0 AS BIGINT) AS block, string_agg(kind, ',' ORDER BY sequence_number) AS kinds FROM evs WHERE sequence_number <= 10000 GROUP BY user_id")
 def h16_event_trace(spark, d):
-    return history.event_trace(v.ops_events(spark, d)).filter("block = 0").select("run_id", "block", F.array_join("kinds", ",").alias("kinds"))
+    return history.event_trace(v.ops_events(spark, d)).select("run_id", "block", F.array_join("kinds", ",").alias("kinds"))
 
 
 @query(f"{OPS} SELECT work_item_id, attempt_number, 'duration' AS rule FROM att WHERE attempt_number % 19 = 0 UNION ALL SELECT work_item_id, attempt_number, 'lease_expired' FROM att WHERE outcome = 'lease_expired' AND attempt_number % 23 = 0")
