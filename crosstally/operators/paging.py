@@ -41,6 +41,20 @@ def after_cursor(df: DataFrame, order: list[str], after: tuple | None) -> DataFr
     return df.filter(F.col(order[0]) >= F.lit(after[0])).filter(reduce(lambda a, b: a | b, parts))
 
 
+def ordered_blocks(df: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame:
+    """df with ``block``: a key's rows in order, in blocks of at most limit rows whose numbers grow with the order (not one by one).
+
+    A key within the limit is one block, 0. Longer ones are sorted over many tasks and cut where a task's share or the limit ends, so
+    no group is any single task's work and none is left out.
+    """
+    long = df.groupBy(*keys).agg(F.count("*").alias("n_")).filter(F.col("n_") > limit).select(*keys)
+    short = df.join(long, keys, "left_anti").withColumn("block", F.lit(0).cast("long"))
+    place = F.monotonically_increasing_id()  # task number and row within the task, as the sort below leaves them
+    dealt = df.join(long, keys, "left_semi").orderBy(*keys, *order).withColumn("place_", place)
+    row = F.col("place_").bitwiseAND(F.lit((1 << 33) - 1))
+    return short.unionByName(dealt.withColumn("block", F.col("place_") - row % limit).drop("place_"))
+
+
 def page_frame(df: DataFrame, order: list[str], after: tuple | None = None, limit: int = 100) -> DataFrame:
     """At most limit + 1 rows after the cursor, in order; the extra row only tells that there is a next page."""
     if not 1 <= limit <= 100:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import format_utc, money_to_text
 from ..schemas import CLASSES, FIELDS, PRICE, REPAIRABLE
+from .paging import ordered_blocks
 
 MAX_RECORDS_PER_KEY = 1024
 MAX_FILES_PER_SIDE = 1024
@@ -82,7 +83,7 @@ def _records(df: DataFrame) -> DataFrame:
 
 
 def outcome_records(reference: DataFrame, target: DataFrame, limit: int = MAX_RECORDS_PER_KEY) -> DataFrame:
-    """sku, source_records, target_records: the full records of keys within the duplicate bound, sorted. check_duplicate_bounds tells the rest."""
+    """sku, source_records, target_records: the full records of keys within the duplicate bound, sorted. check_duplicate_bounds tells the rest, record_blocks has all."""
     both = _records(reference).withColumn("side", F.lit("s")).unionByName(_records(target).withColumn("side", F.lit("t")))
     n = both.groupBy("sku").agg(F.count_if(F.col("side") == "s").alias("sn"), F.count_if(F.col("side") == "t").alias("tn"))
     fits = n.filter((F.col("sn") <= limit) & (F.col("tn") <= limit)).select("sku")
@@ -90,6 +91,13 @@ def outcome_records(reference: DataFrame, target: DataFrame, limit: int = MAX_RE
     return both.join(fits, "sku", "left_semi").groupBy("sku").agg(collected("s").alias("source_records"), collected("t").alias("target_records"))
 
 
+def record_blocks(reference: DataFrame, target: DataFrame, limit: int = MAX_RECORDS_PER_KEY) -> DataFrame:
+    """sku, block, source_records, target_records: the full records of every key, sorted, in blocks of at most limit records (source first)."""
+    both = _records(reference).withColumn("side", F.lit("s")).unionByName(_records(target).withColumn("side", F.lit("t")))
+    collected = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("record"))))
+    return ordered_blocks(both, ["sku"], ["side", "record"], limit).groupBy("sku", "block").agg(collected("s").alias("source_records"), collected("t").alias("target_records"))
+
+
 def check_duplicate_bounds(outcomes: DataFrame, limit: int = MAX_RECORDS_PER_KEY) -> DataFrame:
     """Keys with more records on a side than the bound."""
     return outcomes.filter((F.col("source_count") > limit) | (F.col("target_count") > limit)).select("sku", "source_count", "target_count")

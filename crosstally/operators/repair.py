@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import FIELDS, NORMALIZED_SCHEMA
 from .fingerprint import canonical_effect, effect_digest, inventory_fingerprint, plan_content_fingerprint
+from .paging import ordered_blocks
 from .reconcile import reconcile, repairable
 
 MAX_ACTIONS = 10_000
@@ -118,13 +119,13 @@ def plan_status(plans: DataFrame, actions: DataFrame) -> DataFrame:
 
 
 def plan_details(plans: DataFrame, approvals: DataFrame, actions: DataFrame, conflicts: DataFrame, limit: int = MAX_ACTIONS) -> DataFrame:
-    """Plans with their approval, n_actions and their actions in order, each with its conflict's class.
+    """Plans with their approval, n_actions, block and the block's actions in order, each with its conflict's class.
 
-    A plan with more actions than the bound - check_plan_uniqueness tells which - has their number only, so no row grows without bound.
+    A plan has a row for each block of at most limit actions, so no row grows without bound; one without actions has a row with neither.
     """
     n = actions.groupBy("repair_plan_id").agg(F.count("*").alias("n_actions"))
-    kept = actions.join(n.filter(F.col("n_actions") <= limit), "repair_plan_id", "left_semi").join(conflicts.select("conflict_id", "classification"), "conflict_id", "left")
-    lists = kept.groupBy("repair_plan_id").agg(F.array_sort(F.collect_list(F.struct("canonical_key", "repair_action_id", "kind", "status", "classification"))).alias("actions"))
+    told = actions.join(conflicts.select("conflict_id", "classification"), "conflict_id", "left")
+    lists = ordered_blocks(told, ["repair_plan_id"], ["canonical_key", "repair_action_id"], limit).groupBy("repair_plan_id", "block").agg(F.array_sort(F.collect_list(F.struct("canonical_key", "repair_action_id", "kind", "status", "classification"))).alias("actions"))
     out = plans.join(approvals.select("repair_plan_id", "approver", "approved_at"), "repair_plan_id", "left").join(n, "repair_plan_id", "left").join(lists, "repair_plan_id", "left")
     return out.withColumn("n_actions", F.coalesce("n_actions", F.lit(0)))
 

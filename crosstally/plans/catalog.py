@@ -64,8 +64,8 @@ def r07_field_differences(spark, d):
 
 @query(f"{INV} SELECT sku, source_count AS n_source, target_count AS n_target FROM outcome")
 def r08_outcome_records(spark, d):
-    r = reconcile.outcome_records(*_sides(spark, d))
-    return r.select("sku", F.size("source_records").cast("long").alias("n_source"), F.size("target_records").cast("long").alias("n_target"))
+    r = reconcile.record_blocks(*_sides(spark, d))
+    return r.groupBy("sku").agg(F.sum(F.size("source_records")).alias("n_source"), F.sum(F.size("target_records")).alias("n_target"))
 
 
 @query(f"{INV} SELECT sku, source_count, target_count FROM outcome WHERE source_count > 1 OR target_count > 1")
@@ -290,6 +290,12 @@ def _plan_actions(spark: SparkSession, d: str) -> DataFrame:
                         "case o_orderstatus when 'F' then 'applied' when 'O' then 'proposed' else 'failed' end as status", "sha2(cast(o_orderkey as string), 256) as before_sha256", "sha2(cast(o_orderkey + 1 as string), 256) as after_sha256", "concat('key-', o_orderkey) as external_idempotency_key")
 
 
+def _plan_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """The conflicts that the orders' actions name."""
+    c = v.table(spark, d, "orders").selectExpr("o_orderkey % 500 as c").distinct()
+    return c.selectExpr("concat('cnf_', c) as conflict_id", "case when c % 3 = 0 then 'missing_from_target' else 'field_mismatch' end as classification")
+
+
 def _approvals(spark: SparkSession, d: str) -> DataFrame:
     return _plans(spark, d).filter("c_custkey % 2 = 0").selectExpr("repair_plan_id", "'now' as state_fingerprint", "concat('person ', c_custkey % 9) as approver", "c_custkey as approved_at")
 
@@ -326,10 +332,9 @@ def x09_plan_status(spark, d):
 
 @query("SELECT concat('rpl_', c_custkey) AS repair_plan_id, CASE WHEN c_custkey % 2 = 0 THEN concat('person ', c_custkey % 9) END AS approver, count(o_orderkey) AS n_actions, min(concat('SKU-', o_orderkey)) AS first_key FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def x10_plan_details(spark, d):
-    conflicts = spark.createDataFrame([], "conflict_id string, classification string")
-    p = repair.plan_details(_plans(spark, d), _approvals(spark, d), _plan_actions(spark, d), conflicts)
-    a = F.coalesce("actions", F.array().cast(p.schema["actions"].dataType))
-    return p.select("repair_plan_id", "approver", "n_actions", F.try_element_at(a, F.lit(1))["canonical_key"].alias("first_key"))
+    p = repair.plan_details(_plans(spark, d), _approvals(spark, d), _plan_actions(spark, d), _plan_conflicts(spark, d))
+    listed = F.when(F.col("actions").isNotNull(), F.size("actions")).otherwise(0)
+    return p.groupBy("repair_plan_id", "approver").agg(F.sum(listed).alias("n_actions"), F.min(F.try_element_at("actions", F.lit(1))["canonical_key"]).alias("first_key"))
 
 
 @query("SELECT concat('run_', c_custkey % 7) AS run_id, concat('content-', c_custkey % 1000) AS content_fingerprint, count(*) AS n FROM customer GROUP BY 1, 2 HAVING count(*) > 1")

@@ -1,6 +1,11 @@
 """Queries and operators on groups and rows that the given tables are too small to have."""
 
+import datetime as dt
+
 import __spark_entry__ as entry
+from crosstally.operators import reconcile, repair
+from crosstally.plans import catalog
+from crosstally.schemas import NORMALIZED_SCHEMA
 
 
 def test_every_block_of_a_long_run(spark, tmp_path):
@@ -10,3 +15,43 @@ def test_every_block_of_a_long_run(spark, tmp_path):
     got = {r["block"]: r["kinds"].split(",") for r in entry.queries()["h16_event_trace"](spark, str(tmp_path)).collect()}
     kept = [i for i in range(1, 10_501) if i % 97]
     assert got == {0: [f"k{i}" for i in kept if i <= 10_000], 1: [f"k{i}" for i in kept if i > 10_000]}
+
+
+def plan_tables(spark, at, n):
+    """One plan with n actions, one without any."""
+    spark.createDataFrame([(1,), (2,)], "c_custkey long").write.parquet(f"{at}/customer.parquet")
+    spark.range(1, n + 1).selectExpr("id as o_orderkey", "1L as o_custkey", "'F' as o_orderstatus").write.parquet(f"{at}/orders.parquet")
+
+
+def test_actions_of_a_plan_beyond_the_bound(spark, tmp_path):
+    """x10: a plan of 10 500 actions has its first key; its blocks together hold every action once, in order, with its conflict's class."""
+    d = str(tmp_path)
+    plan_tables(spark, d, 10_500)
+    got = {r["repair_plan_id"]: (r["n_actions"], r["first_key"]) for r in entry.queries()["x10_plan_details"](spark, d).collect()}
+    assert got == {"rpl_1": (10_500, "SKU-1"), "rpl_2": (0, None)}
+    p = repair.plan_details(catalog._plans(spark, d), catalog._approvals(spark, d), catalog._plan_actions(spark, d), catalog._plan_conflicts(spark, d), 1000)
+    blocks = p.filter("repair_plan_id = 'rpl_1'").orderBy("block").collect()
+    assert all(len(r["actions"]) <= 1000 and r["n_actions"] == 10_500 for r in blocks)
+    assert [a["canonical_key"] for r in blocks for a in r["actions"]] == sorted(f"SKU-{i}" for i in range(1, 10_501))
+    assert {a["classification"] for r in blocks for a in r["actions"]} == {"missing_from_target", "field_mismatch"}
+
+
+def test_records_of_a_key_beyond_the_bound(spark):
+    """A key with 3 000 records on a side keeps all of them, in order; r08 reads these blocks."""
+    at = dt.datetime(2026, 1, 1)
+    row = lambda i, sku, con: (i, sku, "n", 1, 1, "USD", 2, at, con, f"row {i}", [])
+    a = spark.createDataFrame([row(i, "X", "a") for i in range(3000)] + [row(0, "Y", "a")], NORMALIZED_SCHEMA)
+    b = spark.createDataFrame([row(i, "X", "b") for i in range(5)], NORMALIZED_SCHEMA)
+    blocks = reconcile.record_blocks(a, b, 1024).orderBy("sku", "block").collect()
+    assert all(len(r["source_records"]) + len(r["target_records"]) <= 1024 for r in blocks)
+    x = [r for r in blocks if r["sku"] == "X"]
+    assert [e["record_index"] for r in x for e in r["source_records"]] == list(range(3000)) and [e["record_index"] for r in x for e in r["target_records"]] == list(range(5))
+    assert [(len(r["source_records"]), len(r["target_records"])) for r in blocks if r["sku"] == "Y"] == [(1, 0)]
+
+
+def test_r08_counts_a_large_key(spark, tmp_path):
+    """r08: 1 500 parts with one key are 1 500 records of its outcome, not a missing row."""
+    spark.range(1500).selectExpr("1L as p_partkey", "'n' as p_name", "1 as p_size", "cast(1 as double) as p_retailprice", "'b' as p_brand", "'t' as p_type").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, "s")], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {tuple(r) for r in entry.queries()["r08_outcome_records"](spark, str(tmp_path)).collect()}
+    assert got == {("P-1", 1500, 1500), ("S-1", 0, 1)}
