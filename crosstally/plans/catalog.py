@@ -675,13 +675,48 @@ UNION ALL SELECT run_id, CASE WHEN state = 'paused' THEN 'run_paused' ELSE 'run_
 UNION ALL SELECT DISTINCT run_id, 'aggregate_mismatch' FROM nod WHERE node_id IN ('nod_0', 'nod_5'))
 SELECT run_id, kind, count(*) AS n FROM k GROUP BY 1, 2""")
 def l07_recovery_findings(spark, d):
-    return _findings(spark, d).filter("run_id is not null").groupBy("run_id", "kind").agg(F.count("*").alias("n"))
+    """Findings of runs, with manifests of other partitions only, as its SQL has them; l11_all_recovery_findings has every kind."""
+    m = v.ops_manifests(spark, d)
+    own = m.withColumn("partition_key", F.concat("partition_key", F.lit("-other")))
+    return _findings(spark, d, own).filter("run_id is not null").groupBy("run_id", "kind").agg(F.count("*").alias("n"))
 
 
-def _findings(spark: SparkSession, d: str) -> DataFrame:
+def _findings(spark: SparkSession, d: str, made: DataFrame | None = None) -> DataFrame:
     m, f = v.ops_manifests(spark, d), v.ops_files(spark, d)
-    own = m.select("run_id", "node_id", F.concat("partition_key", F.lit("-other")).alias("partition_key"))
-    return recovery.recovery_findings(*_ops(spark, d), v.ops_heads(spark, d), own, artifacts.artifact_issues(m, f), v.ops_idem(spark, d), v.now())
+    return recovery.recovery_findings(*_ops(spark, d), v.ops_heads(spark, d), m if made is None else made, _issues(m, f), _records(spark, d), v.now())
+
+
+def _issues(m: DataFrame, f: DataFrame) -> DataFrame:
+    """The scan's issues; invalid files of artifacts with an even last digit are told as changed."""
+    i = artifacts.artifact_issues(m, f)
+    return i.withColumn("kind", F.when((F.col("kind") == "invalid_file") & F.col("artifact_id").rlike("[02468]$"), "changed_file").otherwise(F.col("kind")))
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """The stored idempotency records; every 7th customer's have a status that there isn't."""
+    i = v.ops_idem(spark, d)
+    return i.withColumn("status", F.when(F.col("idempotency_key").cast("long") % 7 == 0, "odd").otherwise(F.col("status")))
+
+
+@query(f"""{OPS}, {v.SQL_FILES}, {v.SQL_IDEM}, made AS (SELECT DISTINCT o_custkey AS u, true AS has FROM orders WHERE o_orderkey % 41 <> 0),
+f AS (SELECT w.*, h.version AS head, a.n AS n_att, coalesce(made.has, false) AS has, w.state = 'running' AND active_attempt_number IS NOT NULL AND lease_expires_at <= {v.NOW} AS gone
+  FROM wrk2 w LEFT JOIN heads h USING (run_id, node_id, partition_key) LEFT JOIN (SELECT work_item_id, count(*) AS n FROM att GROUP BY 1) a USING (work_item_id) LEFT JOIN made ON w.u = made.u),
+k AS (SELECT run_id, 'checkpoint_frontier_mismatch' AS kind FROM f WHERE head IS NULL OR head <> expected_checkpoint_version
+UNION ALL SELECT run_id, 'attempt_history_mismatch' FROM f WHERE n_att <> completed_attempt_count
+UNION ALL SELECT run_id, 'work_retry_waiting' FROM f WHERE state = 'retry_wait'
+UNION ALL SELECT run_id, 'work_running_without_lease' FROM f WHERE state = 'running' AND active_attempt_number IS NULL
+UNION ALL SELECT run_id, 'work_active_lease' FROM f WHERE state = 'running' AND active_attempt_number IS NOT NULL AND lease_expires_at > {v.NOW}
+UNION ALL SELECT run_id, CASE WHEN coalesce(head, 0) >= 1 THEN 'checkpoint_frontier_mismatch' WHEN has THEN 'work_expired_with_committed_artifact' ELSE 'work_expired_no_effect' END FROM f WHERE gone
+UNION ALL SELECT run_id, 'checkpoint_frontier_mismatch' FROM f WHERE state = 'succeeded' AND coalesce(head, 0) < 1
+UNION ALL SELECT run_id, 'work_committed' FROM f WHERE state NOT IN ('pending', 'retry_wait', 'running')
+UNION ALL SELECT run_id, CASE WHEN state = 'paused' THEN 'run_paused' ELSE 'run_terminal_with_active_work' END FROM runs WHERE state <> 'running'
+UNION ALL SELECT DISTINCT run_id, 'aggregate_mismatch' FROM nod WHERE node_id IN ('nod_0', 'nod_5')
+UNION ALL SELECT NULL, CASE WHEN kind = 'invalid_file' AND regexp_matches(artifact_id, '[02468]$') THEN 'integrity_changed_file' ELSE concat('integrity_', kind) END FROM iss WHERE kind IS NOT NULL
+UNION ALL SELECT NULL, CASE WHEN ck % 7 = 0 THEN 'event_frontier_corrupt' ELSE 'stranded_idempotency' END FROM idem WHERE ck % 7 = 0 OR status = 'in_progress')
+SELECT run_id, kind, count(*) AS n FROM k GROUP BY 1, 2""")
+def l11_all_recovery_findings(spark, d):
+    """Findings of every kind, with the real manifests; those of the files and the idempotency records belong to no run."""
+    return _findings(spark, d).groupBy("run_id", "kind").agg(F.count("*").alias("n"))
 
 
 @query(f"{OPS} SELECT run_id, 'ambiguous' AS status FROM runs")

@@ -1,6 +1,9 @@
 """Queries and operators on groups and rows that the given tables are too small to have."""
 
 import datetime as dt
+import os
+
+import duckdb
 
 import __spark_entry__ as entry
 from crosstally.operators import reconcile, repair
@@ -55,3 +58,20 @@ def test_r08_counts_a_large_key(spark, tmp_path):
     spark.createDataFrame([(1, "s")], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
     got = {tuple(r) for r in entry.queries()["r08_outcome_records"](spark, str(tmp_path)).collect()}
     assert got == {("P-1", 1500, 1500), ("S-1", 0, 1)}
+
+
+def against_duckdb(spark, name, at):
+    """The query's rows, which are those of its SQL over the same folder."""
+    con = duckdb.connect()
+    for f in os.listdir(at):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{at}/{f}'")
+    rows = entry.queries()[name](spark, at).collect()
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, con.execute(entry.oracle_sql()[name]).fetchall()))
+    return rows
+
+
+def test_findings_of_every_kind(spark):
+    """l11: findings without a run are kept, and an expired lease of a partition with an artifact is told as such."""
+    rows = against_duckdb(spark, "l11_all_recovery_findings", "/root/testdata/sf0.01")
+    assert {r["kind"] for r in rows if r["run_id"] is None} == {f"integrity_{k}" for k in ("missing_file", "orphan_file", "changed_file", "invalid_file", "unsafe_entry")} | {"stranded_idempotency", "event_frontier_corrupt"}
+    assert sum(r["n"] for r in rows if r["kind"] == "work_expired_with_committed_artifact") > 0
