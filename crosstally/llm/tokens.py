@@ -69,7 +69,8 @@ class _Counter:
                 self.memo[p] = self.memo[p[:-1]] + marks[p[-1]]
 
     def counts(self, texts: list[bytes]) -> list[int]:
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        # the library composes characters before it lower-cases: only pieces that are wholly ASCII may be lower-cased before
+        split = [t.split() if b"<|" in t else t.lower().split() if t.isascii() else [p.lower() if p.isascii() else p for p in t.split()] for t in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
         known = self.memo.__contains__
