@@ -75,3 +75,10 @@ def test_findings_of_every_kind(spark):
     rows = against_duckdb(spark, "l11_all_recovery_findings", "/root/testdata/sf0.01")
     assert {r["kind"] for r in rows if r["run_id"] is None} == {f"integrity_{k}" for k in ("missing_file", "orphan_file", "changed_file", "invalid_file", "unsafe_entry")} | {"stranded_idempotency", "event_frontier_corrupt"}
     assert sum(r["n"] for r in rows if r["kind"] == "work_expired_with_committed_artifact") > 0
+
+
+def test_chronology_reads_events_and_run_times(spark, tmp_path):
+    """h05: an event before its run's creation is found, and so is the run that it makes start early."""
+    spark.createDataFrame([(1, 7, "a", dt.datetime(1999, 1, 1)), (2, 8, "a", dt.datetime(2024, 1, 1))], "event_id long, user_id long, event_type string, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(1, 1, dt.datetime(2001, 1, 1))], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    assert {tuple(r) for r in entry.queries()["h05_chronology"](spark, str(tmp_path)).collect()} == {("event_before_run", "run_7/1"), ("run_times", "run_7")}
