@@ -51,11 +51,23 @@ KNOWN = (
     ),
 )
 
+# Title lines with which the whole texts are usually headed.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "MIT License (MIT)", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"),
+}
+
+
+def titled(known=KNOWN) -> list[tuple[str, str]]:
+    """known, and its whole texts (those of several lines) under each of their titles."""
+    return [*known, *((name, f"{title}\n\n{text}") for name, text in known if "\n" in text for title in TITLES.get(name, ()))]
+
 
 def canonical(text: Column) -> Column:
     """The canonical form; lines that begin with a copyright sign or word, or with an all-rights line, are dropped."""
     c = F.translate(text, UPPER, LOWER)
-    c = F.regexp_replace(F.concat(F.lit("\n"), c), r"\n[^a-z0-9\n]*(copyright|\(c\)|all rights reserved)[^\n]*", "\n")
+    c = F.regexp_replace(F.concat(F.lit("\n"), c), r"\n[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*", "\n")
     c = F.regexp_replace(c, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
     for old, new in SPELLINGS:
         c = F.replace(c, F.lit(f" {old} "), F.lit(f" {new} "))
@@ -73,8 +85,8 @@ def canonical_sql(text: str) -> str:
 
 
 def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """digest, license_id of the list: one row for each of its texts."""
-    rows = spark.createDataFrame(list(known), "license_id string, text string")
+    """digest, license_id of the list: one row for each of its texts, titled or not."""
+    rows = spark.createDataFrame(titled(known), "license_id string, text string")
     return rows.select(F.sha2(canonical(F.concat(F.lit(" "), "text", F.lit(" "))), 256).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
