@@ -1,20 +1,26 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
-Every batch of documents that a task reads is a shard: its words become numbers, its suffixes are sorted (the suffix array), and every
-suffix of every benchmark item is looked up there by binary search. The range found holds all verbatim occurrences with their places.
-Suffixes that begin with fewer words of the benchmark's vocabulary than the shortest window has can't match and are left out of the
-array. The benchmark is the query set: it is read in blocks of at most BLOCK_BYTES of text, and each block is held against all
-documents, so neither a task nor the driver holds more of it than one block.
+Every batch of documents that a task reads is a shard. Its words become numbers, and the suffixes that can match are sorted word by word
+into a suffix array by prefix doubling. Every suffix of every benchmark item is looked up there by binary search: the range that it
+shares its first ``window`` words with gives all places to be hit, and going on word by word inside the range gives its longest verbatim
+match. A shard's words outside the benchmark's vocabulary, and runs of vocabulary words shorter than the shortest window, can't be part
+of a match; a suffix ends there.
+
+The benchmark is the query set. It is read in blocks of at most BLOCK_BYTES (text, names and a fixed sum an item); a block is arrays of
+numbers and one vocabulary, and it is held against all documents before the next one is read, so neither the driver nor a task ever holds
+two. What a block hits is stored in the shared folder, keyed by the text's digest, a row for each different text that is hit.
 
 Defined cases: null and empty texts have no words and are never hit; an item of fewer than ``window`` words is one window, an item
-without words is none; equal item_ids are one item; repeated documents get the same result each; null item_ids are left out; columns
-other than doc_id, text, item_id are not read (the filter keeps all columns).
+without words is none; rows of one item_id are one item, whose windows are those of each row; repeated documents get the same result
+each; null item_ids are left out; very long texts are read whole, as a shard of their own; columns other than doc_id, text, item_id are
+not read (the filter keeps all columns).
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 from math import ceil
 
@@ -23,14 +29,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, small_side
+
 WINDOW = 10
-#: Bytes of benchmark text handled at once.
-BLOCK_BYTES = 16_000_000
+#: Bytes of benchmark text handled at once, and what an item counts beside its text.
+BLOCK_BYTES, ITEM_BYTES = 8_000_000, 100
 #: Bytes of document text in a shard.
 SHARD_BYTES = 3_000_000
 
 #: Lower-cases A-Z; every ASCII byte that is no digit and no letter becomes a blank.
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+#: The same words in a Java pattern.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -38,100 +48,193 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Queries:
-    """The suffixes of one block of benchmark items."""
+    """The suffixes of one block of benchmark items: every place of ``ids`` but the zeros between items."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        self.window, self.vocabulary = window, {}
-        self.items: list[tuple[str, np.ndarray]] = []
-        owners: dict[int, dict[tuple, set[str]]] = defaultdict(lambda: defaultdict(set))
-        self.starts: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
+    def __init__(self, items: Iterator[tuple[str, str | None]], window: int = WINDOW):
+        self.window, self.vocabulary, self.names = window, {}, []
+        parts, sizes = [], []
         for name, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            if not ids:
-                continue
-            n = min(window, len(ids))
-            for i in range(len(ids) - n + 1):
-                owners[n][w := tuple(ids[i : i + n])].add(name)
-                self.starts[w].append((len(self.items), i))
-            self.items.append((name, np.array(ids, np.int64)))
-        #: By length: the windows, their keys, and whose they are.
-        self.windows = {n: (list(d), np.array(list(d), ">u4"), [sorted(x) for x in d.values()]) for n, d in owners.items()}
-        self.shortest = min(self.windows, default=0)
-
-    def shard(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Word numbers (0: not in the vocabulary; documents are followed by a 0), the documents' starts, the suffix array and its keys."""
+            w = words(text)
+            if w:
+                parts.append(np.fromiter((self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w), np.int32, len(w)))
+                sizes.append(len(w))
+                self.names.append(name)
+        sizes = np.array(sizes, np.int64)
+        ends = np.cumsum(sizes + 1)
+        #: Word numbers (0 after each item), and of each item its first place.
+        self.ids = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
+        self.first = ends - sizes - 1
+        for a, p in zip(self.first.tolist(), parts):
+            self.ids[a : a + len(p)] = p
+        self.longest = int(sizes.max(initial=0))
+        left = np.repeat(ends - 1, sizes + 1) - np.arange(len(self.ids))  # words from here to the item's end
+        whole = np.repeat(sizes, sizes + 1)
+        #: How many words each suffix must share: the window, or the whole of a shorter item; 0 for a suffix that is too short.
+        self.need = np.where(left >= window, window, np.where((left == whole) & (left > 0), left, 0)).astype(np.int32)
+        self.needs = np.unique(self.need[self.need > 0]).tolist()
+
+    def item_of(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, places, "right") - 1
+
+
+@dataclass
+class Matches:
+    """Of each benchmark suffix that occurs: its place, what it had to share, its range in the suffix array, and its longest match's."""
+
+    suffix: np.ndarray
+    need: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    length: np.ndarray
+    longest_low: np.ndarray
+    longest_high: np.ndarray
+
+
+def _pairs(rank: np.ndarray, places: np.ndarray, step: int, run: np.ndarray) -> np.ndarray:
+    """Rank at each place and, behind it, the rank step words on; 0 where the suffix has ended by then."""
+    second = np.where(run[places] > step, rank[np.minimum(places + step, len(rank) - 1)], 0)
+    return rank[places].astype(np.int64) << 32 | second
+
+
+class Shard:
+    """The suffix array of some texts, as far as their suffixes can match the queries."""
+
+    def __init__(self, texts: list[list[bytes]], queries: Queries):
+        self.queries, q = queries, queries
         sizes = np.array([len(t) + 1 for t in texts], np.int64)
-        starts = np.concatenate(([0], np.cumsum(sizes)))
-        ids = np.zeros(starts[-1], np.int64)
-        for a, t in zip(starts, texts):
+        #: First place of each text; a 0 follows it.
+        self.starts = np.concatenate(([0], np.cumsum(sizes)))
+        ids = np.zeros(self.starts[-1] + 1, np.int32)
+        for a, t in zip(self.starts.tolist(), texts):
             if t:
-                ids[a : a + len(t)] = np.fromiter(map(self.vocabulary.get, t, repeat(0)), np.int64, len(t))
+                ids[a : a + len(t)] = np.fromiter(map(q.vocabulary.get, t, repeat(0)), np.int32, len(t))
         zeros = np.flatnonzero(ids == 0)
-        run = zeros[np.searchsorted(zeros, np.arange(len(ids)))] - np.arange(len(ids)) if len(zeros) else np.zeros(0, np.int64)
-        at = np.flatnonzero(run >= max(1, self.shortest))
-        steps = np.arange(self.window)
-        keys = np.where(steps < run[at][:, None], ids[np.minimum(at[:, None] + steps, len(ids) - 1)], 0) if len(at) else np.zeros((0, self.window))
-        keys = np.ascontiguousarray(keys.astype(">u4")).view(f"S{4 * self.window}").ravel()
-        order = np.argsort(keys, kind="stable")
-        return ids, starts, at[order], keys[order]
-
-    def ranges(self, suffix_keys: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(length, index of the window, from, to) for each window that occurs: a binary search in the suffix array."""
-        width = 4 * self.window
-        for n, (_, keys, _) in self.windows.items():
-            low = np.zeros((len(keys), self.window), ">u4")
-            high = np.full((len(keys), self.window), 0xFFFFFFFF, ">u4")
-            low[:, :n] = high[:, :n] = keys
-            lo = np.searchsorted(suffix_keys, low.view(f"S{width}").ravel(), "left")
-            hi = np.searchsorted(suffix_keys, high.view(f"S{width}").ravel(), "right")
-            for k in np.flatnonzero(hi > lo):
-                yield n, int(k), int(lo[k]), int(hi[k])
-
-    def occurrences(self, texts: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], list[str]]]:
-        """For each text its hit spans (first word, word after the last; merged) and the names of the items that hit it."""
-        ids, starts, array, keys = self.shard(texts)
-        found: list[tuple[list[tuple[int, int]], set[str]]] = [([], set()) for _ in texts]
-        if not len(array) or not self.windows:
-            return [(s, []) for s, _ in found]
-        edge = np.zeros(len(ids) + 1, np.int64)
-        for n, k, lo, hi in self.ranges(keys):
-            places = array[lo:hi]
+        length = np.diff(zeros, prepend=-1) - 1  # of the run of vocabulary words before each zero
+        kept = length >= max(1, q.needs[0] if q.needs else 1)
+        end, length = zeros[kept], length[kept]
+        places = np.repeat(end, length) - (np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)) - 1
+        self.places = np.sort(places)
+        self.run = np.zeros(len(ids), np.int32)
+        self.run[places] = np.repeat(end, length) - places
+        self.rank0 = np.zeros(len(ids), np.int32)
+        self.rank0[places] = ids[places]
+
+    def matches(self) -> Matches:
+        """Sorts the suffixes by 1, 2, 4 ... words and names the benchmark's word groups of these lengths by the same ranks."""
+        q, none = self.queries, np.zeros(0, np.int64)
+        rank, ranks, named, places = self.rank0, [], [], self.places
+        alive = np.flatnonzero(q.need > 0) if len(places) else none
+        name = q.ids if len(places) else q.ids[:0]
+        step, found = 1, []
+        there = np.zeros(len(q.vocabulary) + 1, bool)
+        there[rank[places]] = True
+        name = np.where(there[name], name, 0).astype(np.int32)
+        while len(places):
+            ranks.append(rank)
+            named.append(name)
+            # windows of step to 2 step - 1 words: a range of the array for those of this length, once it is sorted that far
+            keys = _pairs(rank, places, step, self.run)
+            order = np.argsort(keys, kind="stable")
+            ordered = keys[order]
+            fresh = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+            value = np.cumsum(fresh, dtype=np.int32)
+            if 2 * step > q.longest or not name.any():
+                break
+            unique = ordered[fresh]
+            at = np.flatnonzero(name[: len(name) - step] > 0) if len(name) > step else none
+            at = at[name[at + step] > 0]
+            wanted = name[at].astype(np.int64) << 32 | name[at + step]
+            spot = np.minimum(np.searchsorted(unique, wanted), len(unique) - 1)
+            hit = unique[spot] == wanted
+            name = np.zeros(len(name), np.int32)
+            name[at[hit]] = spot[hit] + 1
+            new = np.zeros(len(rank), np.int32)
+            new[places[order]] = value
+            rank, step = new, 2 * step
+        if not len(places):
+            return Matches(*[none] * 7)
+        array = self.array = places[order]
+        for n in q.needs:
+            k = n.bit_length() - 1
+            if k >= len(ranks):
+                continue
+            step = n - (1 << k)
+            at = alive[q.need[alive] == n]
+            at = at[(named[k][at] > 0) & (named[k][at + step] > 0)]
+            if not len(at):
+                continue
+            # along the array these pairs are in order: suffixes that share their first words are sorted by the next ones
+            keys = _pairs(ranks[k], array, step, self.run) if step else ranks[k][array].astype(np.int64) << 32
+            wanted = named[k][at].astype(np.int64) << 32 | (named[k][at + step] if step else 0)
+            low, high = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
+            some = high > low
+            found.append((at[some], np.full(int(some.sum()), n), low[some], high[some]))
+        if not found:
+            return Matches(*[none] * 7)
+        suffix, need, low, high = (np.concatenate(x).astype(np.int64) for x in zip(*found))
+        length, a, b = need.copy(), low.copy(), high.copy()
+        for k in range(len(ranks) - 1, -1, -1):
+            next_ = np.minimum(suffix + length, len(q.ids) - 1)
+            wanted = np.where(suffix + length < len(q.ids), named[k][next_], 0)
+            go = np.flatnonzero(wanted > 0)
+            if len(go):
+                lo = self._bound(ranks[k], a[go], b[go], length[go], wanted[go])
+                hi = self._bound(ranks[k], lo, b[go], length[go], wanted[go] + 1)
+                more = hi > lo
+                a[go[more]], b[go[more]] = lo[more], hi[more]
+                length[go[more]] += 1 << k
+        return Matches(suffix, need, low, high, length, a, b)
+
+    def _bound(self, rank: np.ndarray, low: np.ndarray, high: np.ndarray, step: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """First index from low to high whose suffix has, step words on, a rank of at least the wanted one."""
+        low, high = low.copy(), high.copy()
+        while (open_ := low < high).any():
+            mid = (low + high) // 2
+            p = self.array[np.minimum(mid, len(self.array) - 1)]
+            below = np.where(self.run[p] > step, rank[np.minimum(p + step, len(rank) - 1)], 0) < wanted
+            low, high = np.where(open_ & below, mid + 1, low), np.where(open_ & ~below, mid, high)
+        return low
+
+    def text_of(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, places, "right") - 1
+
+    def hits(self) -> dict[int, tuple[list[tuple[int, int]], list[str]]]:
+        """By text: its hit spans (first word, word after the last; merged) and the names of the items that hit it."""
+        m = self.matches()
+        edge, items = np.zeros(len(self.run) + 1, np.int64), {}
+        owner = self.queries.item_of(m.suffix).tolist()
+        for n, low, high, item in zip(m.need.tolist(), m.low.tolist(), m.high.tolist(), owner):
+            places = self.array[low:high]
             edge[places] += 1
             edge[places + n] -= 1
-            for d in np.unique(np.searchsorted(starts, places, "right") - 1):
-                found[d][1].update(self.windows[n][2][k])
-        covered = np.concatenate(([0], np.cumsum(edge)[:-1] > 0, [0])).astype(np.int8)
+            for d in np.unique(self.text_of(places)).tolist():
+                items.setdefault(d, set()).add(self.queries.names[item])
+        covered = np.concatenate(([0], np.cumsum(edge) > 0)).astype(np.int8)
         turn = np.flatnonzero(np.diff(covered))
-        for a, b in zip(turn[::2], turn[1::2]):
-            d = int(np.searchsorted(starts, a, "right") - 1)
-            found[d][0].append((int(a - starts[d]), int(b - starts[d])))
-        return [(s, sorted(i)) for s, i in found]
-
-    def longest(self, texts: list[list[bytes]], doc_ids: list) -> Iterator[tuple]:
-        """(item, first item word, length, doc_id, first document word) for the longest verbatim match of each suffix that has one."""
-        ids, starts, array, keys = self.shard(texts)
-        for n, k, lo, hi in self.ranges(keys) if len(array) else ():
-            places = array[lo:hi]
-            for item, i in self.starts[self.windows[n][0][k]]:
-                name, own = self.items[item]
-                alive, length = places, n
-                while i + length < len(own):
-                    more = alive[ids[alive + length] == own[i + length]]
-                    if not len(more):
-                        break
-                    alive, length = more, length + 1
-                d = int(np.searchsorted(starts, alive[0], "right") - 1)
-                yield name, i, length, doc_ids[d], int(alive[0] - starts[d])
+        spans: dict[int, list[tuple[int, int]]] = {}
+        for d, a, z in zip(self.text_of(turn[::2]).tolist(), turn[::2].tolist(), turn[1::2].tolist()):
+            spans.setdefault(d, []).append((int(a - self.starts[d]), int(z - self.starts[d])))
+        return {d: (s, sorted(items[d])) for d, s in spans.items()}
+
+    def longest(self, doc_ids: list[int]) -> Iterator[tuple]:
+        """(item, first item word, length, doc_id, first document word): of the places of each suffix's longest match that with the smallest doc_id and word."""
+        m, ids = self.matches(), np.array(doc_ids, np.int64)
+        owner = self.queries.item_of(m.suffix)
+        for item, s, n, low, high in zip(owner.tolist(), m.suffix.tolist(), m.length.tolist(), m.longest_low.tolist(), m.longest_high.tolist()):
+            places = self.array[low:high]
+            text = self.text_of(places)
+            best = np.lexsort((places - self.starts[text], ids[text]))[0]
+            yield self.queries.names[item], int(s - self.queries.first[item]), n, int(ids[text[best]]), int(places[best] - self.starts[text[best]])
 
 
 def query_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[Queries]:
-    """The benchmark in blocks of about block_bytes; an item is never cut."""
+    """The benchmark in blocks of about block_bytes, one at a time; rows of one item_id are never parted."""
     items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.octet_length("item_id") + ITEM_BYTES)).first()[0] or 0
     n = max(1, ceil(total / block_bytes))
     for k in range(n):
         block = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        yield Queries([(r["item_id"], r["text"]) for r in block.collect()], window)
+        yield Queries(((r["item_id"], r["text"]) for r in block.toLocalIterator()), window)
 
 
 def _shards(texts: list) -> Iterator[tuple[int, int]]:
@@ -146,73 +249,78 @@ def _shards(texts: list) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def hits_column(text: Column, queries: Queries) -> Column:
-    """struct(n_words, spans, items) of one block."""
+_HIT = "digest string, spans array<struct<first:long,after:long>>, items array<string>"
 
-    @F.pandas_udf("n_words long, spans array<struct<first:long,after:long>>, items array<string>")
-    def hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts, rows = b.tolist(), []
-            for i, j in _shards(texts):
-                split = [words(t) for t in texts[i:j]]
-                rows += [(len(w), [{"first": a, "after": z} for a, z in s], x) for w, (s, x) in zip(split, queries.occurrences(split))]
-            yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
 
-    return hits(text)
+def block_hits(docs: DataFrame, queries: Queries) -> DataFrame:
+    """digest (SHA-256 of the text), spans, items of every row of docs(text) that one block hits."""
 
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts, rows = b["text"].tolist(), []
+            for i, j in _shards(texts):
+                for d, (spans, items) in sorted(Shard([words(t) for t in texts[i:j]], queries).hits().items()):
+                    rows.append((hashlib.sha256(texts[i + d].encode()).hexdigest(), [{"first": a, "after": z} for a, z in spans], items))
+            yield pd.DataFrame(rows, columns=["digest", "spans", "items"])
 
-def _union_size(rows) -> int:
-    n = end = 0
-    for a, z in sorted((r["first"], r["after"]) for r in rows):
-        n += max(0, z - max(a, end))
-        end = max(end, z)
-    return n
+    return docs.filter("text is not null").select("text").mapInPandas(found, _HIT)
 
 
-def _covered(spans: Column) -> Column:
-    """Words inside any span of several blocks."""
+def text_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """digest, n_hit, spans, items: a row for each different text that any block hits, its spans merged over the blocks."""
+    out = None
+    for q in query_blocks(benchmark, window, block_bytes):
+        # copies of a text are one row before they move
+        part = cut(block_hits(docs, q).groupBy("digest").agg(F.first("spans").alias("spans"), F.first("items").alias("items")))
+        out = part if out is None else out.unionByName(part)
+    together = out.groupBy("digest").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    span = lambda a, z: F.struct(a.alias("first"), z.alias("after"))
+    start = F.array().cast("array<struct<first:bigint,after:bigint>>")
 
-    @F.pandas_udf("long")
-    def size(s: pd.Series) -> pd.Series:
-        return s.map(_union_size)
+    def join(done: Column, s: Column) -> Column:
+        last = F.element_at(done, -1)
+        touches = (F.size(done) > 0) & (s["first"] <= F.when(F.size(done) > 0, last["after"]))
+        return F.when(touches, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(span(last["first"], F.greatest(last["after"], s["after"]))))).otherwise(F.concat(done, F.array(s)))
 
-    return size(spans)
+    merged = together.withColumn("spans", F.aggregate("s", start, join))
+    return merged.select("digest", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["after"] - s["first"]).alias("n_hit"), "spans", "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, item_ids, spans, contaminated for every row of docs(doc_id, text). No row is shuffled."""
-    out, parts = docs.select("doc_id", "text"), []
-    for k, q in enumerate(query_blocks(benchmark, window, block_bytes)):
-        out, parts = out.withColumn(f"hits{k}", hits_column(F.col("text"), q)), [*parts, f"hits{k}"]
-    spans = F.flatten(F.array(*[F.col(f"{p}.spans") for p in parts]))
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{p}.items") for p in parts]))))
-    n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["after"] - s["first"]) if len(parts) == 1 else _covered(spans)
-    return out.select("doc_id", F.col("hits0.n_words").alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("item_ids"), spans.alias("spans"), (F.size(spans) > 0).alias("contaminated"))
+    """doc_id, n_words, n_hit, n_items, item_ids, spans, contaminated for every row of docs(doc_id, text). Texts are not shuffled, their digests may be."""
+    hits = text_hits(docs, benchmark, window, block_bytes)
+    n_words = F.coalesce(F.regexp_count(F.col("text"), F.lit(_WORD)), F.lit(0)).cast("long")
+    told = docs.select("doc_id", n_words.alias("n_words"), F.sha2("text", 256).alias("digest")).join(hits, "digest", "left")
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    spans = F.coalesce("spans", F.array().cast("array<struct<first:bigint,after:bigint>>"))
+    return told.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("item_ids"), spans.alias("spans"), F.col("n_hit").isNotNull().alias("contaminated"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, with all their columns, that no window hits."""
-    for q in query_blocks(benchmark, window, block_bytes):
-        docs = docs.filter(F.size(hits_column(F.col("text"), q)["spans"]) == 0)
-    return docs
+    hits = small_side(text_hits(docs, benchmark, window, block_bytes).select(F.col("digest").alias("hit_digest")))
+    return docs.join(hits, F.sha2(docs["text"], 256) == F.col("hit_digest"), "left_anti")
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """item_id, item_word, length, doc_id, doc_word: over all shards the longest verbatim match of each test suffix, and one place of it."""
-    out = None
+    """item_id, item_word, length, doc_id, doc_word: over all shards the longest verbatim match of each test suffix that shares its window, and one place of it.
+
+    Of equally long matches the one with the smallest doc_id and then the smallest word is told; rows with a null doc_id are left out.
+    """
+    out, best = None, F.max_by(F.struct("length", "doc_id", "doc_word"), F.struct("length", -F.col("doc_id"), -F.col("doc_word")))
     for q in query_blocks(benchmark, window, block_bytes):
 
         def matches(batches: Iterator[pd.DataFrame], q: Queries = q) -> Iterator[pd.DataFrame]:
             for b in batches:
                 texts, names = b["text"].tolist(), b["doc_id"].tolist()
                 for i, j in _shards(texts):
-                    rows = list(q.longest([words(t) for t in texts[i:j]], names[i:j]))
+                    rows = list(Shard([words(t) for t in texts[i:j]], q).longest(names[i:j]))
                     yield pd.DataFrame(rows, columns=["item_id", "item_word", "length", "doc_id", "doc_word"])
 
-        part = docs.filter("doc_id is not null").select("doc_id", "text").mapInPandas(matches, "item_id string, item_word long, length long, doc_id long, doc_word long")
+        part = docs.filter("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(matches, "item_id string, item_word long, length long, doc_id long, doc_word long")
+        part = cut(part.groupBy("item_id", "item_word").agg(best.alias("best")).select("item_id", "item_word", "best.*"))
         out = part if out is None else out.unionByName(part)
-    best = F.max_by(F.struct("length", "doc_id", "doc_word"), F.struct("length", -F.col("doc_id"), -F.col("doc_word")))
-    return out.groupBy("item_id", "item_word").agg(best.alias("best")).select("item_id", "item_word", "best.*")
+    return out
 
 
 def digest_of_items(item_ids: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontaminate
 from .chat import chat_digests, format_chats
 from .common import id_remainder, table
 from .decontaminate import contamination, digest_of_items
@@ -70,6 +71,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest_of_items(F.col("item_ids")).alias("items_sha256"), "contaminated")
 
 
+def longest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other result of operator 8: where, and how long, each benchmark suffix is found verbatim."""
+    return decontaminate.longest_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -88,7 +94,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_tokens, op3_toxicity, op4_simhash, op5_mixing, op6_langid, op7_licenses, op8_decontaminate, op9_chat, op10_media, pipeline)
+    f.__name__: f for f in (op1_quality, op2_tokens, op3_toxicity, op4_simhash, op5_mixing, op6_langid, op7_licenses, op8_decontaminate, longest_matches, op9_chat, op10_media, pipeline)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -109,4 +115,17 @@ items AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, '
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)""",
+    "longest_matches": f"""
+WITH b AS (SELECT row_number() OVER () AS rb, CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT rb, item, i AS j, least(len(w), 10) AS n, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS g
+        FROM b, unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS t(i) WHERE len(w) > 0),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
+lens AS (SELECT DISTINCT n FROM win),
+pos AS (SELECT r, doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d),
+occ AS (SELECT rb, item, j, lens.n, r, doc_id, i FROM pos, lens, win
+        WHERE i + lens.n - 1 <= len(w) AND win.n = lens.n AND win.g = array_to_string(list_slice(w, i, i + lens.n - 1), ' ')),
+chains AS (SELECT *, j - row_number() OVER (PARTITION BY rb, r, i - j ORDER BY j) AS chain FROM occ),
+told AS (SELECT item, j, doc_id, i, n + max(j) OVER (PARTITION BY rb, r, i - j, chain) - j AS length FROM chains),
+best AS (SELECT *, row_number() OVER (PARTITION BY item, j ORDER BY length DESC, doc_id, i) AS k FROM told)
+SELECT item AS item_id, CAST(j - 1 AS BIGINT) AS item_word, CAST(length AS BIGINT) AS length, doc_id, CAST(i - 1 AS BIGINT) AS doc_word FROM best WHERE k = 1""",
 }
