@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate
 from .chat import chat_digests, format_chats
-from .common import id_remainder, table
+from .common import id_remainder, remove, table
 from .decontaminate import contamination, digest_of_items
 from .langid import fit_profiles, predict_language
 from .licenses import scan_licenses, scan_sql
@@ -35,7 +35,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    counted = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), new_cache(spark))
+    docs, path, cache = table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), new_cache(spark)
+    count_tokens(docs, path, cache)  # fills the cache, which is new
+    counted = count_tokens(docs, path, cache)  # finds every digest there and encodes nothing
+    remove(spark, cache)
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
