@@ -1,11 +1,13 @@
 """Media columns: ISO media containers.
 
 ``to_media`` stores a payload losslessly as 8-bit mono PCM in an ISO base media file: file type box, movie box with one track and its
-sample tables, media data. ``describe`` walks the nested boxes of any such file, decodes the sample tables and gives codec, duration
-and the byte ranges of the keyframes without touching the payload; ``read_samples`` follows the chunk and size tables to the stored bytes.
+sample tables, media data. ``describe`` walks the nested boxes of any such file, decodes the sample tables and gives, for each track,
+codec, duration and the byte ranges of all keyframes without touching the payload; ``read_samples`` follows the chunk and size tables to
+the stored bytes.
 
-Defined cases: null text is empty; an empty text is one unit of padding; bytes that are no container, or whose boxes are cut short,
-raise an error in ``walk`` and give null features in ``describe_column``; equal texts give equal files (no clock is stored); repeated
+Defined cases: null text is empty; an empty text is one unit of padding; bytes that are no container, whose boxes are cut short, or whose
+tables claim what the file can't hold raise a ValueError before memory is taken, and give null in ``describe_column``; a track without a
+list of keyframes has each sample as one; a file without a track has an empty list; equal texts give equal files (no clock is stored); repeated
 rows get a row each; texts are stored whole whatever their length (64-bit sizes and offsets where needed).
 """
 
@@ -93,10 +95,13 @@ def to_media(payload: bytes) -> bytes:
     return kind + movie(start) + _box(b"mdat", payload)
 
 
-def walk(media: bytes, start: int = 0, stop: int | None = None, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
-    """(path, first byte of the body, byte after it) of every box, outer boxes first."""
-    stop = len(media) if stop is None else stop
-    while start < stop:
+def walk(media: bytes) -> Iterator[tuple[tuple, int, int]]:
+    """(path, first byte of the body, byte after it) of every box, in file order, outer boxes first. Boxes may be nested to any depth."""
+    open_ = [((), 0, len(media))]  # what is left of each box that is open
+    while open_:
+        path, start, stop = open_.pop()
+        if start == stop:
+            continue
         if stop - start < 8:
             raise ValueError("a box is cut short")
         size, kind = struct.unpack_from(">I4s", media, start)
@@ -109,25 +114,58 @@ def walk(media: bytes, start: int = 0, stop: int | None = None, path: tuple = ()
             size = stop - start
         if size < head or start + size > stop:
             raise ValueError("a box is cut short")
-        yield (*path, kind), start + head, start + size
+        open_.append((path, start + size, stop))
+        here = (*path, kind) if len(path) < 8 else path  # nothing of use lies deeper, and a path of any depth would cost its square
+        yield here, start + head, start + size
         if kind in _NESTED:
-            yield from walk(media, start + head, start + size, (*path, kind))
-        start += size
+            open_.append((here, start + head, start + size))
 
 
-def _table(media: bytes, at: int, dtype: str, skip: int = 0) -> np.ndarray:
+def _table(media: bytes, at: int, stop: int, dtype: np.dtype | str, skip: int = 0) -> np.ndarray:
+    """The entries of a counted table; the count must fit in the box."""
     n = struct.unpack_from(">I", media, at + 4 + skip)[0]
+    if at + 8 + skip + n * np.dtype(dtype).itemsize > stop:
+        raise ValueError("a table is longer than its box")
     return np.frombuffer(media, dtype, n, at + 8 + skip)
 
 
+_TIMES = np.dtype([("n", ">u4"), ("delta", ">u4")])
+_RUNS = np.dtype([("first", ">u4"), ("n", ">u4"), ("entry", ">u4")])
+
+
+def _samples(t: dict, size: int) -> None:
+    """Byte offsets and sizes of a track's samples from its tables, whose counts must agree with each other and with the file's size."""
+    first = np.append(t["runs"]["first"].astype(np.int64), len(t["chunks"]) + 1)
+    if len(first) > 1 and (first[0] != 1 or (np.diff(first) < 0).any()):
+        raise ValueError("runs of chunks are out of order")
+    if int((t["runs"]["n"].astype(np.int64) * np.diff(first)).sum()) != t["n_samples"]:
+        raise ValueError("chunks and samples disagree")
+    if isinstance(t["sizes"], int):
+        if t["n_samples"] * max(1, t["sizes"]) > size:
+            raise ValueError("more samples than bytes")
+        t["sizes"] = np.full(t["n_samples"], t["sizes"], np.int64)
+    elif t["n_samples"] > size:
+        raise ValueError("more samples than bytes")
+    per_chunk = np.repeat(t["runs"]["n"].astype(np.int64), np.diff(first))
+    chunk = np.repeat(np.arange(len(per_chunk)), per_chunk)
+    before = np.cumsum(t["sizes"]) - t["sizes"]
+    head = np.minimum(np.cumsum(per_chunk) - per_chunk, max(0, len(before) - 1))
+    t["offsets"] = t["chunks"][chunk] + before - (before[head][chunk] if len(before) else 0)
+    keys = t.setdefault("keys", np.arange(t["n_samples"]))
+    if len(keys) and not (0 <= keys.min() and keys.max() < t["n_samples"]):
+        raise ValueError("a keyframe is no sample")
+    if len(t["sizes"]) and (t["offsets"].min() < 0 or t["offsets"].max() > size or int((t["offsets"] + t["sizes"]).max()) > size):
+        raise ValueError("a sample lies outside the file")
+
+
 def tracks(media: bytes) -> list[dict]:
     """Codec, times and sample tables of each track, from the boxes alone."""
     found: list[dict] = []
-    for path, a, _ in walk(media):
+    for path, a, z in walk(media):
         kind = path[-1]
-        if kind == b"trak":
+        if path == (b"moov", b"trak"):
             found.append({})
-        if not found or path[:2] != (b"moov", b"trak"):
+        if not found or path[:2] != (b"moov", b"trak") or z - a < 8:
             continue
         t = found[-1]
         if kind == b"mdhd":
@@ -137,37 +175,34 @@ def tracks(media: bytes) -> list[dict]:
         elif kind == b"stsd":
             t["codec"] = media[a + 12 : a + 16].decode("latin-1")
         elif kind == b"stts":
-            t["times"] = _table(media, a, np.dtype([("n", ">u4"), ("delta", ">u4")]))
+            t["times"] = _table(media, a, z, _TIMES)
         elif kind == b"stsc":
-            t["runs"] = _table(media, a, np.dtype([("first", ">u4"), ("n", ">u4"), ("entry", ">u4")]))
+            t["runs"] = _table(media, a, z, _RUNS)
         elif kind == b"stsz":
-            same, n = struct.unpack_from(">II", media, a + 4)
-            t["sizes"] = np.full(n, same, np.int64) if same else _table(media, a, ">u4", 4).astype(np.int64)
+            same, t["n_samples"] = struct.unpack_from(">II", media, a + 4)
+            t["sizes"] = same if same else _table(media, a, z, ">u4", 4).astype(np.int64)
         elif kind in (b"stco", b"co64"):
-            t["chunks"] = _table(media, a, ">u8" if kind == b"co64" else ">u4").astype(np.int64)
+            t["chunks"] = _table(media, a, z, ">u8" if kind == b"co64" else ">u4").astype(np.int64)
         elif kind == b"stss":
-            t["keys"] = _table(media, a, ">u4").astype(np.int64) - 1
+            t["keys"] = _table(media, a, z, ">u4").astype(np.int64) - 1
     for t in found:
-        first = np.append(t["runs"]["first"].astype(np.int64), len(t["chunks"]) + 1)
-        per_chunk = np.repeat(t["runs"]["n"].astype(np.int64), np.diff(first))
-        chunk = np.repeat(np.arange(len(per_chunk)), per_chunk)
-        before = np.cumsum(t["sizes"]) - t["sizes"]
-        head = np.cumsum(per_chunk) - per_chunk
-        t["offsets"] = t["chunks"][chunk] + before - before[head][chunk]
-        t.setdefault("keys", np.arange(len(t["sizes"])))
+        _samples(t, len(media))
     return found
 
 
-def describe(media: bytes) -> dict:
-    """codec, handler, timescale, duration, n_samples, keyframes as [offset, length] pairs, and the length of the longest sample."""
-    t = tracks(media)[0]
-    ranges = np.stack([t["offsets"][t["keys"]], t["sizes"][t["keys"]]], 1)
-    return {"codec": t["codec"].strip(), "handler": t["handler"], "timescale": t["scale"], "duration": int((t["times"]["n"].astype(np.int64) * t["times"]["delta"]).sum()), "n_samples": len(t["sizes"]), "keyframes": ranges.tolist(), "max_sample": int(t["sizes"].max(initial=0))}
+def describe(media: bytes) -> list[dict]:
+    """Of each track: codec, handler, timescale, duration, n_samples, all keyframes as [offset, length] pairs, and the length of the longest sample."""
+    out = []
+    for t in tracks(media):
+        ranges = np.stack([t["offsets"][t["keys"]], t["sizes"][t["keys"]]], 1)
+        duration = int((t["times"]["n"].astype(np.int64) * t["times"]["delta"]).sum())
+        out.append({"codec": t["codec"].strip(), "handler": t["handler"], "timescale": t["scale"], "duration": duration, "n_samples": len(t["sizes"]), "keyframes": ranges.tolist(), "max_sample": int(t["sizes"].max(initial=0))})
+    return out
 
 
-def read_samples(media: bytes) -> bytes:
-    """The stored bytes of the first track, in order."""
-    t = tracks(media)[0]
+def read_samples(media: bytes, track: int = 0) -> bytes:
+    """The stored bytes of one track, in order."""
+    t = tracks(media)[track]
     return b"".join(media[o : o + n] for o, n in zip(t["offsets"].tolist(), t["sizes"].tolist()))
 
 
@@ -182,39 +217,39 @@ def media_column(text: Column) -> Column:
     return stored(text)
 
 
-_FEATURES = "codec string, handler string, timescale long, duration long, n_samples long, max_sample long, keyframes array<struct<offset:long,length:long>>"
+_TRACK = "struct<codec:string,handler:string,timescale:bigint,duration:bigint,n_samples:bigint,max_sample:bigint,keyframes:array<struct<offset:bigint,length:bigint>>>"
 
 
 def describe_column(media: Column) -> Column:
-    """The description of each container as a struct; null where the bytes can't be read."""
+    """An array of the tracks of each container; null where the bytes are null or can't be read."""
 
-    @F.pandas_udf(_FEATURES)
-    def described(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        names = [x.split(" ")[0] for x in _FEATURES.split(", ")]
+    @F.pandas_udf(f"array<{_TRACK}>")
+    def described(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
             rows = []
             for m in b:
                 try:
-                    d = describe(m)
-                    rows.append([*(d[n] for n in names[:-1]), [{"offset": o, "length": n} for o, n in d["keyframes"]]])
-                except (ValueError, TypeError, KeyError, IndexError, struct.error):
-                    rows.append([None] * len(names))
-            yield pd.DataFrame(rows, columns=names).astype({n: "Int64" for n in names[2:6]})
+                    rows.append([d | {"keyframes": [{"offset": o, "length": n} for o, n in d["keyframes"]]} for d in describe(bytes(m))])
+                except (ValueError, TypeError, KeyError, IndexError, OverflowError, struct.error):
+                    rows.append(None)
+            yield pd.Series(rows, dtype=object)
 
     return described(media)
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature for docs(doc_id, text), from the stored bytes read back."""
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature for docs(doc_id, text), from the stored bytes read back.
+
+    feature is the JSON of the one track's description, all keyframe ranges included.
+    """
 
     @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for m in b:
-                back, d = read_samples(m), describe(m)
-                d["keyframes"] = [len(d["keyframes"]), d["keyframes"][0], d["keyframes"][-1]]
-                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(m), hashlib.sha256(m).hexdigest(), json.dumps(d, sort_keys=True)))
+                back = read_samples(m)
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(m), hashlib.sha256(m).hexdigest(), json.dumps(describe(m)[0], sort_keys=True)))
             yield pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     n = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import struct
 import zlib
@@ -67,7 +68,8 @@ def test_container_round_trip(n):
     payload = media.padded("".join(chr(rng.choice([65, 233, 0x4E00])) for _ in range(n)))
     m = media.to_media(payload)
     assert media.read_samples(m) == payload and media.to_media(payload) == m
-    d = media.describe(m)
+    (d,) = media.describe(m)
+    assert len(d["keyframes"]) == -(-d["n_samples"] // 64)
     assert d["codec"] == "raw" and d["duration"] == len(payload) and d["n_samples"] * media.UNIT == len(payload)
     for k, (offset, length) in enumerate(d["keyframes"]):
         assert m[offset : offset + length] == payload[k * 64 * 576 : k * 64 * 576 + 576]
@@ -87,7 +89,7 @@ def test_other_layouts_are_read():
     start = 8 + len(movie(0, 0)) + 8
     m = box(b"free", b"") + movie(start, start + 8) + struct.pack(">I4s", 0, b"mdat") + data
     assert media.read_samples(m) == data
-    d = media.describe(m)
+    (d,) = media.describe(m)
     assert d["codec"] == "abcd" and d["duration"] == 30 and d["keyframes"] == [[start, 3], [start + 3, 5], [start + 8, 2]]
 
 
@@ -96,7 +98,89 @@ def test_broken_containers(spark):
     with pytest.raises(ValueError):
         list(media.walk(good[:-1]))
     rows = spark.createDataFrame([(1, good), (2, good[:50]), (3, b""), (4, None)], "id int, m binary").select("id", media.describe_column(F.col("m")).alias("d")).collect()
-    assert {r["id"]: r["d"]["codec"] for r in rows} == {1: "raw", 2: None, 3: None, 4: None}
+    assert {r["id"]: r["d"] and r["d"][0]["codec"] for r in rows} == {1: "raw", 2: None, 3: [], 4: None}
+
+
+def test_hostile_containers(spark):
+    """Deep nesting, false counts and offsets outside the file are told at once, without their memory."""
+    good = media.to_media(media.padded("x" * 5000))
+    nested = b""
+    for _ in range(3000):
+        nested = struct.pack(">I4s", len(nested) + 8, b"moov") + nested
+
+    def patched(kind, skip, value, form=">I"):
+        at = good.index(kind) + 8 + skip
+        return good[:at] + struct.pack(form, value) + good[at + struct.calcsize(form) :]
+
+    bad = [patched(b"stsz", 4, 1 << 31), patched(b"stts", 0, 1 << 31), patched(b"stco", 0, 1 << 30), patched(b"stco", 4, 1 << 31), patched(b"stss", 4, 0), patched(b"stsc", 8, 1 << 31), patched(b"stsc", 4, 7)]
+    for m in bad:
+        with pytest.raises(ValueError):
+            media.describe(m)
+    assert media.describe(nested) == [] and len(list(media.walk(nested))) == 3000
+    rows = spark.createDataFrame([(i, m) for i, m in enumerate([good, nested, *bad])], "id int, m binary").select("id", media.describe_column(F.col("m")).alias("d")).collect()
+    assert {r["id"]: None if r["d"] is None else len(r["d"]) for r in rows} == {0: 1, 1: 0} | {i: None for i in range(2, 2 + len(bad))}
+
+
+def _plain_box(kind, body):
+    return struct.pack(">I", len(body) + 8) + kind + body
+
+
+def _plain_track(number, handler, codec, sizes, offset, keys):
+    f = lambda kind, body: _plain_box(kind, bytes(4) + body)
+    n = len(sizes)
+    table = f(b"stsd", struct.pack(">II", 1, 16) + codec + bytes(8)) + f(b"stts", struct.pack(">III", 1, n, 7)) + f(b"stsc", struct.pack(">IIII", 1, 1, n, 1)) + f(b"stsz", struct.pack(f">II{n}I", 0, n, *sizes)) + f(b"stco", struct.pack(">II", 1, offset))
+    if keys:
+        table += f(b"stss", struct.pack(f">I{len(keys)}I", len(keys), *keys))
+    media_box = _plain_box(b"mdia", f(b"mdhd", struct.pack(">IIII", 0, 0, 50, n * 7)) + f(b"hdlr", bytes(4) + handler + bytes(12)) + _plain_box(b"minf", _plain_box(b"stbl", table)))
+    return _plain_box(b"trak", f(b"tkhd", struct.pack(">III", 0, 0, number)) + media_box)
+
+
+def test_two_tracks(spark):
+    """Sound before picture: both are described, each with its own ranges."""
+    sound, picture = b"so" * 6, b"pictures!"
+    build = lambda at: _plain_box(b"moov", _plain_track(1, b"soun", b"mp4a", [4, 4, 4], at, []) + _plain_track(2, b"vide", b"avc1", [5, 4], at + 12, [1]))
+    start = len(build(0)) + 8
+    m = build(start) + _plain_box(b"mdat", sound + picture)
+    a, b = media.describe(m)
+    assert (a["handler"], a["codec"], a["duration"], a["keyframes"]) == ("soun", "mp4a", 21, [[start, 4], [start + 4, 4], [start + 8, 4]])
+    assert (b["handler"], b["codec"], b["duration"], b["keyframes"]) == ("vide", "avc1", 14, [[start + 12, 5]])
+    assert media.read_samples(m) == sound and media.read_samples(m, 1) == picture
+    (r,) = spark.createDataFrame([(m,)], "m binary").select(media.describe_column(F.col("m")).alias("d")).collect()
+    assert [(t["handler"], [tuple(k) for k in t["keyframes"]]) for t in r["d"]] == [("soun", [(start, 4), (start + 4, 4), (start + 8, 4)]), ("vide", [(start + 12, 5)])]
+
+
+def plain_file(payload):
+    """The stored form of a payload, written out from the format's definition."""
+    f = lambda kind, body, version=0, flags=0: _plain_box(kind, bytes([version]) + flags.to_bytes(3, "big") + body)
+    units, chunks = len(payload) // 576, -(-len(payload) // (576 * 64))
+    last = units - 64 * (chunks - 1)
+    runs = [(1, 64, 1)] * (chunks > 1 or last == 64) + [(chunks, last, 1)] * (last < 64)
+    matrix = struct.pack(">9I", 65536, 0, 0, 0, 65536, 0, 0, 0, 1 << 30)
+
+    def moov(at):
+        sample = _plain_box(b"raw ", bytes(6) + b"\0\1" + bytes(8) + b"\0\1\0\x08" + bytes(4) + struct.pack(">I", 8000 * 65536))
+        tables = [f(b"stsd", struct.pack(">I", 1) + sample), f(b"stts", struct.pack(">III", 1, units, 576)), f(b"stsc", struct.pack(">I", len(runs)) + b"".join(struct.pack(">III", *r) for r in runs)), f(b"stsz", struct.pack(">II", 576, units))]
+        tables += [f(b"stss", struct.pack(">I", chunks) + b"".join(struct.pack(">I", 64 * k + 1) for k in range(chunks))), f(b"stco", struct.pack(">I", chunks) + b"".join(struct.pack(">I", at + 64 * 576 * k) for k in range(chunks)))]
+        minf = _plain_box(b"minf", f(b"smhd", bytes(4)) + _plain_box(b"dinf", f(b"dref", struct.pack(">I", 1) + f(b"url ", b"", flags=1))) + _plain_box(b"stbl", b"".join(tables)))
+        mdia = _plain_box(b"mdia", f(b"mdhd", struct.pack(">IIIIHH", 0, 0, 8000, units * 576, 0x55C4, 0)) + f(b"hdlr", bytes(4) + b"soun" + bytes(12) + b"sound\0") + minf)
+        tkhd = f(b"tkhd", struct.pack(">IIIII", 0, 0, 1, 0, units * 576) + bytes(8) + struct.pack(">HHHH", 0, 0, 256, 0) + matrix + bytes(8), flags=3)
+        return _plain_box(b"moov", f(b"mvhd", struct.pack(">IIIIIH", 0, 0, 8000, units * 576, 65536, 256) + bytes(10) + matrix + bytes(24) + struct.pack(">I", 2)) + _plain_box(b"trak", tkhd + mdia))
+
+    kind = _plain_box(b"ftyp", b"isom" + struct.pack(">I", 512) + b"isomiso2mp41")
+    start = len(kind) + len(moov(0)) + 8
+    keys = [[start + 64 * 576 * k, 576] for k in range(chunks)]
+    return kind + moov(start) + _plain_box(b"mdat", payload), {"codec": "raw", "handler": "soun", "timescale": 8000, "duration": len(payload), "n_samples": units, "keyframes": keys, "max_sample": 576}
+
+
+def test_op10_whole_result(spark):
+    """media_bytes, media_sha256 and feature against a file written out by hand, on a whole table with texts of several chunks."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(-1, "é" * 100_000), (-2, ""), (-3, None), (-4, "a" * 576 * 64)], "doc_id long, text string"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in media.media_digests(docs).collect():
+        b = (texts[r["doc_id"]] or "").encode()
+        m, told = plain_file(b + b"\xff" * ((-len(b)) % 576 or (0 if b else 576)))
+        assert (r["media_bytes"], r["media_sha256"], json.loads(r["feature"])) == (len(m), hashlib.sha256(m).hexdigest(), told)
 
 
 def test_op10_contract(spark):
