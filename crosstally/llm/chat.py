@@ -2,13 +2,16 @@ r"""Chat formatting with spans found by incremental black-box rendering.
 
 A template is any function from a list of (role, text) to a string. Successive prefixes of a conversation are rendered; where one
 output is the beginning of the next, what was added is the new turn's span; where it isn't, the template rewrites history, which is
-reported. Inside a span the text's place is found by rendering the turn once more with a marker for its text.
+reported and no span after that place is told. Inside a span the text's place is found by rendering the turn once more with a marker for
+its text; a template that drops or mangles a text loses the marker, and that turn has no place.
 
 The template here writes <s>role: user as [INST] text [/INST], assistant as <s> text </s>, any other role as [TURN role] text [/TURN]. Inside texts and roles a backslash is put
 before every backslash and before every sign that begins one of these control strings, so the output can be read back exactly.
 
 Defined cases: null text and null role are empty; turns are ordered by turn (null first), then role, then text; repeated rows are turns
-of their own; a null conv_id is a conversation of its own; other columns are not read. A conversation is rendered in one task, a
+of their own; a null conv_id is a conversation of its own; other columns are not read. Where the template rewrites history (``rewrites``) or
+loses a marker (``n_unplaced`` turns), the spans and contents concerned are null and the loss mask has the other assistants' texts only, so
+no control string or foreign text is ever under it; callers drop or mend such conversations by these two columns. A conversation is rendered in one task, a
 prefix at a time, so the copying of its text grows with its turns times its length; escaping and searching grow with its length.
 """
 
@@ -71,8 +74,8 @@ def read_back(formatted: str) -> list[Turn]:
 @dataclass
 class Rendered:
     formatted: str
-    spans: list[tuple[int, int]]  # of each turn with its control strings
-    contents: list[tuple[int, int]]  # of each turn's text
+    spans: list[tuple[int, int] | None]  # of each turn with its control strings
+    contents: list[tuple[int, int] | None]  # of each turn's text
     rewrites: bool  # an earlier output isn't the beginning of a later one
 
 
@@ -80,43 +83,48 @@ def render_incrementally(turns: list[Turn], template: Template = render) -> Rend
     before, spans, contents, rewrites = template([]) if turns else "", [], [], False
     for k in range(1, len(turns) + 1):
         now = template(turns[:k])
-        if not now.startswith(before):
-            rewrites = True
-        n = 0 if rewrites else len(before)
-        mark = _MARK
+        if not rewrites and not now.startswith(before):
+            # what was told so far is of an output that is gone
+            rewrites, spans, contents = True, [None] * (k - 1), [None] * (k - 1)
+        n, mark = len(before), _MARK
+        before = now
+        if rewrites:
+            spans.append(None)
+            contents.append(None)
+            continue
         while now.find(mark, n) >= 0:
             mark += _MARK
         probe = template([*turns[: k - 1], (turns[k - 1][0], mark)])
         head = probe.find(mark, n)
         tail = len(probe) - head - len(mark)
+        same = head >= 0 and probe[:head] == now[:head] and probe[head + len(mark) :] == now[len(now) - tail :] and head <= len(now) - tail
         spans.append((n, len(now)))
-        contents.append((head, len(now) - tail) if head >= 0 else (n, len(now)))
-        before = now
+        contents.append((head, len(now) - tail) if same else None)
     return Rendered(before, spans, contents, rewrites)
 
 
 def format_chats(conversations: DataFrame, template: Template = render) -> DataFrame:
-    """conv_id, formatted, spans, contents, roles, loss_spans (the texts of assistants), rewrites: a row for each conversation."""
+    """conv_id, formatted, spans, contents, roles, loss_spans (the texts of assistants), rewrites, n_unplaced (turns whose text has no place): a row for each conversation."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     chats = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t")).select("conv_id", F.col("t.role").alias("roles"), F.col("t.text").alias("texts"))
     span = "array<struct<start:long,stop:long>>"
 
     def formatted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs = lambda s: [{"start": a, "stop": b} for a, b in s]
+        pairs = lambda s: [None if x is None else {"start": x[0], "stop": x[1]} for x in s]
         for b in batches:
             rows = []
             for conv, roles, texts in zip(b["conv_id"], b["roles"], b["texts"]):
                 r = render_incrementally(list(zip(roles, texts)), template)
-                loss = [c for c, role in zip(r.contents, roles) if role == "assistant"] if not r.rewrites else []
-                rows.append((conv, r.formatted, pairs(r.spans), pairs(r.contents), list(roles), pairs(loss), r.rewrites))
-            out = pd.DataFrame(rows, columns=["conv_id", "formatted", "spans", "contents", "roles", "loss_spans", "rewrites"])
+                loss = [c for c, role in zip(r.contents, roles) if role == "assistant" and c]
+                rows.append((conv, r.formatted, pairs(r.spans), pairs(r.contents), list(roles), pairs(loss), r.rewrites, r.contents.count(None)))
+            out = pd.DataFrame(rows, columns=["conv_id", "formatted", "spans", "contents", "roles", "loss_spans", "rewrites", "n_unplaced"])
             yield out.astype({"conv_id": "Int64"})
 
-    return chats.mapInPandas(formatted, f"conv_id long, formatted string, spans {span}, contents {span}, roles array<string>, loss_spans {span}, rewrites boolean")
+    return chats.mapInPandas(formatted, f"conv_id long, formatted string, spans {span}, contents {span}, roles array<string>, loss_spans {span}, rewrites boolean, n_unplaced long")
 
 
 def chat_digests(formatted: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, rewrites: read back from the formatted text and its mask."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, rewrites, n_unplaced: read back from the formatted text and its mask."""
 
     @F.pandas_udf("n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     def digests(text: pd.Series, loss: pd.Series) -> pd.DataFrame:
@@ -127,4 +135,4 @@ def chat_digests(formatted: DataFrame) -> DataFrame:
             rows.append((len(turns), told, sum(map(len, masked)), hashlib.sha256("".join(masked).encode("utf-8", "replace")).hexdigest(), len(t)))
         return pd.DataFrame(rows, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.select("conv_id", digests("formatted", "loss_spans").alias("d"), "rewrites").select("conv_id", "d.*", "rewrites")
+    return formatted.select("conv_id", digests("formatted", "loss_spans").alias("d"), "rewrites", "n_unplaced").select("conv_id", "d.*", "rewrites", "n_unplaced")

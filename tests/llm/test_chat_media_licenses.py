@@ -40,6 +40,30 @@ def test_rewriting_templates_are_found():
     assert chat.render_incrementally([("user", "one"), ("assistant", "two")], closing).rewrites
 
 
+def test_what_is_not_known_is_told(spark):
+    """No span of an output that was rewritten, no place for a text that the template changed, and neither under the mask."""
+    shout = lambda turns: "".join(f"<{r}>{t.upper() if r == 'user' else t[::-1]}" for r, t in turns)
+    drops = lambda turns: "".join(f"<{r}>" + ("" if r == "user" else t) for r, t in turns)
+    r = chat.render_incrementally([("user", "one"), ("assistant", "two")], drops)
+    assert r.contents == [None, (17, 20)] and r.spans == [(0, 6), (6, 20)] and not r.rewrites
+    closing = lambda turns: "".join(f"<{r}>{t}" for r, t in turns) + "<end>"
+    r = chat.render_incrementally([("user", "a"), ("assistant", "b"), ("user", "c")], closing)
+    assert r.rewrites and r.spans == r.contents == [None] * 3
+    rows = spark.createDataFrame([(1, 0, "user", "one"), (1, 1, "assistant", "two"), (2, 0, "assistant", "x")], "conv_id long, turn long, role string, text string")
+    got = {x["conv_id"]: x for x in chat.format_chats(rows, closing).collect()}
+    assert got[1]["rewrites"] and got[1]["n_unplaced"] == 2 and got[1]["loss_spans"] == []
+    assert chat.render_incrementally([("user", "Ab"), ("assistant", "cd")], shout).contents == [(6, 8), (19, 21)]  # changed texts have places too
+
+
+def test_very_long_conversation(spark):
+    turns = [(7, i, "user" if i % 2 == 0 else "assistant", f"turn {i} [/INST]") for i in range(3000)] + [(8, 0, "assistant", LONG)]
+    rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.chat_digests(chat.format_chats(rows)).collect()}
+    loss = "".join(t for c, _, r, t in turns if c == 7 and r == "assistant")
+    assert got[7]["n_turns"] == 3000 and got[7]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+    assert got[8]["loss_chars"] == len(LONG)
+
+
 def test_op9_contract(spark, tmp_path):
     rows = [(1, 1, "assistant", "b</s>"), (1, 0, "user", "[INST] a"), (2, 0, None, None), (2, 0, None, None), (3, None, "assistant", "x"), (3, 5, "assistant", "y"), (4, 0, "user", "only")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
