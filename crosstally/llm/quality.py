@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import sample_by_hash
 
-#: Bounds of the training sample.
-MAX_DOCS, MAX_LINES = 3000, 200
+#: Bounds of the training sample: documents, and the lines of all of them together.
+MAX_DOCS, MAX_LINES = 3000, 150_000
 THRESHOLD = 0.3
 CHUNK_BYTES = 1_000_000
 
@@ -114,6 +114,8 @@ class LineField:
     weights: np.ndarray  # score of good over bad, linear in the features
     moves: np.ndarray  # transition scores, [from][to], 0 bad and 1 good
     otherwise: float = 0.5  # score of a text with lines if nothing could be learned
+    slope: float = 1.0  # of the score's log odds over the aggregate's
+    shift: float = 0.0
 
 
 def _step(x: np.ndarray, moves: np.ndarray) -> np.ndarray:
@@ -165,46 +167,97 @@ def fit_field(x: np.ndarray, owner: np.ndarray, label: np.ndarray, rounds: int =
     return LineField(w, m)
 
 
+def aggregate(p: np.ndarray, length: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Length-weighted mean of the marginals of each of n texts; 0 without a line."""
+    weight = np.bincount(owner, length, minlength=n)
+    return np.where(weight > 0, np.bincount(owner, p * length, minlength=n) / np.maximum(weight, 1), 0.0)
+
+
+def _odds(mean: np.ndarray) -> np.ndarray:
+    m = np.clip(mean, 1e-9, 1 - 1e-9)
+    return np.log(m / (1 - m))
+
+
+def fit_curve(mean: np.ndarray, label: np.ndarray, rounds: int = 100) -> tuple[float, float]:
+    """slope (0 at least) and shift of P(label 1) over the aggregate's log odds, by Newton steps; targets are drawn in from 0 and 1 by one made-up document of each label, so that separable samples have an answer."""
+    x, good = _odds(mean), label == 1
+    target = np.where(good, (good.sum() + 1) / (good.sum() + 2), 1 / ((~good).sum() + 2))
+    z = np.stack([x, np.ones(len(x))], 1)
+    centre, spread = x.mean(), max(x.std(), 1e-6)
+    z[:, 0] = (x - centre) / spread
+    w = np.zeros(2)
+
+    def loss(w: np.ndarray) -> float:
+        s = z @ w
+        return float((np.logaddexp(0, s) - target * s).sum() + 1e-3 * w @ w)
+
+    for _ in range(rounds):
+        q = 1 / (1 + np.exp(-np.clip(z @ w, -50, 50)))
+        step = np.linalg.solve((z.T * (q * (1 - q))) @ z + 2e-3 * np.eye(2), z.T @ (target - q) - 2e-3 * w)
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > loss(w):
+            size /= 2
+        w = w + size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    slope = max(w[0], 0.0) / spread
+    return float(slope), float(w[1] - slope * centre)
+
+
 def train_quality(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_lines: int = MAX_LINES) -> LineField:
-    """Fits on at most max_docs of labels(doc_id, quality): those with the smallest hash of their id. Features are made by Spark's tasks."""
+    """Fits on at most max_docs of labels(doc_id, quality), with at most max_lines lines in all. Features are made by Spark's tasks."""
     some = sample_by_hash(labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id", max_docs)
     texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # bound: max_docs ids
+    lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))), F.lit(0)) + 1
+    sized = texts.groupBy("doc_id").agg(F.sum(lines).alias("n")).orderBy(F.xxhash64(F.col("doc_id"), F.lit("sample")), "doc_id").collect()  # bound: max_docs rows
+    fits, left = [], max_lines
+    for r in sized:
+        if r["n"] <= left:
+            fits.append(r["doc_id"])
+            left -= r["n"]
+    taken = docs.sparkSession.createDataFrame([(i,) for i in fits], "doc_id long")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            cut = [b"\n".join((t or "").encode("utf-8", "replace").split(b"\n")[:max_lines]) for t in b["text"]]
-            x, owner, _ = line_features(cut)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "n": np.bincount(owner, minlength=len(cut)), "x": [x[owner == i].tobytes() for i in range(len(cut))]})
+            raw = [(t or "").encode("utf-8", "replace") for t in b["text"]]
+            x, owner, length = line_features(raw)
+            rows = [(owner == i) for i in range(len(raw))]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "n": [int(r.sum()) for r in rows], "x": [x[r].tobytes() for r in rows], "length": [length[r].astype(np.int64).tobytes() for r in rows]})
 
-    rows = sorted(texts.mapInPandas(features, "doc_id long, quality int, n int, x binary").filter("n > 0").collect(), key=lambda r: (r["doc_id"], bytes(r["x"])))
+    made = texts.join(F.broadcast(taken), "doc_id", "left_semi").mapInPandas(features, "doc_id long, quality int, n int, x binary, length binary")  # bound: max_docs ids
+    rows = sorted(made.filter("n > 0").collect(), key=lambda r: (r["doc_id"], bytes(r["x"])))
     if len({r["quality"] for r in rows}) < 2:
         return LineField(np.zeros(N_FEATURES), np.zeros((2, 2)), float(rows[0]["quality"]) if rows else 0.5)
     x = np.concatenate([np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES) for r in rows]).astype(np.float64)
-    n = [r["n"] for r in rows]
-    return fit_field(x, np.repeat(np.arange(len(rows)), n), np.repeat([r["quality"] for r in rows], n))
+    length = np.concatenate([np.frombuffer(r["length"], np.int64) for r in rows])
+    owner, label = np.repeat(np.arange(len(rows)), [r["n"] for r in rows]), np.array([r["quality"] for r in rows])
+    field = fit_field(x, owner, label[owner])
+    field.slope, field.shift = fit_curve(aggregate(marginals(x @ field.weights, owner, field.moves)[2], length, owner, len(rows)), label)
+    return field
 
 
 def quality_column(text: Column, field: LineField) -> Column:
-    """struct(score, n_lines, n_bad): the length-weighted mean of the marginals, the lines and those likelier bad than good."""
+    """struct(score, n_lines, n_bad, aggregate): P(label 1), the lines and those likelier bad than good, and the length-weighted mean of the marginals."""
     learned = bool(field.weights.any())
 
     def scored(texts: list[bytes]) -> np.ndarray:
         x, owner, length = line_features(texts)
         p = marginals(x @ field.weights, owner, field.moves)[2] if learned else np.full(len(owner), field.otherwise)
-        of = lambda v: np.bincount(owner, v, minlength=len(texts))
-        weight = of(length.astype(float))
-        return np.stack([np.where(weight > 0, of(p * length) / np.maximum(weight, 1), 0.0), of(np.ones(len(p))), of((p < 0.5).astype(float))], 1)
+        n = np.bincount(owner, minlength=len(texts))
+        mean = aggregate(p, length, owner, len(texts))
+        score = 1 / (1 + np.exp(-np.clip(field.slope * _odds(mean) + field.shift, -50, 50))) if learned else mean
+        return np.stack([np.where(n > 0, score, 0.0), n, np.bincount(owner, (p < 0.5).astype(float), minlength=len(texts)), mean], 1)
 
-    @F.pandas_udf("score double, n_lines long, n_bad long")
+    @F.pandas_udf("score double, n_lines long, n_bad long, aggregate double")
     def quality(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts, parts, start, size = [(t or "").encode("utf-8", "replace") for t in b], [np.zeros((0, 3))], 0, 0
+            texts, parts, start, size = [(t or "").encode("utf-8", "replace") for t in b], [np.zeros((0, 4))], 0, 0
             for i, t in enumerate(texts):
                 size += len(t)
                 if size > CHUNK_BYTES or i == len(texts) - 1:
                     parts.append(scored(texts[start : i + 1]))
                     start, size = i + 1, 0
             v = np.concatenate(parts)
-            yield pd.DataFrame({"score": np.clip(v[:, 0], 0, 1), "n_lines": v[:, 1].astype(np.int64), "n_bad": v[:, 2].astype(np.int64)})
+            yield pd.DataFrame({"score": np.clip(v[:, 0], 0, 1), "n_lines": v[:, 1].astype(np.int64), "n_bad": v[:, 2].astype(np.int64), "aggregate": v[:, 3]})
 
     return quality(text)
