@@ -4,10 +4,12 @@ P(grade >= k) = sigmoid(w . x - threshold_k) for k = 1, 2, 3: one weight vector,
 words and word beginnings (three and five letters) from a vocabulary of those that stand out most in toxic documents. Expected severity is the sum of the three probabilities.
 
 Labels are 0 or 1, so the grades of toxic training documents come from how dense their telling words are: thirds of the training
-documents' density (1 mild, 2 clear, 3 dense). The vocabulary, the grades and the fit use a sample bounded by MAX_DOCS; scoring reads
-whole texts.
+documents' density (1 mild, 2 clear, 3 dense). Telling words are those far more usual in toxic documents (log odds over 3) and surely so
+(z over 10); where no word is, as in small samples, those with at least half of the largest z. The grades so rest on words that are features
+too: they order toxic documents by how much of the text is toxic, and are no independent judgement. The vocabulary, the grades and the fit
+use a sample bounded by MAX_DOCS; scoring reads whole texts.
 
-Defined cases: null, empty and wordless texts have no feature and the expected severity of the intercepts; without training rows of
+Defined cases: where toxic training documents have equal densities they all have grade 1; null, empty and wordless texts have no feature and the expected severity of the intercepts; without training rows of
 both labels severity is 0 and nothing is toxic; equal texts get equal results; columns other than doc_id and text are never read.
 """
 
@@ -64,8 +66,6 @@ def _distinct_names(text: Column) -> Column:
 
     return distinct(text)
 
-    return distinct(text)
-
 
 @dataclass
 class Severity:
@@ -114,7 +114,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS,
     odds = F.log((F.col("bad") + 0.5) / (n[1] + 1)) - F.log((F.col("all") - F.col("bad") + 0.5) / (n[0] + 1))
     told = seen.withColumn("odds", odds).withColumn("z", odds * F.sqrt("all")).filter("z > 0").orderBy(F.desc("z"), "word").limit(max_words).collect()
     place = {r["word"]: i for i, r in enumerate(told)}
-    telling = np.array([r["odds"] > 3 and r["z"] > 10 for r in told] or [False])
+    z = np.array([r["z"] for r in told] or [0.0])
+    telling = np.array([r["odds"] > 3 for r in told] or [False]) & (z > 10)
+    if not telling.any():
+        telling = z >= max(z.max() / 2, 1e-9)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[bytes, tuple[int, ...]] = {}
