@@ -97,21 +97,38 @@ def _replicated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"anchor": anchor + (k << 31), "fp": fp[row], "node": node[row], "home": home.astype(np.int32)})
 
 
-def spanning_edges(fps: np.ndarray, nodes: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links inside one group, found breadth first."""
-    fps, left, edges = fps.view(np.uint64), np.arange(len(fps)), []  # counts of signed numbers would be those of their absolute values
-    while len(left) > 1:
-        front, left = left[:1], left[1:]
-        while len(front) and len(left):
-            near = np.full(len(left), -1, np.int64)
-            for i in range(0, len(front), 256):
-                part = front[i : i + 256]
-                close = np.bitwise_count(fps[part][:, None] ^ fps[left][None, :]) <= threshold
-                hit = close.any(0) & (near < 0)
-                near[hit] = part[close[:, hit].argmax(0)]
-            new = near >= 0
-            edges += zip(nodes[near[new]].tolist(), nodes[left[new]].tolist())
-            front, left = left[new], left[~new]
+def spanning_edges(fps: np.ndarray, nodes: np.ndarray, home: np.ndarray | None = None, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links inside one group that have an end at home there, found breadth first.
+
+    Two fingerprints that are both away from home meet at an anchor that is the home of one of them, so they aren't compared here.
+    """
+    fps = fps.view(np.uint64)  # counts of signed numbers would be those of their absolute values
+    home = np.ones(len(fps), bool) if home is None else np.asarray(home, bool)
+    edges: list[tuple[int, int]] = []
+
+    def reached(front: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """For each of left one of front that is near enough, or -1."""
+        near = np.full(len(left), -1, np.int64)
+        for i in range(0, len(front), 256):
+            part = front[i : i + 256]
+            close = np.bitwise_count(fps[part][:, None] ^ fps[left][None, :]) <= threshold
+            hit = close.any(0) & (near < 0)
+            near[hit] = part[close[:, hit].argmax(0)]
+        return near
+
+    # fingerprints at home not reached yet, and the others; every tree begins at home, as every link has an end there
+    inside, outside = np.flatnonzero(home), np.flatnonzero(~home)
+    while len(inside):
+        front, inside = inside[:1], inside[1:]
+        while len(front):
+            near_in = reached(front, inside)
+            at_home = front[home[front]]
+            near_out = reached(at_home, outside) if len(at_home) else np.full(len(outside), -1, np.int64)
+            new_in, new_out = near_in >= 0, near_out >= 0
+            edges += zip(nodes[near_in[new_in]].tolist(), nodes[inside[new_in]].tolist())
+            edges += zip(nodes[near_out[new_out]].tolist(), nodes[outside[new_out]].tolist())
+            front = np.concatenate([inside[new_in], outside[new_out]])
+            inside, outside = inside[~new_in], outside[~new_out]
     return edges
 
 
@@ -123,15 +140,16 @@ def links(prints: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) ->
     size = sent.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("home").alias("homes")).filter("n > 1 and homes > 0").select("anchor", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     met = sent.join(size, "anchor").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    met = met.select("anchor", "fp", "node", "own", other.alias("other")).select("anchor", "fp", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    groups = met.groupBy("anchor", "i", "j").agg(F.collect_list("fp").alias("fps"), F.collect_list("node").alias("nodes")).filter(F.size("fps") > 1)
+    met = met.select("anchor", "fp", "node", "home", "own", other.alias("other")).select("anchor", "fp", "node", "home", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    lists = [F.collect_list(c).alias(f"{c}s") for c in ("fp", "node", "home")]
+    groups = met.groupBy("anchor", "i", "j").agg(*lists).filter((F.size("fps") > 1) & F.array_contains("homes", 1))
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            edges = [e for f, n in zip(b["fps"], b["nodes"]) for e in spanning_edges(np.asarray(f, np.int64), np.asarray(n, np.int64), threshold)]
+            edges = [e for f, n, h in zip(b["fps"], b["nodes"], b["homes"]) for e in spanning_edges(np.asarray(f, np.int64), np.asarray(n, np.int64), np.asarray(h), threshold)]
             yield pd.DataFrame(edges or None, columns=["a", "b"], dtype="int64")
 
-    return groups.select("fps", "nodes").mapInPandas(compared, "a long, b long").distinct()
+    return groups.select("fps", "nodes", "homes").mapInPandas(compared, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -171,8 +189,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
 def first_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component; all columns stay.
 
-    Rows that repeat a doc_id are one document, of which one row stays. Rows with a null doc_id stay.
+    Rows that repeat a doc_id are one document, of which one row stays: that with the smallest SHA-256 of its text (null first), then with
+    the smallest hash of its other columns. Rows with a null doc_id stay. Rows of one id are reduced where they are read, and texts move once.
     """
-    kept = near_duplicates(docs, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_doc_id")).distinct()
-    known = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("kept_doc_id"), "left_semi").dropDuplicates(["doc_id"])
+    kept = near_duplicates(docs, **options).filter("doc_id = component_id").select("doc_id").distinct()
+    others = [f.name for f in docs.schema if f.name != "text" and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    order = F.struct(F.sha2("text", 256), F.xxhash64(*others))
+    one = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("row"))
+    known = one.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id") == F.col("kept_id"), "left_semi").select("row.*")
     return known.unionByName(docs.filter("doc_id is null"))

@@ -116,6 +116,25 @@ def test_empty(spark):
     assert sh.first_of_each(empty(spark)).count() == 0
 
 
+def test_one_id_with_several_texts(spark):
+    """Whatever the order and the partitions, the same row of an id stays."""
+    rows = [(1, "alpha beta gamma delta", "a"), (1, "one two three four five", "b"), (1, None, "c"), (2, "alpha beta gamma delta", "d"), (3, "quite another text here", "x"), (3, "quite another text here", "w")]
+    kept = []
+    for k in range(4):
+        random.Random(k).shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(k + 1)
+        kept.append(sorted(map(tuple, sh.first_of_each(df).collect())))
+    assert all(x == kept[0] for x in kept) and [r[0] for r in kept[0]] == [1, 3] and kept[0][0][1] is None
+
+
+def test_away_pairs_are_left_to_other_anchors():
+    """Links with an end at home are all found; two fingerprints away from home aren't compared."""
+    fps, nodes = np.array([0, 1, 3, 7 << 20, (7 << 20) | 1], np.int64), np.arange(5)
+    edges = sh.spanning_edges(fps, nodes, np.array([1, 0, 0, 0, 0]))
+    assert {frozenset(e) for e in edges} == {frozenset((0, 1)), frozenset((0, 2)), frozenset((0, 3))}
+    assert sh.spanning_edges(fps, nodes, np.zeros(5)) == []
+
+
 def test_threshold_is_bounded(spark):
     with pytest.raises(ValueError):
         sh.links(spark.createDataFrame([(1, 1)], "node long, fp long"), threshold=4)
