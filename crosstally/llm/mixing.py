@@ -9,8 +9,8 @@ residuals meet at the next level, and so on up a tree, one shuffle of small rows
 rounded alone, so a source's words differ from its target by less than one document.
 
 Draws are hashes of the document and the level: reruns agree. Defined cases: null or empty text has size 0 and nothing is taken of
-it; a null source is a source of its own, the last one; empty input gives no rows; a repeated row is a document of its own; columns
-other than doc_id, text, source are not read.
+it; a null source is a source of its own, the last one; empty input gives no rows; a repeated row is a document of its own, with or without
+an id; columns other than doc_id, text, source are not read.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from .common import ASCII_WORD, cut
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
-#: Documents that meet in one fold.
-FAN = 32
+#: Documents that meet in one fold, and the most equal rows that are counted as one.
+FAN, PART = 32, 10_000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -103,20 +103,30 @@ def pivotal_round(parts: DataFrame, fan: int = FAN) -> DataFrame:
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, fan: int = FAN) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for every row of docs(doc_id, text, source).
 
-    A document is taken floor or ceiling of target / source_size times, never more than ``most`` (a whole number) times.
+    A document is taken floor or ceiling of target / source_size times, never more than ``most`` (a whole number) times. Rows that are
+    equal in all three columns are exchangeable: they are counted before they move and meet as one, in parts of at most PART rows. Of n
+    rows with the fraction f, floor(n f) are taken once more, and only what is left of n f is rounded with the other documents.
     """
+    if most != int(most) or most < 1:
+        raise ValueError("most must be a whole number of at least 1")
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(ASCII_WORD)), F.lit(0)).cast("long")
     sized = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("doc_id", "text").alias("h"))
-    again = Window.partitionBy("doc_id", "h").orderBy("source")
-    sized = sized.withColumn("row", F.struct(F.col("doc_id").cast("string").alias("id"), "h", F.row_number().over(again).alias("k")))
-    sized = cut(sized.drop("h"))
-    targets = cut(source_targets(sized, weights, share, most).withColumnRenamed("source", "of"))
-    known = sized.join(targets, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    whole = F.floor(F.round(rate, 12))
-    part = F.greatest(F.round(rate, 12) - whole, F.lit(0.0)) * F.col("size")
-    known = known.withColumn("whole", whole).withColumn("m", part.cast("double")).withColumn("w", F.col("size").cast("double"))
-    rounded = pivotal_round(known.filter("m > 0 and m < w"), fan)
-    copies = (F.col("whole") + F.coalesce(F.col("taken_once").cast("long"), F.lit(0))).cast("long")
-    out = known.join(rounded.select(F.col("row"), F.col("taken").alias("taken_once")), "row", "left")
+    counted = sized.groupBy("doc_id", "source", "size", "h").agg(F.count("*").alias("rows"))
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(rows - 1) div {PART}")))
+    counted = counted.select("doc_id", "source", "size", "h", "rows", part.alias("part"))
+    n = F.least(F.lit(PART).cast("long"), F.col("rows") - F.col("part") * PART)
+    name = F.concat_ws(" ", F.coalesce(F.concat(F.lit("id "), F.col("doc_id").cast("string")), F.lit("null")), F.concat(F.lit("in "), F.col("source")), F.col("size").cast("string"))
+    counted = cut(counted.select("doc_id", "source", "size", n.alias("n"), F.struct(name.alias("id"), F.col("h"), F.col("part").cast("int").alias("k")).alias("row")))
+    targets = cut(source_targets(counted.select("source", (F.col("size") * F.col("n")).alias("size")), weights, share, most).withColumnRenamed("source", "of"))
+    known = counted.join(targets, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    rate = F.round(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0), 12)
+    whole = F.floor(rate)
+    again = F.greatest(rate - whole, F.lit(0.0)) * F.col("n")  # how many of the n rows are taken once more
+    sure = F.floor(F.round(again, 9))
+    rest = F.greatest(F.round(again, 9) - sure, F.lit(0.0))
+    known = known.withColumn("whole", whole).withColumn("sure", sure).withColumn("m", (rest * F.col("size")).cast("double")).withColumn("w", F.col("size").cast("double"))
+    rounded = pivotal_round(known.filter("m > 0 and m < w"), fan).select("row", F.col("taken").cast("long").alias("one_more"))
+    out = known.join(rounded, "row", "left").withColumn("more", F.col("sure") + F.coalesce("one_more", F.lit(0)))
+    out = out.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    copies = (F.col("whole") + (F.col("i") <= F.col("more")).cast("long")).cast("long")
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

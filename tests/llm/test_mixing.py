@@ -65,6 +65,25 @@ def test_rounding_is_unbiased(spark):
     assert set(per.values()) <= {3, 4}  # 3.6 of 12
 
 
+def test_rows_that_are_equal(spark, monkeypatch):
+    """Very many equal rows, with and without an id, are counted before they move, in parts; each is taken as the others are, but for one."""
+    monkeypatch.setattr(mx, "PART", 100)
+    rows = [(None, "w " * 10, "a")] * 950 + [(7, "w " * 10, "a")] * 30 + [(i, "w " * 5, "b") for i in range(100, 400)] + [(None, None, None)] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = mx.mix(docs).collect()
+    assert len(out) == len(rows) and sum(r["doc_id"] is None for r in out) == 970
+    taken, target = {}, {}
+    for r in out:
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+        target[r["source"]] = r["target"]
+        assert 0 <= r["taken"] <= 2 * r["size"]
+    assert all(abs(taken[s] - target[s]) <= 10 + 1e-6 for s in taken)
+    key = lambda rs: sorted(str((r["doc_id"], r["source"], r["taken"])) for r in rs)
+    assert key(mx.mix(docs.repartition(3)).collect()) == key(out)
+    with pytest.raises(ValueError):
+        mx.mix(docs, most=1.5)
+
+
 def test_awkward_rows(spark):
     docs = documents(spark)
     rows = mx.mix(docs).collect()
