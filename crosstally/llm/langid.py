@@ -34,6 +34,8 @@ CHUNK_CHARS, GRAMS = 300_000, 8192
 
 #: Letters from which a text is long enough to be judged by the pipeline's rule, and the bound of that rule's sample.
 LETTERS, RULE_DOCS = 200, 5000
+#: Five times the spread of the cosine of unrelated vectors.
+CHANCE = 5 / DIMENSIONS**0.5
 
 _tables: dict = {}
 
@@ -199,11 +201,11 @@ class Rule:
 
 def learn_rule(rows: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = RULE_DOCS) -> Rule:
     """From at most max_docs rows (those with the smallest hash of the key) whose language is known and told rightly, of LETTERS letters or more:
-    half of the cosine, and of the margin, that 99 of 100 of them reach. Without such rows nothing is below the rule."""
+    half of the cosine, and of the margin, that 99 of 100 of them reach; and of the cosine CHANCE at least, which unrelated texts hardly reach."""
     some = rows.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter(F.col("lang").isNotNull() & (F.length("text") >= LETTERS))
     some = sample_by_hash(some, "key", max_docs).select("lang", predict_language(F.col("text"), profiles).alias("p")).filter((F.col("p.lang_pred") == F.col("lang")) & (F.col("p.letters") >= LETTERS))
     low = some.agg(F.percentile_approx("p.score", 0.01, 1000).alias("score"), F.percentile_approx("p.margin", 0.01, 1000).alias("margin")).first()
-    return Rule((low["score"] or 0.0) / 2, (low["margin"] or 0.0) / 2)
+    return Rule(max(CHANCE, (low["score"] or 0.0) / 2), (low["margin"] or 0.0) / 2)
 
 
 def in_stated_language(lang: Column, predicted: Column, rule: Rule) -> Column:
