@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import cut, shared_dir, small_side
 
 LIMIT = 2048
 CACHE_SCHEMA = "tokenizer_digest string, content_digest string, n_tokens long"
@@ -116,27 +116,26 @@ class _Counter:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
-    def learn(self, pieces: list[bytes]) -> None:
+    def learn(self, pieces: set[bytes]) -> None:
         """A piece that ends in . or , after an ASCII letter or digit has the tokens of what stands before, and one; see the library's pattern."""
-        stems = {(p[:-1] if len(p) > 1 and p[-1] in b",." and chr(p[-2]).isalnum() and p[-2] < 128 else p) for p in pieces}
-        stems = [p for p in stems if p not in self.memo]
+        memo = self.memo
+        marked = [p for p in pieces if p[-1] in b".," and p[-2:-1].isalnum()]
+        stems = list({*pieces.difference(marked), *(p[:-1] for p in marked)} - memo.keys())
         for i in range(0, len(stems), 4096):
             part = stems[i : i + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in part], add_special_tokens=False)):
-                self.memo[p] = len(e)
-        marks = {c: len(self.tokenizer.encode(chr(c), add_special_tokens=False)) for c in b",."}
-        for p in pieces:
-            if p not in self.memo:
-                self.memo[p] = self.memo[p[:-1]] + marks[p[-1]]
+            told = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in part], add_special_tokens=False)
+            memo.update(zip(part, map(len, told)))
+        marks = {c: len(self.tokenizer.encode(chr(c), add_special_tokens=False)) for c in b".,"}
+        for p in marked:
+            memo[p] = memo[p[:-1]] + marks[p[-1]]
 
     def counts(self, texts: list[bytes]) -> list[int]:
         # the library composes characters before it lower-cases: only pieces that are wholly ASCII may be lower-cased before
         split = [t.split() if b"<|" in t else t.lower().split() if t.isascii() else [p.lower() if p.isascii() else p for p in t.split()] for t in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
-        known = self.memo.__contains__
-        if fresh := {p for p in set(chain.from_iterable(split)) if not known(p)}:
-            self.learn(sorted(fresh))
+        if fresh := set(chain.from_iterable(split)) - self.memo.keys():
+            self.learn(fresh)
         of = self.memo.__getitem__
         return [sum(map(of, s)) for s in split]
 
@@ -169,15 +168,15 @@ def read_cache(spark: SparkSession, cache: str) -> DataFrame:
     return spark.createDataFrame([], CACHE_SCHEMA)
 
 
-def missing_texts(docs: DataFrame, known: DataFrame, digest: Column) -> DataFrame:
-    """content_digest, text: one row for each different digest of docs(text) that known(content_digest) lacks.
+def missing_texts(docs: DataFrame, missing: DataFrame, digest: Column) -> DataFrame:
+    """content_digest, text: one row for each digest of missing(content_digest), which is stored, with a text of docs(text) that has it.
 
-    Copies are merged where they are read, before anything moves, so a digest with very many copies sends one text a task. Where few
-    digests are missing, Spark takes that join first and no other text moves.
+    Where few digests are missing, only their texts are taken from the scan. Otherwise texts move once, and copies are merged where they
+    are read, so a digest with very many copies sends one text a task.
     """
-    one = docs.select(digest.alias("content_digest"), "text").groupBy("content_digest").agg(F.any_value("text").alias("text"))
-    missing = docs.select(digest.alias("content_digest")).distinct().join(known, "content_digest", "left_anti")
-    return one.join(cut(missing), "content_digest", "left_semi")
+    few, rows = small_side(missing), docs.select(digest.alias("content_digest"), "text")
+    one = lambda df: df.groupBy("content_digest").agg(F.any_value("text").alias("text"))
+    return one(rows).join(missing, "content_digest", "left_semi") if few is missing else one(rows.join(few, "content_digest", "left_semi"))
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str, limit: int = LIMIT) -> DataFrame:
@@ -188,12 +187,13 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str, limit: int =
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer_path)
     docs = docs.select("doc_id", "text")
     digest = F.sha2(normalised(F.col("text"), splits_at_blanks(tokenizer_path)), 256)
+    digests = cut(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), digest.alias("content_digest")))
     known = read_cache(spark, cache).filter(F.col("tokenizer_digest") == version).select("content_digest")
-    fresh = missing_texts(docs, known, digest).select("content_digest", count_column(F.col("text"), tokenizer_path).alias("n_tokens"))
+    missing = cut(digests.select("content_digest").distinct().join(known, "content_digest", "left_anti"))
+    fresh = missing_texts(docs, missing, digest).select("content_digest", count_column(F.col("text"), tokenizer_path).alias("n_tokens"))
     fresh.select(F.lit(version).alias("tokenizer_digest"), "content_digest", "n_tokens").write.mode("append").parquet(cache)
     # stored apart, so that the join below reads two plain sides and a digest with very many documents can be split
     stored = cut(read_cache(spark, cache).filter(F.col("tokenizer_digest") == version).dropDuplicates(["content_digest"]).select("content_digest", "n_tokens"))
-    digests = cut(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), digest.alias("content_digest")))
     counted = digests.join(stored, "content_digest", "left")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "content_digest")
 

@@ -5,6 +5,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from crosstally.llm import tokens as tk
+from crosstally.llm.common import small_side
 
 from .helpers import documents, empty
 
@@ -54,3 +55,37 @@ def test_awkward_rows(spark, library):
 
 def test_empty(spark):
     assert tk.count_tokens(empty(spark), PATH, tk.new_cache(spark)).count() == 0
+
+
+def test_each_missing_digest_is_encoded_once(spark, monkeypatch):
+    """Copies, rows of one id with several texts, and copies without an id: the tokenizer's column gets one row a missing digest."""
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (None, "d e"), (None, "d e"), (None, "d  e"), (2, None), (3, "")] * 5 + [(i, "hot text") for i in range(500)], "doc_id long, text string").repartition(7)
+    cache, seen, plain = tk.new_cache(spark), [], tk.missing_texts
+    monkeypatch.setattr(tk, "missing_texts", lambda *a: seen.append(plain(*a)) or seen[-1])
+    for most in (200_000, 0):  # few digests are missing; many are
+        monkeypatch.setattr(tk, "small_side", lambda df, most=most: df if most == 0 else small_side(df, most))
+        cache = tk.new_cache(spark)
+        tk.count_tokens(docs.filter("text = 'c'"), PATH, cache)
+        got = tk.count_tokens(docs, PATH, cache).collect()
+        sent = [r["content_digest"] for r in seen[-1].collect()]
+        assert len(sent) == len(set(sent)) == 4 and tk.read_cache(spark, cache).count() == 5 and len(got) == 540
+        again = tk.count_tokens(docs, PATH, cache)
+        assert seen[-1].count() == 0 and sorted(map(str, again.collect())) == sorted(map(str, got)) and tk.read_cache(spark, cache).count() == 5
+
+
+@pytest.mark.parametrize("name,blanks", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False), ("piece_bpe_32k.model", False)])
+def test_other_tokenizers_get_whole_texts(spark, name, blanks):
+    """Only a tokenizer whose file says that it drops white space is given pieces; the others count blanks and case."""
+    path = public_tokenizers.path(name)
+    assert tk.splits_at_blanks(path) == blanks
+    texts = ["Hello  World", "hello world", "\n\n x", "", "a.b, c", "é<|endoftext|> y"]
+    if name.endswith(".model"):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        want = [len(model.encode(t)) for t in texts]
+    else:
+        want = [len(Tokenizer.from_file(path).encode(t, add_special_tokens=False)) for t in texts]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in tk.count_tokens(docs, path, tk.new_cache(spark)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
