@@ -6,6 +6,7 @@ Validators are null-safe: a null value is not valid. Parsers give null where the
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterable
 
@@ -19,6 +20,7 @@ MAX_MINOR_UNITS = 999_999_999_999_999
 MAX_EXPONENT = 6
 MAX_DURATION_US = 365 * 86_400 * 1_000_000
 MAX_ATTRIBUTES, MAX_ATTRIBUTE_BYTES = 32, 4096
+MAX_KEY_CHARS, MAX_VALUE_CHARS, MAX_VALUE_BYTES = 64, 256, 512
 MAX_PAYLOAD_BYTES, MAX_PAYLOAD_DEPTH, MAX_PAYLOAD_ENTRIES = 1 << 20, 32, 10_000
 
 
@@ -36,19 +38,35 @@ def _nfc(c: Column) -> Column:
     return nfc(c)
 
 
-def normalize_text(c: Column, max_chars: int = 160, max_bytes: int = 320, allow_empty: bool = False) -> Column:
-    """struct(value, error): NFC text with single inner blanks and no control, format, surrogate or unassigned code point.
+def _nfc_each(c: Column) -> Column:
+    """NFC form of each text of an array."""
 
-    error is null or names the first rule broken: missing, empty, whitespace, control, too_long.
-    """
-    v = _nfc(c)
-    error = (
+    @F.pandas_udf("array<string>")
+    def nfc(s: pd.Series) -> pd.Series:
+        return s.map(lambda a: [t if t is None or t.isascii() else unicodedata.normalize("NFC", t) for t in a], na_action="ignore")
+
+    return nfc(c)
+
+
+# The code points that count as white space, beside the blank.
+_SPACES = r"\t\n\x0B\f\r\x1C-\x1F\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+
+
+def text_error(v: Column, max_chars: int, max_bytes: int, allow_empty: bool = False) -> Column:
+    """The first rule that a text in NFC form breaks, or null: missing, empty, whitespace, control, too_long."""
+    return (
         F.when(v.isNull(), "missing")
         .when((F.length(v) == 0) & F.lit(not allow_empty), "empty")
-        .when(v.rlike(r"^ | $|  |[\t\n\x0B\f\r\x1C-\x1F\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"), "whitespace")
+        .when(v.rlike(rf"^ | $|  |[{_SPACES}]"), "whitespace")
         .when(v.rlike(r"\p{C}"), "control")
         .when((F.length(v) > max_chars) | (F.octet_length(v) > max_bytes), "too_long")
     )
+
+
+def normalize_text(c: Column, max_chars: int = 160, max_bytes: int = 320, allow_empty: bool = False) -> Column:
+    """struct(value, error): NFC text with single inner blanks and no control, format, surrogate or unassigned code point, or the rule that it breaks."""
+    v = _nfc(c)
+    error = text_error(v, max_chars, max_bytes, allow_empty)
     return F.struct(F.when(error.isNull(), v).alias("value"), error.alias("error"))
 
 
@@ -142,20 +160,26 @@ def format_duration(us: Column) -> Column:
     return F.when(_is(us.between(0, MAX_DURATION_US)), F.concat(F.lit("PT"), seconds.cast("string"), F.lit("."), F.lpad((us % 1_000_000).cast("string"), 6, "0"), F.lit("S")))
 
 
-def canonical_attributes(c: Column) -> Column:
-    """struct(value, error) of array<struct<key,value>>: unique lower-case keys, sorted; at most 32 items and 4096 bytes."""
-    keys = F.transform(c, lambda a: a["key"])
-    size = F.aggregate(c, F.lit(0), lambda n, a: n + F.coalesce(F.octet_length(a["key"]), F.lit(0)) + F.coalesce(F.octet_length(a["value"]), F.lit(0)))
-    bad_value = lambda v: v.isNull() | (F.length(v) == 0) | v.rlike(r"^ | $|  |\p{C}|[\t\n\r]")
+def attribute_rules(items: Column) -> Column:
+    """struct(value, error) of array<struct<key,value>> whose values are in NFC form."""
+    total = F.aggregate(items, F.lit(0), lambda n, a: n + F.coalesce(F.octet_length(a["key"]), F.lit(0)) + F.coalesce(F.octet_length(a["value"]), F.lit(0)))
+    fine = lambda k: _is(k.rlike(r"\A[a-z][a-z0-9]*(?:[_.-][a-z0-9]+)*\z") & (F.length(k) <= MAX_KEY_CHARS))
     error = (
-        F.when(c.isNull(), "missing")
-        .when(F.size(c) > MAX_ATTRIBUTES, "too_many")
-        .when(F.exists(c, lambda a: ~_is(a["key"].rlike(r"\A[a-z][a-z0-9]*(?:[_.-][a-z0-9]+)*\z"))), "key")
-        .when(F.size(F.array_distinct(keys)) < F.size(c), "duplicate_key")
-        .when(F.exists(c, lambda a: bad_value(a["value"])), "value")
-        .when(size > MAX_ATTRIBUTE_BYTES, "too_long")
+        F.when(items.isNull(), "missing")
+        .when(F.size(items) > MAX_ATTRIBUTES, "too_many")
+        .when(F.exists(items, lambda a: ~fine(a["key"])), "key")
+        .when(F.size(F.array_distinct(F.transform(items, lambda a: a["key"]))) < F.size(items), "duplicate_key")
+        .when(F.exists(items, lambda a: text_error(a["value"], MAX_VALUE_CHARS, MAX_VALUE_BYTES, allow_empty=True).isNotNull()), "value")
+        .when(total > MAX_ATTRIBUTE_BYTES, "too_long")
     )
-    return F.struct(F.when(error.isNull(), F.array_sort(c)).alias("value"), error.alias("error"))
+    return F.struct(F.when(error.isNull(), F.array_sort(items)).alias("value"), error.alias("error"))
+
+
+def canonical_attributes(c: Column) -> Column:
+    """struct(value, error) of array<struct<key,value>>: unique lower-case keys of at most 64 characters, sorted; values in NFC form, empty ones
+    among them, of at most 256 characters and 512 bytes by the rules of text; at most 32 items and 4096 bytes."""
+    composed = F.zip_with(F.transform(c, lambda a: a["key"]), _nfc_each(F.transform(c, lambda a: a["value"])), lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+    return attribute_rules(composed)
 
 
 def attribute_get(c: Column, key: str, default: str | None = None) -> Column:
@@ -176,21 +200,51 @@ def valid_stable_text(c: Column, kind: str, max_chars: int = 128) -> Column:
     return _is(c.rlike(STABLE_TEXT[kind]) & F.length(c).between(1, max_chars))
 
 
-def sensitive_name(c: Column) -> Column:
-    """Whether a key, cut at case changes and signs, has one of the eleven words."""
-    snake = F.regexp_replace(F.lower(F.regexp_replace(c, r"(?<=[a-z0-9])(?=[A-Z])", "_")), r"[^a-z0-9]+", "_")
-    return _is(F.concat(F.lit("_"), snake, F.lit("_")).rlike("_(" + "|".join(SENSITIVE_PARTS) + ")_"))
+_KEY = re.compile(r'("(?:[^"\\]|\\.)*")\s*:', re.S)
+
+
+def _sensitive(key: str) -> bool:
+    """Whether a key, cut at case changes and signs, composed and case-folded, has one of the eleven words."""
+    words = re.sub(r"[^a-z0-9]+", "_", unicodedata.normalize("NFC", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", key)).casefold())
+    return any(f"_{part}_" in f"_{words}_" for part in SENSITIVE_PARTS)
+
+
+def _keys(text: str) -> set[str]:
+    """All keys of a JSON text, as parsed; of a text that can't be parsed, every string before a colon."""
+    found: set[str] = set()
+
+    def pairs(items: list[tuple[str, object]]) -> None:
+        found.update(k for k, _ in items)
+
+    try:
+        json.loads(text, object_pairs_hook=pairs)
+    except (ValueError, RecursionError):
+        for quoted in _KEY.findall(text):
+            try:
+                found.add(json.loads(quoted, strict=False))
+            except ValueError:
+                found.add(quoted)
+    return found
 
 
 def has_sensitive_key(json_text: Column) -> Column:
-    """Whether any key at any depth of a JSON text is sensitive. Strings are taken one by one; a key is one that a colon follows."""
-    tokens = F.regexp_extract_all(json_text, F.lit(r'("(?:[^"\\]|\\.)*"\s*:?)'), 1)
-    keys = F.filter(tokens, lambda t: t.endswith(":"))
-    return _is(F.exists(F.transform(keys, lambda t: F.regexp_replace(t, r'^"|"\s*:$', "")), sensitive_name))
+    """Whether any key at any depth of a JSON text is sensitive. Keys are parsed, so escapes hide nothing."""
+
+    @F.pandas_udf("boolean")
+    def sensitive(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: t is not None and any(map(_sensitive, _keys(t))), na_action=None).astype(bool)
+
+    return sensitive(json_text)
 
 
 def has_sensitive_attribute(c: Column) -> Column:
-    return _is(F.exists(c, lambda a: sensitive_name(a["key"])))
+    """Whether any key of array<struct<key,value>> is sensitive."""
+
+    @F.pandas_udf("boolean")
+    def sensitive(s: pd.Series) -> pd.Series:
+        return s.map(lambda a: a is not None and any(_sensitive(k) for k in a if k is not None), na_action=None).astype(bool)
+
+    return sensitive(F.transform(c, lambda a: a["key"]))
 
 
 def _payload(text: str) -> tuple[str | None, str | None]:
@@ -238,13 +292,21 @@ def valid_sha256(c: Column) -> Column:
     return _is(c.rlike(r"\A[0-9a-f]{64}\z"))
 
 
-def valid_artifact_path(c: Column, max_bytes: int = 1024, max_segments: int = 64) -> Column:
-    """Relative, forward slashes, no hidden, ambiguous, device or non-portable segment."""
+# Names that some systems keep for devices, whatever follows a dot, and names that they keep as they are.
+DEVICES = ("con", "prn", "aux", "nul", *(f"{d}{n}" for d in ("com", "lpt") for n in "123456789¹²³"))
+CONSOLES = ("conin$", "conout$")
+
+
+def valid_artifact_path(c: Column, max_bytes: int = 1024, max_segments: int = 32, max_segment_bytes: int = 255) -> Column:
+    """Relative, forward slashes, NFC form, no hidden, ambiguous, device, non-portable or over-long segment."""
     parts = F.split(c, "/")
-    fine = lambda s: (
-        (F.length(s) > 0) & ~s.startswith(".") & ~s.endswith(".") & ~s.rlike(r"^\s|\s$") & ~s.rlike(r'[<>:"\\|?*]') & ~s.rlike(r"(?i)\A(?:(?:con|prn|aux|nul|com[1-9¹²³]|lpt[1-9¹²³])(?:\..*)?|con(?:in|out)\$)\z")
-    )
-    return _is((F.octet_length(c) <= max_bytes) & ~c.rlike(r"\p{C}") & (F.size(parts) <= max_segments) & F.forall(parts, fine))
+
+    def fine(s: Column) -> Column:
+        low = F.lower(s)
+        device = F.substring_index(low, ".", 1).isin(*DEVICES) | low.isin(*CONSOLES)
+        return (F.length(s) > 0) & (F.octet_length(s) <= max_segment_bytes) & ~s.startswith(".") & ~s.endswith(".") & ~s.rlike(rf"^[ {_SPACES}]|[ {_SPACES}]$") & ~s.rlike(r'[<>:"\\|?*]') & ~device
+
+    return _is((F.octet_length(c) <= max_bytes) & ~c.rlike(r"\p{C}") & (F.size(parts) <= max_segments) & F.forall(parts, fine) & (_nfc(c) == c))
 
 
 def valid_enum(c: Column, values: Iterable[str]) -> Column:

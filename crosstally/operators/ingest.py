@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_attributes, money_from_decimal, normalize_text, parse_utc, valid_currency, valid_quantity, valid_sku
+from ..functions.text import attribute_rules, money_from_decimal, parse_utc, text_error, valid_currency, valid_quantity, valid_sku
 from ..schemas import NORMALIZED_SCHEMA
 
 MAX_BATCH_ROWS, MAX_BATCH_BYTES = 100_000, 64 << 20
@@ -15,29 +17,56 @@ MAX_PARTITIONS = 1024
 _PAYLOAD = "struct<sku:string,name:string,quantity:string,unit_price:struct<amount:string,currency:string,exponent:int>,updated_at:string,attributes:map<string,string>>"
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with more columns, each computed once a row: a generator keeps the optimiser from copying their expressions to every use."""
+    made = F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))).alias("once_")
+    return df.select("*", made).select(*df.columns, *[F.col(f"once_.{name}").alias(name) for name in columns])
+
+
+def _composed(name: Column, key: Column, values: Column) -> Column:
+    """struct(name, key, values) in NFC form: all texts of a row in one exchange with Python."""
+
+    @F.pandas_udf("name string, key string, values array<string>")
+    def composed(names: pd.Series, keys: pd.Series, lists: pd.Series) -> pd.DataFrame:
+        form = lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t)
+        return pd.DataFrame({"name": [form(t) for t in names], "key": [form(t) for t in keys], "values": [None if a is None else [form(t) for t in a] for a in lists]})
+
+    return composed(name, key, values)
+
+
 def normalize_inventory(raw: DataFrame) -> DataFrame:
     """Typed columns of each payload, and ``errors``: the names of all rules that its row breaks."""
-    p = F.from_json("payload_json", _PAYLOAD)
-    x = raw.select("record_index", "connector_id", "source_record_key", "payload_json", p.alias("p"))
-    name, key = normalize_text(F.col("p.name")), normalize_text(F.col("source_record_key"), 128, 256)
-    money = money_from_decimal(F.col("p.unit_price.amount"), F.col("p.unit_price.currency"), F.col("p.unit_price.exponent"))
-    listed = F.coalesce(F.transform(F.map_entries("p.attributes"), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))), F.array().cast("array<struct<key:string,value:string>>"))
-    x = x.select("record_index", "connector_id", "payload_json", "p", name.alias("name"), key.alias("source_key"), money.alias("money"), canonical_attributes(listed).alias("attrs"), parse_utc(F.col("p.updated_at")).alias("updated_at"))
+    x = _once(raw.select("record_index", "connector_id", "source_record_key", "payload_json"), p=F.from_json("payload_json", _PAYLOAD))
+    attributes = F.coalesce(F.col("p.attributes"), F.create_map().cast("map<string,string>"))
+    x = x.select("*", _composed(F.col("p.name"), F.col("source_record_key"), F.map_values(attributes)).alias("c"))
+    items = F.zip_with(F.map_keys(attributes), F.col("c.values"), lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+    units, currency, exponent = (F.col(f"p.unit_price.{k}") for k in ("amount", "currency", "exponent"))
+    x = _once(
+        x,
+        money=money_from_decimal(units, currency, exponent),
+        attrs=attribute_rules(items),
+        at=parse_utc(F.col("p.updated_at")),
+        name_error=text_error(F.col("c.name"), 160, 320),
+        key_error=text_error(F.col("c.key"), 128, 256),
+        sku_ok=valid_sku(F.col("p.sku")),
+        quantity=F.when(valid_quantity(F.col("p.quantity")), F.col("p.quantity").try_cast("int")),
+        currency_ok=valid_currency(currency),
+    )
     broken: list[Column] = [
         F.when(F.col("p").isNull() | F.col("p.sku").isNull() & F.col("p.name").isNull(), "payload"),
-        F.when(~valid_sku(F.col("p.sku")), "sku"),
-        F.when(F.col("name.error").isNotNull(), F.concat(F.lit("name_"), F.col("name.error"))),
-        F.when(~valid_quantity(F.col("p.quantity")), "quantity"),
-        F.when(~valid_currency(F.col("p.unit_price.currency")), "currency"),
+        F.when(~F.col("sku_ok"), "sku"),
+        F.when(F.col("name_error").isNotNull(), F.concat(F.lit("name_"), F.col("name_error"))),
+        F.when(F.col("quantity").isNull(), "quantity"),
+        F.when(~F.col("currency_ok"), "currency"),
         F.when(F.col("money").isNull(), "unit_price").when(F.col("money.units") < 0, "negative_price"),
-        F.when(F.col("updated_at").isNull(), "updated_at"),
-        F.when(F.col("source_key.error").isNotNull(), "source_record_key"),
+        F.when(F.col("at").isNull(), "updated_at"),
+        F.when(F.col("key_error").isNotNull(), "source_record_key"),
         F.when(F.col("attrs.error").isNotNull(), F.concat(F.lit("attributes_"), F.col("attrs.error"))),
     ]
     return x.select(
-        "record_index", F.col("p.sku").alias("sku"), F.col("name.value").alias("name"), F.when(valid_quantity(F.col("p.quantity")), F.col("p.quantity").try_cast("int")).alias("quantity"),
-        F.col("money.units").alias("unit_price_minor_units"), F.col("money.currency").alias("unit_price_currency"), F.col("money.exponent").alias("unit_price_exponent"), "updated_at", "connector_id",
-        F.col("source_key.value").alias("source_record_key"), F.col("attrs.value").alias("attributes"), "payload_json", F.array_compact(F.array(*broken)).alias("errors"),
+        "record_index", F.col("p.sku").alias("sku"), F.when(F.col("name_error").isNull(), F.col("c.name")).alias("name"), "quantity",
+        F.col("money.units").alias("unit_price_minor_units"), F.col("money.currency").alias("unit_price_currency"), F.col("money.exponent").alias("unit_price_exponent"), F.col("at").alias("updated_at"), "connector_id",
+        F.when(F.col("key_error").isNull(), F.col("c.key")).alias("source_record_key"), F.col("attrs.value").alias("attributes"), "payload_json", F.array_compact(F.array(*broken)).alias("errors"),
     )
 
 
