@@ -1,12 +1,14 @@
 """Canonical texts and order-independent digests.
 
-A state fingerprint is a digest over a multiset: every row's canonical text becomes a leaf digest, leaves are dealt into buckets by
-their first bits, each bucket's sorted leaves are digested, and the bucket digests - in bucket order, with their counts - give the
-root. Neither the order of rows nor their partitioning changes it; a repeated row does. No task sorts more than a bucket.
+A state fingerprint is a digest over a multiset: every row's canonical text becomes a leaf digest; leaves that share their first six
+digits make a node, nodes that share their first three the next one, and these 4 096 the root. A node's digest is that of its sorted lines
+with their counts. Neither the order of rows nor their partitioning changes it; a repeated row does. No task sorts more than a node's
+lines: 4 096 above the leaves, and there one for some 17 million different rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import format_utc
 
-BUCKETS = 4096
+#: Leading digits that the nodes of each level share, from the leaves up.
+LEVELS = (6, 3)
 #: Domain tags.
 LEAF, ROOT = "crosstally-leaf-v1", "crosstally-root-v1"
 
@@ -47,19 +50,19 @@ def leaf_digest(c: Column, domain: str = LEAF) -> Column:
     return F.sha2(F.concat(F.encode(F.lit(domain), "UTF-8"), framed(c)), 256)
 
 
-def state_fingerprint(df: DataFrame, text: Column, scope: str, *keys: str, buckets: int = BUCKETS) -> DataFrame:
+def state_fingerprint(df: DataFrame, text: Column, scope: str, *keys: str) -> DataFrame:
     """keys, n, fingerprint of the multiset of texts (for each value of the keys). Without keys an empty input has a fingerprint too.
 
-    A leaf that repeats is counted before it moves, so copies of a row neither travel nor fill a bucket. For inputs of more than
-    some 10^9 different rows raise ``buckets``: a bucket's leaves are sorted together.
+    A leaf that repeats is counted before it moves, so copies of a row neither travel nor fill a bucket.
     """
-    leaves = df.select(*keys, leaf_digest(F.concat(F.lit(scope + "\n"), text)).alias("leaf")).groupBy(*keys, "leaf").agg(F.count("*").alias("copies"))
-    bucket = F.pmod(F.conv(F.substring("leaf", 1, 8), 16, 10).cast("long"), F.lit(buckets))
-    marked = F.concat("leaf", F.lit("x"), F.col("copies").cast("string"))
-    per = leaves.groupBy(*keys, bucket.alias("bucket")).agg(F.sum("copies").alias("n"), F.sha2(F.concat_ws("", F.array_sort(F.collect_list(marked))), 256).alias("d"))
-    line = F.struct("bucket", F.concat_ws(":", F.col("bucket").cast("string"), F.col("n").cast("string"), "d").alias("t"))
-    joined = F.concat_ws("\n", F.lit(ROOT), F.lit(scope), F.coalesce(F.sum("n"), F.lit(0)).cast("string"), F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(line)), lambda x: x["t"])))
-    return per.groupBy(*keys).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(joined, 256).alias("fingerprint"))
+    leaves = df.select(*keys, leaf_digest(F.concat(F.lit(scope + "\n"), text)).alias("leaf")).groupBy(*keys, "leaf").agg(F.count("*").alias("n"))
+    level = leaves.select(*keys, F.col("leaf").alias("name"), "n", F.concat("leaf", F.lit("x"), F.col("n").cast("string")).alias("line"))
+    for digits in LEVELS:
+        made = level.groupBy(*keys, F.substring("name", 1, digits).alias("name")).agg(F.sum("n").alias("n"), F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("line"))), 256).alias("d"))
+        level = made.select(*keys, "name", "n", F.concat_ws(":", "name", F.col("n").cast("string"), "d").alias("line"))
+    total = F.coalesce(F.sum("n"), F.lit(0))
+    joined = F.concat_ws("\n", F.lit(ROOT), F.lit(scope), total.cast("string"), F.concat_ws("\n", F.array_sort(F.collect_list("line"))))
+    return level.groupBy(*keys).agg(total.alias("n"), F.sha2(joined, 256).alias("fingerprint"))
 
 
 def inventory_fingerprint(df: DataFrame, *keys: str) -> DataFrame:
@@ -76,19 +79,36 @@ def reconciliation_fingerprint(outcomes: DataFrame, *keys: str) -> DataFrame:
     return state_fingerprint(outcomes, canonical_outcome(), "reconciliation", *keys)
 
 
-def canonical_row(columns: list[str]) -> Column:
-    """Canonical JSON of some columns in alphabetical order; nulls are told."""
-    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+def canonical_row(df: DataFrame, columns: Sequence[str]) -> Column:
+    """Canonical JSON of some columns in alphabetical order; nulls are told, instants are in UTC to the microsecond."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema}
+    shown = [format_utc(F.col(c)).alias(c) if kinds[c] == "timestamp" else F.col(c) for c in sorted(columns)]
+    return F.to_json(F.struct(*shown), {"ignoreNullFields": "false"})
 
 
 def manifest_set_digest(manifests: DataFrame) -> DataFrame:
-    return state_fingerprint(manifests, canonical_row([c for c in manifests.columns if c != "created_at"]), "manifests")
+    return state_fingerprint(manifests, canonical_row(manifests, [c for c in manifests.columns if c != "created_at"]), "manifests")
+
+
+#: What a run's statistics are made of.
+SOURCES = {
+    "runs": ("run_id", "state", "row_version", "created_at", "started_at", "finished_at"),
+    "nodes": ("node_id", "status", "row_version", "work_total", "work_pending", "work_running", "work_succeeded", "work_quarantined", "work_failed", "work_cancelled", "retry_count", "duration_microseconds", "records_read", "records_written", "records_quarantined", "bytes_read", "bytes_written"),
+    "work": ("work_item_id", "node_id", "state", "completed_attempt_count"),
+    "attempts": ("work_item_id", "attempt_number", "outcome", "duration_microseconds"),
+}
+
+
+def _of_parts(parts: list[DataFrame], *keys: str) -> DataFrame:
+    """keys, digest over the named fingerprints (name, n, fingerprint) of several tables."""
+    lines = reduce(DataFrame.unionByName, parts).select(*keys, F.concat_ws(":", "name", F.col("n").cast("string"), "fingerprint").alias("line"))
+    return lines.groupBy(*keys).agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("line"))), 256).alias("digest"))
 
 
 def source_digest(runs: DataFrame, nodes: DataFrame, work: DataFrame, attempts: DataFrame) -> DataFrame:
     """run_id, digest over everything that a run's statistics are made of."""
-    parts = [state_fingerprint(df, canonical_row(df.columns), name, "run_id").select("run_id", F.concat_ws(":", F.lit(name), F.col("n").cast("string"), "fingerprint").alias("part")) for name, df in (("runs", runs), ("nodes", nodes), ("work", work), ("attempts", attempts))]
-    return reduce(DataFrame.unionByName, parts).groupBy("run_id").agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("part"))), 256).alias("digest"))
+    tables = {"runs": runs, "nodes": nodes, "work": work, "attempts": attempts}
+    return _of_parts([state_fingerprint(df, canonical_row(df, SOURCES[name]), name, "run_id").withColumn("name", F.lit(name)) for name, df in tables.items()], "run_id")
 
 
 def query_digest(inputs: Column, version: str, *definitions: str) -> Column:
@@ -99,17 +119,15 @@ def query_digest(inputs: Column, version: str, *definitions: str) -> Column:
 def execution_fingerprint(runs: DataFrame, nodes: DataFrame, work: DataFrame, heads: DataFrame) -> DataFrame:
     """run_id, digest over logical facts only: no time, no retry, no latency, no version of a row."""
     facts = (("runs", runs, ["state"]), ("nodes", nodes, ["node_id", "status", "work_total"]), ("work", work, ["node_id", "partition_key", "state"]), ("heads", heads, ["node_id", "partition_key", "version"]))
-    parts = [state_fingerprint(df.select("run_id", *cols), canonical_row(cols), f"execution-{name}", "run_id").select("run_id", F.concat_ws(":", F.lit(name), F.col("n").cast("string"), "fingerprint").alias("part")) for name, df, cols in facts]
-    return reduce(DataFrame.unionByName, parts).groupBy("run_id").agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("part"))), 256).alias("digest"))
+    return _of_parts([state_fingerprint(df, canonical_row(df, cols), f"execution-{name}", "run_id").withColumn("name", F.lit(name)) for name, df, cols in facts], "run_id")
 
 
 def plan_content_fingerprint(actions: DataFrame) -> DataFrame:
     """repair_plan_id, n, fingerprint of a plan's actions without the ids that were generated for them."""
-    return state_fingerprint(actions, canonical_row(["canonical_key", "kind", "before_sha256", "after_sha256"]), "repair-plan", "repair_plan_id")
+    return state_fingerprint(actions, canonical_row(actions, ["canonical_key", "kind", "before_sha256", "after_sha256"]), "repair-plan", "repair_plan_id")
 
 
 def inventory_digest(manifests: DataFrame, files: DataFrame, issues: DataFrame) -> DataFrame:
     """One digest over manifests, observed files and issues."""
-    parts = [state_fingerprint(df, canonical_row(cols), name).select(F.concat_ws(":", F.lit(name), F.col("n").cast("string"), "fingerprint").alias("part")) for name, df, cols in (("manifests", manifests, ["artifact_id", "relative_path", "byte_size", "sha256"]), ("files", files, ["relative_path", "byte_size", "sha256"]), ("issues", issues, ["kind", "relative_path", "artifact_id", "entry_sha256"]))]
-    return reduce(DataFrame.unionByName, parts).agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("part"))), 256).alias("digest"))
-
+    tables = (("manifests", manifests, ["artifact_id", "relative_path", "byte_size", "sha256"]), ("files", files, ["relative_path", "byte_size", "sha256"]), ("issues", issues, ["kind", "relative_path", "artifact_id", "entry_sha256"]))
+    return _of_parts([state_fingerprint(df, canonical_row(df, cols), name).withColumn("name", F.lit(name)) for name, df, cols in tables])

@@ -119,8 +119,12 @@ def quarantine_reasons(normalized: DataFrame) -> DataFrame:
     return normalized.select(F.explode("errors").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def frame_differences(written: DataFrame, read: DataFrame) -> DataFrame:
+    """The rows, with their copies, that only one of two frames has."""
+    return written.exceptAll(read).withColumn("only_in", F.lit("written")).unionByName(read.exceptAll(written).withColumn("only_in", F.lit("read")))
+
+
 def round_trip_differences(df: DataFrame, path: str) -> DataFrame:
     """Writes df to a new folder, reads it again and gives the rows that only one of the two has."""
     df.write.mode("errorifexists").parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    return df.exceptAll(back).withColumn("only_in", F.lit("written")).unionByName(back.exceptAll(df).withColumn("only_in", F.lit("read")))
+    return frame_differences(df, df.sparkSession.read.schema(df.schema).parquet(path))

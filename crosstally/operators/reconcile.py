@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import format_utc, money_to_text
-from ..schemas import CLASSES, FIELDS, PRICE, REPAIRABLE
+from ..schemas import CLASSES, FIELDS, PRICE, REPAIRABLE, require_empty
 from .paging import ordered_blocks
 
 MAX_RECORDS_PER_KEY = 1024
@@ -83,12 +83,12 @@ def _records(df: DataFrame) -> DataFrame:
 
 
 def outcome_records(reference: DataFrame, target: DataFrame, limit: int = MAX_RECORDS_PER_KEY) -> DataFrame:
-    """sku, source_records, target_records: the full records of keys within the duplicate bound, sorted. check_duplicate_bounds tells the rest, record_blocks has all."""
+    """sku, source_records, target_records: the full records of every key, sorted. A key with more records on a side than the bound is an error; record_blocks takes any number."""
     both = _records(reference).withColumn("side", F.lit("s")).unionByName(_records(target).withColumn("side", F.lit("t")))
     n = both.groupBy("sku").agg(F.count_if(F.col("side") == "s").alias("sn"), F.count_if(F.col("side") == "t").alias("tn"))
-    fits = n.filter((F.col("sn") <= limit) & (F.col("tn") <= limit)).select("sku")
+    require_empty(n.filter((F.col("sn") > limit) | (F.col("tn") > limit)), f"keys with more than {limit} records on a side")
     collected = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("record"))))
-    return both.join(fits, "sku", "left_semi").groupBy("sku").agg(collected("s").alias("source_records"), collected("t").alias("target_records"))
+    return both.groupBy("sku").agg(collected("s").alias("source_records"), collected("t").alias("target_records"))
 
 
 def record_blocks(reference: DataFrame, target: DataFrame, limit: int = MAX_RECORDS_PER_KEY) -> DataFrame:
@@ -104,8 +104,12 @@ def check_duplicate_bounds(outcomes: DataFrame, limit: int = MAX_RECORDS_PER_KEY
 
 
 def records_for(df: DataFrame, page: DataFrame) -> DataFrame:
-    """The records of a page's keys (a page has at most 100), in order."""
-    return df.join(F.broadcast(page.select("sku").limit(101)), "sku", "left_semi").orderBy("sku", "record_index", "connector_id", "source_record_key")
+    """The records of a page's keys, in order. A page has at most 100 keys and the one that tells of a next page; a longer one is an error."""
+    keys = page.select("sku").limit(102).collect()
+    if len(keys) > 101:
+        raise ValueError("a page has at most 101 keys")
+    listed = df.sparkSession.createDataFrame([(r["sku"],) for r in keys], "sku string")
+    return df.join(F.broadcast(listed), "sku", "left_semi").orderBy("sku", "record_index", "connector_id", "source_record_key")
 
 
 def reconcile_by_union(reference: DataFrame, target: DataFrame) -> DataFrame:

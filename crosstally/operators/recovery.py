@@ -195,12 +195,19 @@ def run_findings(runs: DataFrame, nodes: DataFrame, work: DataFrame) -> DataFram
     return f.select("run_id", kind.alias("kind")).filter("kind is not null")
 
 
+# Findings for the kinds of issues that a scan of files tells.
+INTEGRITY = {"missing_file": "integrity_missing_file", "orphan_file": "integrity_orphan_file", "invalid_file": "integrity_changed_file", "changed_file": "integrity_changed_file", "unsafe_entry": "integrity_unsafe_entry"}
+
+
 def recovery_findings(runs: DataFrame, nodes: DataFrame, work: DataFrame, attempts: DataFrame, heads: DataFrame, manifests: DataFrame, issues: DataFrame, idempotency: DataFrame, now: Column) -> DataFrame:
-    """run_id, node_id, work_item_id, artifact_id, kind, severity, of 21 kinds. issues (kind, artifact_id, relative_path) belong to no run."""
+    """run_id, node_id, work_item_id, artifact_id, kind, severity, of 21 kinds. issues (kind, artifact_id, relative_path) belong to no run.
+
+    A scan tells a file of other size or digest as invalid; to recovery it is a changed file.
+    """
     shape = ["run_id", "node_id", "work_item_id", "artifact_id", "kind"]
     full = lambda df: df.select(*[F.col(c).cast("string").alias(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in shape])
     drifted = aggregate_drift(nodes, work, attempts).select("run_id").distinct().withColumn("kind", F.lit("aggregate_mismatch"))
-    files = issues.select(F.concat(F.lit("integrity_"), "kind").alias("kind"), "artifact_id")
+    files = issues.select(_lookup(INTEGRITY, F.col("kind")).alias("kind"), "artifact_id").filter("kind is not null")
     held = idempotency.filter("status = 'in_progress'").select(F.lit("stranded_idempotency").alias("kind"))
     corrupt = idempotency.filter("status not in ('in_progress', 'completed', 'failed')").select(F.lit("event_frontier_corrupt").alias("kind"))
     parts = [work_findings(work, attempts, heads, manifests, now), run_findings(runs, nodes, work), drifted, files, held, corrupt]

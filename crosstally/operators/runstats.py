@@ -30,8 +30,13 @@ def node_latency(attempts: DataFrame) -> DataFrame:
 def ranked_attempts(attempts: DataFrame, *keys: str) -> DataFrame:
     """attempts with their rank by (duration, work item, attempt) among those of the same keys, and how many these are."""
     w = Window.partitionBy(*keys)
-    order = w.orderBy("duration_microseconds", "work_item_id", "attempt_number")
-    return attempts.withColumn("rank", F.row_number().over(order)).withColumn("of", F.count("*").over(w))
+    # how many of the key are shorter comes from counts of its durations; only attempts of one duration are sorted together
+    counted = attempts.groupBy(*keys, "duration_microseconds").agg(F.count("*").alias("n_"))
+    before = counted.withColumn("of", F.sum("n_").over(w)).withColumn("before_", F.sum("n_").over(w.orderBy("duration_microseconds")) - F.col("n_")).drop("n_")
+    named = before.select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("duration_microseconds").alias("duration_"), "of", "before_")
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys] + [F.col("duration_microseconds").eqNullSafe(F.col("duration_"))]
+    tied = Window.partitionBy(*keys, "duration_microseconds").orderBy("work_item_id", "attempt_number")
+    return attempts.join(named, same).withColumn("rank", F.col("before_") + F.row_number().over(tied)).select(*attempts.columns, "rank", "of")
 
 
 def latency_by_rank(attempts: DataFrame, *keys: str) -> DataFrame:

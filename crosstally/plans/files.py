@@ -20,8 +20,12 @@ QUERIES, ORACLES = {}, {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or, where that is unset, a local one (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "crosstally-shared")
+    """A new folder that driver and executors share: below spark.checkpoint.dir. Where that is unset a local master gets one of our own; a cluster is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "crosstally-shared")
     return f"{base}/files-{uuid.uuid4().hex}"
 
 
@@ -82,26 +86,34 @@ def s10_ops_table(spark: SparkSession, d: str) -> DataFrame:
     return tables.read_ops_table(spark, at, "work_attempts").select("work_item_id", "attempt_number", "outcome")
 
 
-@query()
+@query("SELECT * FROM (VALUES ('missing_file', 1), ('orphan_file', 1), ('invalid_file', 1), ('same_digest', 5)) AS x(kind, n) WHERE (SELECT count(*) FROM lineitem) > 0")
 def s11_artifact_files(spark: SparkSession, d: str) -> DataFrame:
-    """Every file of an export against manifests made from a first look at them: no issue is left."""
+    """The five files of an export against manifests of which one tells another digest, one is of a file that isn't there and one is absent; and whole reads against reads in blocks."""
     at = scratch(spark)
-    tables.export_parquet(v.table(spark, d, "lineitem"), at)
+    tables.export_parquet(v.table(spark, d, "lineitem").repartition(5), at)
     files = tables.read_artifact_files(spark, at).filter("relative_path like '%.parquet'")
-    manifests = files.select(F.sha2("relative_path", 256).alias("artifact_id"), "relative_path", "byte_size", "sha256")
-    return artifacts.artifact_issues(manifests, files).groupBy("kind").agg(F.count("*").alias("n"))
+    blocks = tables.read_artifact_files(spark, at, whole_bytes=0).filter("relative_path like '%.parquet'")
+    first, second = sorted(r["relative_path"] for r in files.select("relative_path").collect())[:2]  # five names
+    said = files.select(F.sha2("relative_path", 256).alias("artifact_id"), "relative_path", "byte_size", F.when(F.col("relative_path") == first, F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("sha256"))
+    gone = said.filter(F.col("relative_path") == first).select("artifact_id", F.lit("gone.parquet").alias("relative_path"), "byte_size", "sha256")
+    issues = artifacts.artifact_issues(said.filter(F.col("relative_path") != second).unionByName(gone), files)
+    same = files.join(blocks, ["relative_path", "byte_size", "sha256"]).select(F.lit("same_digest").alias("kind"))
+    return issues.select("kind").unionByName(same).groupBy("kind").agg(F.count("*").cast("int").alias("n"))
 
 
 @query("SELECT count(*) + 1 AS row_count, count(*) AS found FROM orders")
 def k03_artifact_row_counts(spark: SparkSession, d: str) -> DataFrame:
     at = scratch(spark)
     orders = v.table(spark, d, "orders")
-    orders.coalesce(1).write.parquet(at)
+    orders.repartition(5).write.parquet(at)
     said = tables.read_artifact_files(spark, at).filter("relative_path like '%.parquet'").select("relative_path").join(orders.agg((F.count("*") + 1).alias("row_count")))
-    return artifacts.artifact_row_counts(spark, at, said).agg(F.max("row_count").alias("row_count"), F.max("found").alias("found"))
+    return artifacts.artifact_row_counts(spark, at, said).agg(F.max("row_count").alias("row_count"), F.sum("found").alias("found"))
 
 
-@query("SELECT 0 AS differences FROM part LIMIT 1")
+@query(f"WITH {v.SQL_INVENTORY} SELECT 'round_trip' AS what, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'damaged', count(*) FROM tgt WHERE sku LIKE '%9'")
 def p08_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    df = v.inv_target(spark, d).select(*NORMALIZED_SCHEMA.names)
-    return ingest.round_trip_differences(df, scratch(spark)).agg(F.count("*").cast("int").alias("differences"))
+    """What is written is read again; a copy that lost rows is told by them."""
+    df, at = v.inv_target(spark, d).select(*NORMALIZED_SCHEMA.names), scratch(spark)
+    count = lambda rows, what: rows.agg(F.lit(what).alias("what"), F.count("*").alias("n"))
+    damaged = ingest.frame_differences(df, df.filter("sku not like '%9'")).filter("only_in = 'written'")
+    return count(ingest.round_trip_differences(df, at), "round_trip").unionByName(count(damaged, "damaged"))

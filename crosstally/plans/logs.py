@@ -48,7 +48,7 @@ def w02_ingest_once(spark: SparkSession, d: str) -> DataFrame:
     at = scratch(spark)
     _log(spark, d, at, times=2)
     streams.stream_ingest(streams.stream_events(spark, f"{at}/log", 4), f"{at}/out", f"{at}/cursor").awaitTermination()
-    return spark.read.option("recursiveFileLookup", "true").schema(OPS_SCHEMAS["execution_events"]).parquet(f"{at}/out/log").groupBy("run_id").agg(F.count("*").alias("n"))
+    return streams.read_log(spark, f"{at}/out", OPS_SCHEMAS["execution_events"]).groupBy("run_id").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {v.SQL_EVENTS}, l AS (SELECT user_id, sequence_number AS s, coalesce(lag(sequence_number) OVER (PARTITION BY user_id ORDER BY sequence_number), 0) AS b FROM evs) SELECT concat('run_', user_id) AS run_id, b + 1 AS gap_from, s - 1 AS gap_to, false AS closed FROM l WHERE s > b + 1")

@@ -49,11 +49,17 @@ def n07_format_utc(spark, d):
 _KV = "array<struct<key:string,value:string>>"
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'duplicate_key' WHEN p_partkey % 5 = 1 THEN 'key' END AS error, CASE WHEN p_partkey % 5 > 1 THEN concat('brand=', p_brand, ',type=', p_type) END AS shown FROM part")
+@query(
+    "SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'duplicate_key' WHEN 1 THEN 'key' WHEN 2 THEN 'key' WHEN 3 THEN 'value' WHEN 4 THEN 'value' WHEN 5 THEN 'value' END AS error, "
+    "CASE WHEN p_partkey % 9 = 6 THEN concat('brand=', p_brand, ',type=Caf', chr(233), ' ', p_type) WHEN p_partkey % 9 = 7 THEN concat('brand=', p_brand, ',type=') WHEN p_partkey % 9 = 8 THEN concat('brand=', p_brand, ',type=', p_type) END AS shown FROM part"
+)
 def n09_attributes(spark, d):
+    """Repeated, upper-case and over-long keys; values that are too long in characters or bytes or have a space of another kind; decomposed, empty and plain values."""
     p = v.table(spark, d, "part")
-    first = F.when(F.col("p_partkey") % 5 == 0, "brand").when(F.col("p_partkey") % 5 == 1, "TYPE").otherwise("type")
-    kv = F.array(F.struct(first.alias("key"), F.col("p_type").alias("value")), F.struct(F.lit("brand").alias("key"), F.col("p_brand").alias("value")))
+    m, kind = F.col("p_partkey") % 9, F.col("p_type")
+    first = F.when(m == 0, "brand").when(m == 1, "TYPE").when(m == 2, F.repeat(F.lit("k"), F.lit(65))).otherwise("type")
+    value = F.when(m == 3, F.repeat(F.lit("x"), F.lit(257))).when(m == 4, F.repeat(F.lit("\u65e5"), F.lit(171))).when(m == 5, F.concat(kind, F.lit("\u2009x"))).when(m == 6, F.concat(F.lit("Cafe\u0301 "), kind)).when(m == 7, "").otherwise(kind)
+    kv = F.array(F.struct(first.alias("key"), value.alias("value")), F.struct(F.lit("brand").alias("key"), F.col("p_brand").alias("value")))
     a = p.select("p_partkey", t.canonical_attributes(kv).alias("a"))
     return a.select("p_partkey", "a.error", F.when(F.col("a.value").isNotNull(), F.array_join(F.transform("a.value", lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",")).alias("shown"))
 
@@ -89,11 +95,14 @@ def n16_sha256(spark, d):
     return v.table(spark, d, "orders").select("o_orderkey", t.valid_sha256(F.when(F.col("o_orderkey") % 2 == 0, h).otherwise(F.substring(h, 1, 63))).alias("ok"))
 
 
-@query("SELECT o_orderkey, o_orderkey % 4 = 0 AS ok FROM orders")
+@query("SELECT o_orderkey, o_orderkey % 8 IN (0, 7) AS ok FROM orders")
 def n17_paths(spark, d):
+    """Composed and decomposed names, segments of 255 and 256 bytes, devices, upward and absolute paths, too many segments."""
     k = F.col("o_orderkey")
     name = k.cast("string")
-    path = F.when(k % 4 == 0, F.concat(F.lit("runs/é "), name, F.lit("/part.parquet"))).when(k % 4 == 1, F.concat(F.lit("runs/../"), name)).when(k % 4 == 2, F.concat(F.lit("/runs/"), name)).otherwise(F.concat(F.lit("a/con."), name))
+    long = lambda n: F.concat(F.lit("runs/"), F.rpad(name, n, "x"), F.lit("/part.parquet"))
+    path = F.when(k % 8 == 0, F.concat(F.lit("runs/\u00e9 "), name, F.lit("/part.parquet"))).when(k % 8 == 1, F.concat(F.lit("runs/../"), name)).when(k % 8 == 2, F.concat(F.lit("/runs/"), name)).when(k % 8 == 3, F.concat(F.lit("a/Con."), name))
+    path = path.when(k % 8 == 4, F.concat(F.lit("runs/e\u0301 "), name)).when(k % 8 == 5, long(256)).when(k % 8 == 6, F.concat(F.repeat(F.lit("a/"), F.lit(32)), name)).otherwise(long(255))
     return v.table(spark, d, "orders").select("o_orderkey", t.valid_artifact_path(path).alias("ok"))
 
 

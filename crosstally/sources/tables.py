@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,18 +33,28 @@ def read_normalized(spark: SparkSession, *paths: str, check_nulls: bool = False)
     return _exact(spark, list(paths), NORMALIZED_SCHEMA, check_nulls)
 
 
+def path_key(key: Column) -> Column:
+    """A partition key as a part of a path: the digits of its bytes, so that no two keys collide, on any file system, and none escapes."""
+    return F.lower(F.hex(F.encode(key, "UTF-8")))
+
+
+def partition_key_of(path_part: Column) -> Column:
+    """The partition key that path_key made a part of a path."""
+    return F.decode(F.unhex(path_part), "UTF-8")
+
+
 def _write(df: DataFrame, schema: T.StructType, root: str, dataset: str, run_id: str, node_id: str) -> None:
     extra = [F.lit(dataset).alias("dataset"), F.lit(run_id).alias("run_id"), F.lit(node_id).alias("node_id")]
     key = F.col("partition_key") if "partition_key" in df.columns else F.lit("partition-00000000")
-    rows = df.select(*schema.names, *extra, key.alias("partition_key"))
+    rows = df.select(*schema.names, *extra, path_key(key).alias("key"))
     require_schema(rows.select(*schema.names), schema)
     # within a partition key rows are sorted by index; keys of any size are written by several tasks, each a range of the index
-    placed = rows.repartitionByRange("partition_key", "record_index").sortWithinPartitions("partition_key", "record_index")
-    placed.write.mode("errorifexists").option("compression", "zstd").option("parquet.block.size", 64 << 20).partitionBy("run_id", "dataset", "node_id", "partition_key").parquet(f"{root}/{dataset}-{run_id}-{node_id}")
+    placed = rows.repartitionByRange("key", "record_index").sortWithinPartitions("key", "record_index")
+    placed.write.mode("errorifexists").option("compression", "zstd").option("parquet.block.size", 64 << 20).partitionBy("run_id", "dataset", "node_id", "key").parquet(f"{root}/{dataset}-{run_id}-{node_id}")
 
 
 def write_raw(df: DataFrame, root: str, run_id: str, node_id: str) -> None:
-    """Partition files run_id=/dataset=/node_id=/partition_key=; an existing destination is an error."""
+    """Partition files run_id=/dataset=/node_id=/key=; an existing destination is an error."""
     _write(df, RAW_SCHEMA, root, "raw", run_id, node_id)
 
 
@@ -71,12 +85,37 @@ def read_ops_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(OPS_SCHEMAS[name]).option("mergeSchema", "false").parquet(f"{root}/{name}")
 
 
-def read_artifact_files(spark: SparkSession, root: str) -> DataFrame:
-    """relative_path, byte_size, sha256 of every file below root. Contents are hashed by the tasks that read them."""
+#: Files up to this size are read as one row; longer ones are hashed block by block.
+WHOLE_BYTES, BLOCK_BYTES = 32 << 20, 8 << 20
+
+
+def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """SHA-256 of the files at ``path``, read in blocks by the task, from any store that pyarrow knows."""
+    from pyarrow import fs
+
+    for b in batches:
+        digests = []
+        for path in b["path"]:
+            store, at = fs.FileSystem.from_uri(path.replace("file:/", "file:///") if path.startswith("file:/") and not path.startswith("file://") else path)
+            h = hashlib.sha256()
+            with store.open_input_stream(at) as f:
+                while block := f.read(BLOCK_BYTES):
+                    h.update(block)
+            digests.append(h.hexdigest())
+        yield pd.DataFrame({"path": b["path"], "byte_size": b["length"], "sha256": digests})
+
+
+def read_artifact_files(spark: SparkSession, root: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """relative_path, byte_size, sha256 of every file below root. Contents are hashed by the tasks that read them; a row never holds more than whole_bytes of one.
+
+    Spark's reader leaves out files of no bytes, which no artifact can be; a manifest of one is told as missing.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    small = files.filter(F.col("length") <= whole_bytes).select("path", F.col("length").alias("byte_size"), F.sha2("content", 256).alias("sha256"))
+    large = files.filter(F.col("length") > whole_bytes).select("path", "length").mapInPandas(_hashed, "path string, byte_size long, sha256 string")
     base = F.lit(root.rstrip("/").split(":", 1)[-1].replace("//", "") + "/")
     plain: Column = F.regexp_replace("path", r"^[a-z0-9]+:/*", "/")
-    return files.select(F.substring(plain, F.instr(plain, base) + F.length(base), F.length(plain)).alias("relative_path"), F.col("length").alias("byte_size"), F.sha2("content", 256).alias("sha256"))
+    return small.unionByName(large).select(F.substring(plain, F.instr(plain, base) + F.length(base), F.length(plain)).alias("relative_path"), "byte_size", "sha256")
 
 
 def register_manifests(existing: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
@@ -27,32 +27,70 @@ def stream_events(spark: SparkSession, folder: str, files_per_batch: int | None
     return stream_table(spark, folder, OPS_SCHEMAS["execution_events"], files_per_batch)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+#: Parts, by the hash of the run, in which logs and heads are stored: a batch reads and writes only those of its own runs.
+PARTS = 64
+
+
+def _part() -> Column:
+    return F.pmod(F.xxhash64("run_id"), F.lit(PARTS)).cast("int")
+
+
+def _numbers(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """The numbers of the sub-folders name=<number>, sorted; none if the folder isn't there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [str(s.getPath().getName()) for s in store.listStatus(path)] if store.exists(path) else []
+    return sorted(int(n.removeprefix(f"{name}=")) for n in found if n.startswith(f"{name}="))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _touched(rows: DataFrame) -> list[int]:
+    return sorted(r["part"] for r in rows.select("part").distinct().collect())  # at most PARTS numbers
+
+
+def _parts(spark: SparkSession, folder: str, schema: T.StructType, paths: list[str]) -> DataFrame:
+    full = T.StructType([*schema.fields, T.StructField("part", T.IntegerType()), T.StructField("batch", T.LongType())])
+    return spark.read.schema(full).option("basePath", folder).parquet(*paths) if paths else spark.createDataFrame([], full)
+
+
+def _write_parts(df: DataFrame, folder: str, number: int) -> None:
+    """As part=/batch=<number>; what an earlier try of the same batch wrote there is replaced."""
+    dealt = df.withColumn("batch", F.lit(number).cast("long")).hint("rebalance", "part")  # few files a part; a large part is split
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(folder)
 
 
 def stream_ingest(events: DataFrame, out: str, checkpoint: str, keys: Sequence[str] = ("run_id", "sequence_number")) -> StreamingQuery:
     """Appends events to out/log once each; the same event again is left out, another one with a stored key goes to out/conflicts.
 
-    A batch's output folder is named by its number and overwritten, so a batch that runs again after a failure adds nothing.
+    The log is stored by part (of the run) and batch, so a batch is compared with its own runs' parts only, and one that runs again after
+    a failure adds nothing. read_log() reads it.
     """
 
     def take(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rest = [c for c in batch.columns if c not in keys]
         first = batch.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("x"), F.count_distinct(F.struct(*rest)).alias("n"))
-        rows = first.select(*keys, "x.*", "n")
-        earlier = [f"{out}/log/batch={i}" for i in range(number) if _exists(spark, f"{out}/log/batch={i}")]
-        stored = spark.read.schema(batch.schema).parquet(*earlier) if earlier else spark.createDataFrame([], batch.schema)
-        told = replay_compare(stored, rows.select(*batch.columns), list(keys)).join(rows.select(*keys, "n"), list(keys)).persist()
-        told.filter("disposition = 'new'").select(*batch.columns).write.mode("overwrite").parquet(f"{out}/log/batch={number}")
+        rows = first.select(*keys, "x.*", "n").withColumn("part", _part()).persist()
+        there = set(_numbers(spark, f"{out}/log", "part"))
+        stored = _parts(spark, f"{out}/log", batch.schema, [f"{out}/log/part={i}" for i in _touched(rows) if i in there]).filter(F.col("batch") < number)
+        told = replay_compare(stored.select(*batch.columns), rows.select(*batch.columns), list(keys)).join(rows.select(*keys, "n", "part"), list(keys)).persist()
+        _write_parts(told.filter("disposition = 'new'").select(*batch.columns, "part"), f"{out}/log", number)
         told.filter("disposition = 'conflict' or n > 1").select(*batch.columns).write.mode("overwrite").parquet(f"{out}/conflicts/batch={number}")
         told.unpersist()
+        rows.unpersist()
 
     return events.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_log(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
+    """The log that stream_ingest wrote."""
+    return _parts(spark, f"{out}/log", schema, [f"{out}/log/part={i}" for i in _numbers(spark, f"{out}/log", "part")]).select(*schema.names)
+
+
 def stream_gaps(events: DataFrame, key: str = "run_id", seq: str = "sequence_number") -> DataFrame:
     """key, gap_from, gap_to, closed: gaps as they open, from state that holds the next expected number of each key.
 
@@ -83,23 +121,31 @@ def stream_node_metrics(attempts: DataFrame) -> DataFrame:
 
 
 def stream_checkpoints(checkpoints: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Heads of each (run, node, partition) as out/heads-<batch>: the present heads and the batch, the highest version of each."""
-    keys = ["run_id", "node_id", "partition_key"]
+    """Heads of each (run, node, partition), the highest version of each, below out/heads by part and batch.
+
+    A batch rewrites the parts of its own runs. Of each part the newest heads and those before them, which a reader may have begun with, stay.
+    """
+    keys, root = ["run_id", "node_id", "partition_key"], f"{out}/heads"
 
     def take(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rest = [c for c in batch.columns if c not in keys]
-        before = next((f"{out}/heads-{i}" for i in range(number - 1, -1, -1) if _exists(spark, f"{out}/heads-{i}")), None)
-        rows = batch if before is None else spark.read.schema(batch.schema).parquet(before).unionByName(batch)
-        heads = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("version", *[c for c in rest if c != "version"])).alias("x")).select(*keys, "x.*")
-        heads.write.mode("overwrite").parquet(f"{out}/heads-{number}")
+        rows = batch.withColumn("part", _part()).persist()
+        before = {i: [n for n in _numbers(spark, f"{root}/part={i}", "batch") if n < number] for i in _touched(rows)}
+        known = _parts(spark, root, batch.schema, [f"{root}/part={i}/batch={found[-1]}" for i, found in before.items() if found])
+        both = known.drop("batch").unionByName(rows)
+        heads = both.groupBy(*keys, "part").agg(F.max_by(F.struct(*rest), F.struct("version", *[c for c in rest if c != "version"])).alias("x")).select(*keys, "x.*", "part")
+        _write_parts(heads.select(*batch.columns, "part"), root, number)
+        rows.unpersist()
+        for i, found in before.items():
+            for n in found[:-1]:
+                _delete(spark, f"{root}/part={i}/batch={n}")
 
     return checkpoints.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_heads(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
     """The newest heads that stream_checkpoints wrote."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(out)
-    found = [str(s.getPath().getName()) for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
-    newest = max(int(n.removeprefix("heads-")) for n in found if n.startswith("heads-"))
-    return spark.read.schema(schema).parquet(f"{out}/heads-{newest}")
+    root = f"{out}/heads"
+    newest = [f"{root}/part={i}/batch={_numbers(spark, f'{root}/part={i}', 'batch')[-1]}" for i in _numbers(spark, root, "part")]
+    return _parts(spark, root, schema, newest).select(*schema.names)

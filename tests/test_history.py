@@ -149,8 +149,9 @@ def test_recovery_findings(spark, golden):
     for r in rv.work_findings(work, ops(spark, "work_attempts", []), heads, made, F.lit(T0)).collect():
         got.setdefault(r["work_item_id"], set()).add(r["kind"])
     assert got == {k: c[6] for k, c in cases.items()}
-    issues = spark.createDataFrame([("missing_file", "art_1")], "kind string, artifact_id string")
+    issues = spark.createDataFrame([("missing_file", "art_1"), ("invalid_file", "art_2")], "kind string, artifact_id string")
     found = rv.recovery_findings(runs, nodes, work, ops(spark, "work_attempts", []), heads, made, issues, ops(spark, "idempotency_records", [{"status": "in_progress"}, {"status": "odd"}]), F.lit(T0))
+    assert {r["artifact_id"]: r["kind"] for r in found.collect() if r["artifact_id"]} == {"art_1": "integrity_missing_file", "art_2": "integrity_changed_file"}
     assert {"integrity_missing_file", "stranded_idempotency", "event_frontier_corrupt", "aggregate_mismatch"} <= {r["kind"] for r in found.collect()}
     assert rv.recovery_status(found, runs).first()["status"] == "ambiguous"
     _, rows = rv.recover_expired(work, F.lit(T0), F.lit(late))
@@ -175,6 +176,50 @@ def test_streams(spark, tmp_path):
     assert ("r", 3, 4, False) in gaps or ("r", 4, 4, False) in gaps
 
 
+def test_heads_are_rewritten_by_part(spark, tmp_path):
+    """Each batch rewrites its own runs' parts; a part's older heads go, but for those before the newest."""
+    at, schema = f"file://{tmp_path}", "run_id string, node_id string, partition_key string, version long"
+    for k in range(5):
+        rows = [("hot", "n", "p", k), (f"run_{k}", "n", "p", 7), ("late", "n", "p", 9 - k)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{at}/log")
+        streams.stream_checkpoints(streams.stream_table(spark, f"{at}/log", schema), f"{at}/out", f"{at}/c").awaitTermination()
+    want = {"hot": 4, "late": 9} | {f"run_{k}": 7 for k in range(5)}
+    heads = streams.latest_heads(spark, f"{at}/out", spark.createDataFrame([], schema).schema)
+    assert {r["run_id"]: r["version"] for r in heads.collect()} == want and heads.count() == len(want)
+    kept = [len(list(p.iterdir())) for p in (tmp_path / "out" / "heads").glob("part=*")]
+    assert kept and max(kept) <= 2
+
+
+def test_files_in_blocks(spark, tmp_path):
+    """Files beyond the bound are hashed block by block by the task, with the same digests; none is a row."""
+    import hashlib
+
+    (tmp_path / "d" / "e").mkdir(parents=True)
+    content = {"d/a.bin": b"x" * 20_000_001, "d/e/b.bin": b"b", "d/e/c.bin": b"small"}
+    for name, data in content.items():
+        (tmp_path / name).write_bytes(data)
+    want = {n.removeprefix("d/"): (len(b), hashlib.sha256(b).hexdigest()) for n, b in content.items()}
+    for bound in (0, 10, 1 << 30):
+        assert {r["relative_path"]: (r["byte_size"], r["sha256"]) for r in tables.read_artifact_files(spark, f"file://{tmp_path}/d", bound).collect()} == want
+
+
+def test_partition_keys_in_paths(spark, tmp_path):
+    """Keys that differ in case or hold signs of paths have folders of their own, and come back from them."""
+    at, keys = f"file://{tmp_path}", ["a", "A", "a/b", "..", "x=1", "\u00e9"]
+    row = ("A", "n", 1, 1, "USD", 2, T0, "c", "k", [])
+    df = spark.createDataFrame([(i, *row) for i, _ in enumerate(keys)], NORMALIZED_SCHEMA)
+    named = df.withColumn("partition_key", F.element_at(F.array(*[F.lit(k) for k in keys]), F.col("record_index").cast("int") + 1))
+    tables.write_normalized(named, at, "run_1", "nod_1")
+    found = spark.read.parquet(f"{at}/normalized-run_1-nod_1").select("record_index", tables.partition_key_of(F.col("key").cast("string")).alias("k")).collect()
+    assert {r["record_index"]: r["k"] for r in found} == dict(enumerate(keys))
+
+
+def test_ranks_with_ties(spark):
+    rows = [{"run_id": "r", "node_id": n, "work_item_id": f"w{i}", "attempt_number": 1, "duration_microseconds": d} for i, (n, d) in enumerate([("a", 5), ("a", 5), ("a", 1), ("b", 3), ("a", 9), ("a", 5)])]
+    got = rs.ranked_attempts(ops(spark, "work_attempts", rows), "run_id", "node_id").collect()
+    assert {r["work_item_id"]: (r["rank"], r["of"]) for r in got} == {"w2": (1, 5), "w0": (2, 5), "w1": (3, 5), "w5": (4, 5), "w4": (5, 5), "w3": (1, 1)}
+
+
 def test_sources_reject(spark, tmp_path):
     at = f"file://{tmp_path}"
     spark.range(3).write.parquet(f"{at}/x")

@@ -76,7 +76,12 @@ def test_duplicate_bound(spark):
     one = frame(spark, [record(0, "X"), record(0, "Y")])
     out = rc.reconcile(many, one)
     assert [r["sku"] for r in rc.check_duplicate_bounds(out).collect()] == ["X"]
-    assert [r["sku"] for r in rc.outcome_records(many, one).collect()] == ["Y"]
+    with pytest.raises(ValueError, match="more than 1024 records"):
+        rc.outcome_records(many, one)
+    assert [r["sku"] for r in rc.outcome_records(many.filter("sku = 'Y'"), one.filter("sku = 'Y'")).collect()] == ["Y"]
+    page = spark.range(102).selectExpr("concat('K', id) as sku")
+    with pytest.raises(ValueError, match="at most 101"):
+        rc.records_for(many, page)
 
 
 def batch(seed, n=60):
