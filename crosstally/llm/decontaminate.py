@@ -8,7 +8,7 @@ of a match; a suffix ends there.
 
 The benchmark is the query set. It is read in blocks of at most BLOCK_BYTES (text, names and a fixed sum an item); a block is arrays of
 numbers and one vocabulary, and it is held against all documents before the next one is read, so neither the driver nor a task ever holds
-two. What a block hits is stored in the shared folder, keyed by the text's digest, a row for each different text that is hit.
+two. What the blocks before the last one hit is stored in the shared folder, keyed by the text's digest, a row for each different text.
 
 Defined cases: null and empty texts have no words and are never hit; an item of fewer than ``window`` words is one window, an item
 without words is none; rows of one item_id are one item, whose windows are those of each row; repeated documents get the same result
@@ -18,9 +18,9 @@ not read (the filter keeps all columns).
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import repeat
 from math import ceil
 
@@ -39,8 +39,6 @@ SHARD_BYTES = 3_000_000
 
 #: Lower-cases A-Z; every ASCII byte that is no digit and no letter becomes a blank.
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-#: The same words in a Java pattern.
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -227,14 +225,17 @@ class Shard:
             yield self.queries.names[item], int(s - self.queries.first[item]), n, int(ids[text[best]]), int(places[best] - self.starts[text[best]])
 
 
-def query_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[Queries]:
-    """The benchmark in blocks of about block_bytes, one at a time; rows of one item_id are never parted."""
-    items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.octet_length("item_id") + ITEM_BYTES)).first()[0] or 0
-    n = max(1, ceil(total / block_bytes))
-    for k in range(n):
-        block = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        yield Queries(((r["item_id"], r["text"]) for r in block.toLocalIterator()), window)
+class Blocks:
+    """The benchmark in blocks of about block_bytes, read one at a time; rows of one item_id are never parted."""
+
+    def __init__(self, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES):
+        self.window, self.items = window, benchmark.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+        total = self.items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.octet_length("item_id") + ITEM_BYTES)).first()[0] or 0
+        self.n = max(1, ceil(total / block_bytes))
+
+    def read(self, k: int) -> Queries:
+        block = self.items if self.n == 1 else self.items.filter(F.pmod(F.xxhash64("item_id"), F.lit(self.n)) == k)
+        return Queries(((r["item_id"], r["text"]) for r in block.toLocalIterator()), self.window)
 
 
 def _shards(texts: list) -> Iterator[tuple[int, int]]:
@@ -249,57 +250,70 @@ def _shards(texts: list) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-_HIT = "digest string, spans array<struct<first:long,after:long>>, items array<string>"
+_SPANS = "array<struct<first:bigint,after:bigint>>"
 
 
-def block_hits(docs: DataFrame, queries: Queries) -> DataFrame:
-    """digest (SHA-256 of the text), spans, items of every row of docs(text) that one block hits."""
+def hits_column(text: Column, queries: Queries) -> Column:
+    """struct(n_words, n_hit, spans, items) of whole texts for one block."""
 
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(f"n_words long, n_hit long, spans {_SPANS}, items array<string>")
+    def hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts, rows = b["text"].tolist(), []
+            texts, rows = b.tolist(), []
             for i, j in _shards(texts):
-                for d, (spans, items) in sorted(Shard([words(t) for t in texts[i:j]], queries).hits().items()):
-                    rows.append((hashlib.sha256(texts[i + d].encode()).hexdigest(), [{"first": a, "after": z} for a, z in spans], items))
-            yield pd.DataFrame(rows, columns=["digest", "spans", "items"])
+                split = [words(t) for t in texts[i:j]]
+                found = Shard(split, queries).hits()
+                for d, w in enumerate(split):
+                    spans, items = found.get(d, ((), ()))
+                    rows.append((len(w), sum(z - a for a, z in spans), [{"first": a, "after": z} for a, z in spans], list(items)))
+            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "spans", "items"])
 
-    return docs.filter("text is not null").select("text").mapInPandas(found, _HIT)
+    return hits(text)
 
 
-def text_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """digest, n_hit, spans, items: a row for each different text that any block hits, its spans merged over the blocks."""
-    out = None
-    for q in query_blocks(benchmark, window, block_bytes):
-        # copies of a text are one row before they move
-        part = cut(block_hits(docs, q).groupBy("digest").agg(F.first("spans").alias("spans"), F.first("items").alias("items")))
-        out = part if out is None else out.unionByName(part)
-    together = out.groupBy("digest").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    span = lambda a, z: F.struct(a.alias("first"), z.alias("after"))
-    start = F.array().cast("array<struct<first:bigint,after:bigint>>")
+def _text_hits(docs: DataFrame, queries: Queries) -> DataFrame:
+    """digest (SHA-256 of the text), spans, items: a stored row for each different text that one block hits. Copies are one row before they move."""
+    hit = docs.select(F.col("text"), hits_column(F.col("text"), queries).alias("h")).filter("h.n_hit > 0")
+    return cut(hit.select(F.sha2("text", 256).alias("digest"), "h.spans", "h.items").groupBy("digest").agg(F.first("spans").alias("spans"), F.first("items").alias("items")))
+
+
+def _merged(spans: Column) -> Column:
+    """Sorted spans, those that touch made one."""
 
     def join(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        touches = (F.size(done) > 0) & (s["first"] <= F.when(F.size(done) > 0, last["after"]))
-        return F.when(touches, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(span(last["first"], F.greatest(last["after"], s["after"]))))).otherwise(F.concat(done, F.array(s)))
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last["first"].alias("first"), F.greatest(last["after"], s["after"]).alias("after"))
+        return F.when(F.coalesce(s["first"] <= last["after"], F.lit(False)), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(s)))
 
-    merged = together.withColumn("spans", F.aggregate("s", start, join))
-    return merged.select("digest", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["after"] - s["first"]).alias("n_hit"), "spans", "items")
+    return F.aggregate(F.array_sort(spans), F.array().cast(_SPANS), join)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, item_ids, spans, contaminated for every row of docs(doc_id, text). Texts are not shuffled, their digests may be."""
-    hits = text_hits(docs, benchmark, window, block_bytes)
-    n_words = F.coalesce(F.regexp_count(F.col("text"), F.lit(_WORD)), F.lit(0)).cast("long")
-    told = docs.select("doc_id", n_words.alias("n_words"), F.sha2("text", 256).alias("digest")).join(hits, "digest", "left")
-    items = F.coalesce("items", F.array().cast("array<string>"))
-    spans = F.coalesce("spans", F.array().cast("array<struct<first:bigint,after:bigint>>"))
-    return told.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("item_ids"), spans.alias("spans"), F.col("n_hit").isNotNull().alias("contaminated"))
+    """doc_id, n_words, n_hit, n_items, item_ids, spans, contaminated for every row of docs(doc_id, text).
+
+    With one block no row is shuffled. With several, what the others hit is stored first and joined by the digest of the text.
+    """
+    blocks = Blocks(benchmark, window, block_bytes)
+    others = [_text_hits(docs, blocks.read(k)) for k in range(blocks.n - 1)]
+    rows = docs.select("doc_id", F.sha2("text", 256).alias("digest"), hits_column(F.col("text"), blocks.read(blocks.n - 1)).alias("h"))
+    told = rows.select("doc_id", "digest", "h.n_words", "h.n_hit", "h.spans", F.col("h.items").alias("item_ids"))
+    if others:
+        more = reduce(DataFrame.unionByName, others).groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("more_spans"), F.flatten(F.collect_list("items")).alias("more_items"))
+        told = told.join(more, "digest", "left")
+        told = told.withColumn("spans", _merged(F.concat("spans", F.coalesce("more_spans", F.array().cast(_SPANS)))))
+        told = told.withColumn("item_ids", F.array_sort(F.array_distinct(F.concat("item_ids", F.coalesce("more_items", F.array().cast("array<string>"))))))
+        told = told.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["after"] - s["first"]))
+    return told.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", "spans", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, with all their columns, that no window hits."""
-    hits = small_side(text_hits(docs, benchmark, window, block_bytes).select(F.col("digest").alias("hit_digest")))
-    return docs.join(hits, F.sha2(docs["text"], 256) == F.col("hit_digest"), "left_anti")
+    """The rows of docs, with all their columns, that no window hits. Texts move only if several blocks hit very many different texts."""
+    blocks = Blocks(benchmark, window, block_bytes)
+    others = [_text_hits(docs, blocks.read(k)).select(F.col("digest").alias("hit_digest")) for k in range(blocks.n - 1)]
+    clean = docs.filter(hits_column(F.col("text"), blocks.read(blocks.n - 1))["n_hit"] == 0)
+    if not others:
+        return clean
+    return clean.join(small_side(reduce(DataFrame.unionByName, others)), F.sha2(clean["text"], 256) == F.col("hit_digest"), "left_anti")
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -308,7 +322,9 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     Of equally long matches the one with the smallest doc_id and then the smallest word is told; rows with a null doc_id are left out.
     """
     out, best = None, F.max_by(F.struct("length", "doc_id", "doc_word"), F.struct("length", -F.col("doc_id"), -F.col("doc_word")))
-    for q in query_blocks(benchmark, window, block_bytes):
+    blocks = Blocks(benchmark, window, block_bytes)
+    for k in range(blocks.n):
+        q = blocks.read(k)
 
         def matches(batches: Iterator[pd.DataFrame], q: Queries = q) -> Iterator[pd.DataFrame]:
             for b in batches:

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -7,6 +8,8 @@ from crosstally.llm import decontaminate as dc
 
 from .helpers import ENGLISH, documents, empty
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 
 def brute_words(text):
     lower = (text or "").translate({c: c + 32 for c in range(65, 91)})
@@ -57,6 +60,77 @@ def test_matches_brute_force(spark, seed, window, block):
     assert clean == {i for i, (_, h, _) in got.items() if not h}
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_longest_matches_brute_force(spark, seed):
+    docs, items = made(seed, 25)
+    d = spark.createDataFrame(docs + [(None, docs[0][1])], "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = {}
+    for name, t in items:
+        w = brute_words(t)
+        for i in range(len(w)) if name is not None else ():
+            need = min(4, len(w))
+            for doc, text in docs:
+                x = brute_words(text)
+                for p in range(len(x)):
+                    n = 0
+                    while i + n < len(w) and p + n < len(x) and w[i + n] == x[p + n]:
+                        n += 1
+                    if n >= need:
+                        want[(str(name), i)] = max(want.get((str(name), i), (0, 0, 0)), (n, -doc, -p))
+    for block in (10**6, 300):
+        got = {(r["item_id"], r["item_word"]): (r["length"], -r["doc_id"], -r["doc_word"]) for r in dc.longest_matches(d, b, 4, block).collect()}
+        assert got == want and want
+
+
+def test_three_blocks_are_as_one(spark):
+    docs, items = made(9, 80)
+    d = spark.createDataFrame(docs + [(None, docs[3][1])], "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert dc.Blocks(b, 4, 700).n >= 3
+    rows = lambda n: sorted(map(str, dc.contamination(d, b, 4, n).collect()))
+    assert rows(700) == rows(10**6)
+    kept = lambda n: sorted(map(str, dc.decontaminated(d, b, 4, n).collect()))
+    assert kept(700) == kept(10**6)
+
+
+_MEASURE = """
+import gc, os, pickle, random, sys, time
+import numpy as np
+from crosstally.llm import decontaminate as dc
+
+def mb():
+    return int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 2**20
+
+rng = random.Random(5)
+letters = "abcdefghijklmnopqrstuvwxyz"
+word = lambda: "".join(rng.choices(letters, k=5))
+def items(total):
+    for i in range(total // (dc.ITEM_BYTES + 606)):
+        yield str(i), " ".join(word() for _ in range(100))
+start = mb()
+q = dc.Queries(items(int(sys.argv[1])))
+driver = mb() - start
+back = pickle.loads(pickle.dumps(q))
+del q
+gc.collect()
+start = mb()
+texts = [[w.encode() for w in (word() for _ in range(400))] for _ in range(1200)]
+dc.Shard(texts, back).hits()
+print(round(driver), round(mb() - start), len(back.vocabulary), len(back.ids))
+"""
+
+
+def test_a_block_is_small():
+    """The largest block, whose words are nearly all different, in the driver and then in a worker with a shard of 3 MB: under 300 MB each."""
+    import subprocess
+    import sys
+
+    out = subprocess.run([sys.executable, "-c", _MEASURE, str(dc.BLOCK_BYTES)], capture_output=True, text=True, timeout=300, cwd=ROOT)
+    driver, worker, different, n = map(int, out.stdout.split())
+    assert different > 900_000 and n > 1_000_000 and driver < 300 and worker < 300, out.stdout
+
+
 def test_longest_match(spark):
     item = " ".join(f"w{i}" for i in range(40))
     d = spark.createDataFrame([(1, "start " + " ".join(f"w{i}" for i in range(5, 30)) + " end"), (2, " ".join(f"w{i}" for i in range(8, 20)))], "doc_id long, text string")
