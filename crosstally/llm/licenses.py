@@ -18,9 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
-
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+from .common import cut, small_side
 
 # Spellings that count as equal, and what they become.
 SPELLINGS = (("licence", "license"), ("organisation", "organization"), ("merchantibility", "merchantability"), ("acknowledgement", "acknowledgment"), ("favour", "favor"), ("https", "http"), ("non commercial", "noncommercial"), ("sub license", "sublicense"), ("per cent", "percent"), ("copyright owner", "copyright holder"))
@@ -120,7 +118,7 @@ def titled(known=KNOWN) -> list[tuple[str, str]]:
 
 def canonical_lines(text: Column) -> Column:
     """The canonical form of a text, as its lines that aren't empty."""
-    c = F.concat(F.lit("\n"), F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER))
+    c = F.concat(F.lit("\n"), F.lower(F.coalesce(text, F.lit(""))))
     c = F.regexp_replace(F.regexp_replace(c, _NOTICE, "\n"), _SIGNS, " ")
     for old, new in SPELLINGS:
         c = F.replace(c, F.lit(old), F.lit(new))
@@ -129,7 +127,7 @@ def canonical_lines(text: Column) -> Column:
 
 def canonical_lines_sql(text: str) -> str:
     """The same in DuckDB SQL."""
-    c = f"concat(chr(10), translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'))"
+    c = f"concat(chr(10), lower(coalesce({text}, '')))"
     c = f"regexp_replace(regexp_replace({c}, '{_NOTICE}', chr(10), 'g'), '{_SIGNS}', ' ', 'g')"
     for old, new in SPELLINGS:
         c = f"replace({c}, '{old}', '{new}')"
@@ -158,7 +156,8 @@ def scan_licenses(docs: DataFrame, known=KNOWN) -> DataFrame:
     # equal texts have equal lines: each is looked up once
     texts = kept.filter(F.size("line_digests") > 0).groupBy("key").agg(F.first("line_digests").alias("line_digests"))
     found = texts.select("key", F.explode("line_digests").alias("known_digest")).join(digests, "known_digest")
-    found = found.groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("line_licenses"), F.count("*").alias("n_lines"))
+    # stored apart: where it is too large for a broadcast, the join reads two plain sides and a text with very many copies can be split
+    found = small_side(cut(found.groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("line_licenses"), F.count("*").alias("n_lines"))))
     whole = kept.select("doc_id", "key", "digest").join(digests, F.col("digest") == F.col("known_digest"), "left").drop("known_digest")
     return whole.join(found, "key", "left").select("doc_id", "digest", "license_id", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"))
 
