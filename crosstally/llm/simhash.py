@@ -17,7 +17,9 @@ doc_id and text are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -26,9 +28,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_side
 
 SHINGLE = 3
+#: Of the near copies of the pipeline: words of a shingle, least share of common shingles, fingerprints that find candidates.
+COPY_SHINGLE, SIMILARITY, WORD_PRINTS = 5, 0.8, 3
 THRESHOLD = 3
 SEED = 42
 #: Fingerprints of a block at an anchor.
@@ -54,6 +58,26 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def word_fingerprints(text: str | None) -> list[int]:
+    """WORD_PRINTS unsigned fingerprints of a text's words, each counted 1 + ln(times): bits by weighted majority over independent hashes.
+
+    An edit changes one word here and three or five shingles there, so near copies are much nearer; equal vocabularies are near as well,
+    so what these find is only a candidate.
+    """
+    times = Counter((text or "").encode("utf-8", "replace").lower().split())
+    if not times:
+        return [0] * WORD_PRINTS
+    weights = 1 + np.log(np.fromiter(times.values(), float, len(times)))
+    digest = xxhash.xxh3_128_digest
+    raw = b"".join([digest(w, SEED) + digest(w, SEED + 1) for w in times])
+    ones = np.zeros(256)
+    for i in range(0, len(times), _COUNTED):
+        part = np.frombuffer(raw[32 * i : 32 * (i + _COUNTED)], np.uint8).reshape(-1, 32)
+        ones += weights[i : i + _COUNTED] @ np.unpackbits(part, axis=1)
+    bits = np.packbits(2 * ones > weights.sum())
+    return [int(x) for x in bits.view("<u8")[:WORD_PRINTS]]
+
+
 def fingerprint_column(text: Column, shingle: int = SHINGLE) -> Column:
     """The fingerprint as a signed bigint."""
 
@@ -186,15 +210,76 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     return marked.join(classes, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def _all_prints(text: Column, shingle: int) -> Column:
+    @F.pandas_udf("fp long, words array<long>")
+    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = b.tolist()
+            fp = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts)).view(np.int64)
+            yield pd.DataFrame({"fp": fp, "words": [np.array(word_fingerprints(t), np.uint64).view(np.int64) for t in texts]})
+
+    return prints(text)
+
+
+def _shingles(text: Column, shingle: int) -> Column:
+    """The different hashes of a text's word shingles; of fewer words, of the whole sequence."""
+
+    @F.pandas_udf("array<long>")
+    def hashes(s: pd.Series) -> pd.Series:
+        def of(t: str | None) -> np.ndarray:
+            w = (t or "").encode("utf-8", "replace").lower().split()
+            found = {xxhash.xxh64_intdigest(b" ".join(w[i : i + shingle]), SEED) for i in range(max(1, len(w) - shingle + 1))}
+            return np.fromiter(found, np.uint64, len(found)).view(np.int64)
+
+        return s.map(of, na_action=None)
+
+    return hashes(text)
+
+
+def similar(docs: DataFrame, candidates: DataFrame, shingle: int = COPY_SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """The candidate pairs (a, b) of doc_ids whose texts have at least the given share of their word shingles in common, counted exactly."""
+    ends = small_side(cut(candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), 1_000_000)
+    texts = docs.select("doc_id", "text").join(ends, "doc_id", "left_semi")
+    sets = cut(texts.select("doc_id", F.sha2("text", 256).alias("order"), _shingles(F.col("text"), shingle).alias("s")).groupBy("doc_id").agg(F.min_by("s", "order").alias("s")))
+    side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("s").alias(f"s{k}"))
+    both = candidates.join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(common >= least * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
+def near_copies(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """doc_id, component_id: for every row of docs with a doc_id, the smallest doc_id that is reached by links of fingerprints or of similar texts.
+
+    Beside the fingerprints of shingles, whose links count as they are, WORD_PRINTS fingerprints of words are covered and compared in the
+    same way; each edge that these give is kept if its two texts are similar, counted exactly. Of near copies with a similarity of 0.8 the
+    word fingerprints find nine of ten.
+    """
+    marked = cut(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _all_prints(F.col("text"), shingle).alias("p")).select("doc_id", "p.fp", "p.words"))
+    distinct = cut(marked.groupBy("fp", "words").agg(F.min("doc_id").alias("node")))
+
+    def edges(fp: Column) -> DataFrame:
+        """Of each fingerprint one node stands for all, which have an edge to it."""
+        named = distinct.select("node", fp.alias("fp"))
+        first = cut(named.groupBy("fp").agg(F.min("node").alias("first")))
+        own = named.join(first, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+        return links(first.withColumnRenamed("first", "node"), threshold, block).unionByName(own)
+
+    candidates = [edges(F.col("words")[k]) for k in range(WORD_PRINTS)]
+    pairs = cut(reduce(DataFrame.unionByName, candidates).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+    found = components(edges(F.col("fp")).unionByName(similar(docs, pairs)))
+    classes = distinct.join(found, "node", "left").select("fp", "words", F.coalesce("component", "node").alias("component_id"))
+    return marked.join(classes, ["fp", "words"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+
+
 def first_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; all columns stay.
+    """The rows of docs whose doc_id is the smallest of its component of near_copies; all columns stay.
 
     Rows that repeat a doc_id are one document, of which one row stays: that with the smallest SHA-256 of its text (null first), then with
     the smallest hash of its other columns. Rows with a null doc_id stay. Rows of one id are reduced where they are read, and texts move once.
     """
-    kept = near_duplicates(docs, **options).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = near_copies(docs, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
     others = [f.name for f in docs.schema if f.name != "text" and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     order = F.struct(F.sha2("text", 256), F.xxhash64(*others))
     one = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("row"))
-    known = one.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id") == F.col("kept_id"), "left_semi").select("row.*")
+    known = one.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").select("row.*")
     return known.unionByName(docs.filter("doc_id is null"))
