@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import format_utc
+from ..schemas import require_empty
 
 #: Leading digits that the nodes of each level share, from the leaves up.
 LEVELS = (6, 3)
@@ -65,6 +66,18 @@ def state_fingerprint(df: DataFrame, text: Column, scope: str, *keys: str) -> Da
     return level.groupBy(*keys).agg(total.alias("n"), F.sha2(joined, 256).alias("fingerprint"))
 
 
+MAX_EXACT = 10_000
+
+
+def state_fingerprint_exact(df: DataFrame, text: Column, scope: str, *keys: str) -> DataFrame:
+    """keys, n, fingerprint with one level only: all sorted leaves of a group are digested together. A group of more than MAX_EXACT is an error; state_fingerprint takes any."""
+    require_empty(df.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > MAX_EXACT), f"groups of more than {MAX_EXACT}")
+    leaf = leaf_digest(F.concat(F.lit(scope + "\n"), text))
+    leaves = F.array_sort(F.collect_list("leaf"))
+    joined = F.concat_ws("\n", F.lit(ROOT), F.lit(scope), F.count("leaf").cast("string"), F.concat_ws("\n", leaves))
+    return df.select(*keys, leaf.alias("leaf")).groupBy(*keys).agg(F.count("leaf").alias("n"), F.sha2(joined, 256).alias("fingerprint"))
+
+
 def inventory_fingerprint(df: DataFrame, *keys: str) -> DataFrame:
     return state_fingerprint(df, canonical_effect(), "inventory", *keys)
 

@@ -142,12 +142,29 @@ def check_source_counts(expected: dict[str, int], **tables: DataFrame) -> DataFr
     return reduce(DataFrame.unionByName, counts).filter("expected <> found")
 
 
-def compare_runs(work: DataFrame, heads: DataFrame, a: str, b: str) -> DataFrame:
-    """node_id, partition_key, what, in_a, in_b: where two runs' work states or checkpoint versions differ."""
-    facts = work.select("run_id", "node_id", "partition_key", F.lit("state").alias("what"), F.col("state").alias("value")).unionByName(
-        heads.select("run_id", "node_id", "partition_key", F.lit("checkpoint").alias("what"), F.col("version").cast("string").alias("value"))
-    )
-    g = facts.filter(F.col("run_id").isin(a, b)).groupBy("node_id", "partition_key", "what").agg(F.max(F.when(F.col("run_id") == a, F.col("value"))).alias("in_a"), F.max(F.when(F.col("run_id") == b, F.col("value"))).alias("in_b"))
+#: Counts of a node that two runs of one plan should share; durations and bytes are metrics, and may differ.
+COMPARED = ("work_total", *(f"work_{b}" for b in WORK_BUCKETS), "records_read", "records_written", "records_quarantined")
+
+
+def compare_runs(runs: DataFrame, nodes: DataFrame, work: DataFrame, heads: DataFrame, manifests: DataFrame, a: str, b: str) -> DataFrame:
+    """node_id, partition_key, what, in_a, in_b: where two runs differ in their plan, a node's counts, a work item's state, a checkpoint's version or the artifacts of a partition.
+
+    Artifacts are compared by their number and the sum of the first 32 bits of their digests, whatever their order and names.
+    """
+    none = F.lit(None).cast("string")
+    place = ["run_id", "node_id", "partition_key"]
+    fact = lambda df, what, value: df.select(*place, F.lit(what).alias("what"), value.cast("string").alias("value"))
+    counts = F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).cast("string").alias("value")) for c in COMPARED]))
+    made = manifests.groupBy(*place).agg(F.concat_ws(":", F.count("*").cast("string"), F.sum(F.conv(F.substring("sha256", 1, 8), 16, 10).cast("long")).cast("string")).alias("told"))
+    facts = [
+        runs.select("run_id", none.alias("node_id"), none.alias("partition_key"), F.lit("plan").alias("what"), F.col("plan_fingerprint").alias("value")),
+        nodes.select("run_id", "node_id", none.alias("partition_key"), counts.alias("x")).select(*place, "x.*"),
+        fact(work, "state", F.col("state")),
+        fact(heads, "checkpoint", F.col("version")),
+        fact(made, "artifacts", F.col("told")),
+    ]
+    both = reduce(DataFrame.unionByName, facts).filter(F.col("run_id").isin(a, b))
+    g = both.groupBy("node_id", "partition_key", "what").agg(F.max(F.when(F.col("run_id") == a, F.col("value"))).alias("in_a"), F.max(F.when(F.col("run_id") == b, F.col("value"))).alias("in_b"))
     return g.filter(~F.col("in_a").eqNullSafe(F.col("in_b")))
 
 

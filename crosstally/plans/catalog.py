@@ -196,6 +196,14 @@ def f05_state_fingerprint(spark, d):
     return fingerprint.inventory_fingerprint(v.inv_target(spark, d).withColumn("kind", F.substring("sku", 1, 1)), "kind")
 
 
+_LEAF = _leaf_sql("concat('customers', chr(10), c_name)")
+
+
+@query(f"SELECT c_nationkey, count(*) AS n, sha256(concat_ws(chr(10), '{fingerprint.ROOT}', 'customers', CAST(count(*) AS VARCHAR), string_agg({_LEAF}, chr(10) ORDER BY {_LEAF}))) AS fingerprint FROM customer GROUP BY 1")
+def f06_exact_fingerprint(spark, d):
+    return fingerprint.state_fingerprint_exact(v.table(spark, d, "customer"), F.col("c_name"), "customers", "c_nationkey")
+
+
 _OUTCOME = """concat('{"attributes_mismatch":', attributes_mismatch, ',"classification":"', classification, '","name_mismatch":', name_mismatch, ',"quantity_mismatch":', quantity_mismatch, ',"sku":"', sku, '","source_count":', source_count, ',"target_count":', target_count, ',"unit_price_mismatch":', unit_price_mismatch, ',"updated_at_mismatch":', updated_at_mismatch, '}')"""
 
 
@@ -530,9 +538,20 @@ def t17_source_counts(spark, d):
     return runstats.check_source_counts({"attempts": 1}, attempts=v.ops_attempts(spark, d))
 
 
-@query(f"{OPS}, f AS (SELECT run_id, node_id, partition_key, 'state' AS what, state AS value FROM wrk UNION ALL SELECT run_id, node_id, partition_key, 'checkpoint', CAST(version AS VARCHAR) FROM heads) SELECT node_id, partition_key, what, max(CASE WHEN run_id = 'run_0' THEN value END) AS in_a, max(CASE WHEN run_id = 'run_1' THEN value END) AS in_b FROM f WHERE run_id IN ('run_0', 'run_1') GROUP BY 1, 2, 3 HAVING max(CASE WHEN run_id = 'run_0' THEN value END) IS DISTINCT FROM max(CASE WHEN run_id = 'run_1' THEN value END)")
+_COUNTS = {c: c for c in runstats.COMPARED} | {"records_read": "attempts * 10", "records_written": "attempts * 9", "records_quarantined": "attempts"}
+_FACTS = " UNION ALL ".join(
+    ["SELECT run_id, NULL AS node_id, NULL AS partition_key, 'plan' AS what, sha256(run_id) AS value FROM runs"]
+    + [f"SELECT run_id, node_id, NULL, '{c}', CAST({e} AS VARCHAR) FROM nod" for c, e in _COUNTS.items()]
+    + ["SELECT run_id, node_id, partition_key, 'state', state FROM wrk", "SELECT run_id, node_id, partition_key, 'checkpoint', CAST(version AS VARCHAR) FROM heads"]
+    + ["SELECT concat('run_', o_custkey % 3), concat('nod_', o_custkey % 8), concat('partition-', lpad(CAST(o_custkey AS VARCHAR), 8, '0')), 'artifacts', concat(count(*), ':', sum(CAST(concat('0x', substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 8)) AS BIGINT))) FROM orders WHERE o_orderkey % 41 <> 0 GROUP BY o_custkey"]
+)
+_IN = [f"max(CASE WHEN run_id = 'run_{k}' THEN value END)" for k in (0, 1)]
+
+
+@query(f"{OPS}, f AS ({_FACTS}) SELECT node_id, partition_key, what, {_IN[0]} AS in_a, {_IN[1]} AS in_b FROM f WHERE run_id IN ('run_0', 'run_1') GROUP BY 1, 2, 3 HAVING {_IN[0]} IS DISTINCT FROM {_IN[1]}")
 def t18_compare_runs(spark, d):
-    return runstats.compare_runs(v.ops_work(spark, d), v.ops_heads(spark, d), "run_0", "run_1")
+    runs, nodes, work, _ = _ops(spark, d)
+    return runstats.compare_runs(runs, nodes, work, v.ops_heads(spark, d), v.ops_manifests(spark, d), "run_0", "run_1")
 
 
 @query(f"{OPS} SELECT state, count(*) AS n FROM runs GROUP BY 1")
