@@ -60,11 +60,13 @@ def idempotency_begin(records: DataFrame, requests: DataFrame) -> DataFrame:
     first = requests.groupBy(*keys).agg(F.min(F.struct("created_at", "request_sha256")).alias("first"))
     known = records.select(*keys, F.col("request_sha256").alias("stored_sha256"), F.col("status").alias("stored_status"))
     j = requests.join(first, keys).join(known, keys, "left")
-    one = F.row_number().over(Window.partitionBy(*keys, "request_sha256").orderBy("created_at"))
-    j = j.withColumn("nth", one)
+    # only requests of one moment are numbered, so a key that is asked for very often is no single task's sort
+    one = F.row_number().over(Window.partitionBy(*keys, "request_sha256", "created_at").orderBy("created_at"))
+    earliest = (one == 1) & (F.col("created_at") == F.col("first.created_at"))
+    j = j.withColumn("earliest", earliest)
     reference = F.coalesce("stored_sha256", "first.request_sha256")
     replay = F.concat(F.coalesce("stored_status", F.lit("in_progress")), F.lit("_replay"))
-    d = F.when(F.col("request_sha256") != reference, "conflict").when(F.col("stored_sha256").isNull() & (F.col("nth") == 1), "started").otherwise(replay)
+    d = F.when(F.col("request_sha256") != reference, "conflict").when(F.col("stored_sha256").isNull() & F.col("earliest"), "started").otherwise(replay)
     return j.select(*requests.columns, d.alias("disposition"))
 
 
