@@ -19,7 +19,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample_by_hash
 
 DIMENSIONS = 1024
 #: Letters share so many random vectors; code points beyond are folded by remainder.
@@ -32,7 +31,7 @@ ROWS = 512
 #: Code points, and different trigrams, handled at once inside a task.
 CHUNK_CHARS, GRAMS = 300_000, 8192
 
-#: Letters from which a text is long enough to be judged by the pipeline's rule, and the bound of that rule's sample.
+#: Letters from which a text is long enough to be judged by the pipeline's rule, and the size of that rule's sample.
 LETTERS, RULE_DOCS = 200, 5000
 #: Five times the spread of the cosine of unrelated vectors.
 CHANCE = 5 / DIMENSIONS**0.5
@@ -199,12 +198,14 @@ class Rule:
     margin: float  # from which a prediction is sure
 
 
-def learn_rule(rows: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = RULE_DOCS) -> Rule:
-    """From at most max_docs rows (those with the smallest hash of the key) whose language is known and told rightly, of LETTERS letters or more:
+def learn_rule(rows: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang", key: str = "doc_id", docs: int = RULE_DOCS) -> Rule:
+    """From about ``docs`` rows (a share of them by the key's hash) whose language is known and told rightly, of LETTERS letters or more:
     half of the cosine, and of the margin, that 99 of 100 of them reach; and of the cosine CHANCE at least, which unrelated texts hardly reach."""
-    some = rows.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter(F.col("lang").isNotNull() & (F.length("text") >= LETTERS))
-    some = sample_by_hash(some, "key", max_docs).select("lang", predict_language(F.col("text"), profiles).alias("p")).filter((F.col("p.lang_pred") == F.col("lang")) & (F.col("p.letters") >= LETTERS))
-    low = some.agg(F.percentile_approx("p.score", 0.01, 1000).alias("score"), F.percentile_approx("p.margin", 0.01, 1000).alias("margin")).first()
+    known = rows.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter("lang is not null")
+    share = min(1.0, docs / max(1, known.select("lang").count()))
+    some = known.filter((F.pmod(F.xxhash64("key", F.lit("rule")), F.lit(1_000_000)) < share * 1_000_000) & (F.length("text") >= LETTERS))
+    told = some.select("lang", predict_language(F.col("text"), profiles).alias("p")).filter((F.col("p.lang_pred") == F.col("lang")) & (F.col("p.letters") >= LETTERS))
+    low = told.agg(F.percentile_approx("p.score", 0.01, 1000).alias("score"), F.percentile_approx("p.margin", 0.01, 1000).alias("margin")).first()
     return Rule(max(CHANCE, (low["score"] or 0.0) / 2), (low["margin"] or 0.0) / 2)
 
 
