@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
+from contextlib import suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +55,27 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Store:
+    """A folder of its own in the shared folder, for tables that are read more than once: what it stores isn't computed again, and a lost executor costs a read.
+
+    drop() deletes it. What a returned DataFrame still reads stays until the driver ends.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.at, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        atexit.register(self.drop)
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.at}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.at}/{self.n}")
+
+    def drop(self) -> None:
+        atexit.unregister(self.drop)
+        with suppress(Exception):  # a session may be gone, and its folder with it
+            remove(self.spark, self.at)
+
+
 def id_remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))

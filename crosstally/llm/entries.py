@@ -14,6 +14,7 @@ from .decontaminate import contamination, digest_of_items
 from .langid import fit_profiles, predict_language
 from .licenses import scan_licenses, scan_sql
 from .media import media_digests
+from .merkle import manifest
 from .mixing import mix
 from .quality import THRESHOLD, quality_column, train_quality
 from .simhash import near_duplicates
@@ -90,6 +91,12 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.coalesce(id_remainder(F.col("doc_id"), 7) == 0, F.lit(False))
+    told = manifest(table(spark, sf_dir, "documents"), tampered, n_chars=F.col("n_chars").cast("decimal(20,0)") + 1)
+    return told.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,11 +104,22 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_tokens, op3_toxicity, op4_simhash, op5_mixing, op6_langid, op7_licenses, op8_decontaminate, longest_matches, op9_chat, op10_media, pipeline)
+    f.__name__: f for f in (op1_quality, op2_tokens, op3_toxicity, op4_simhash, op5_mixing, op6_langid, op7_licenses, op8_decontaminate, longest_matches, op9_chat, op10_media, op13_merkle, pipeline)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_FIELD = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+#: crc32 of a short ASCII text, bit by bit: a byte is mixed in, then eight shifts follow.
+_CRC32 = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(generate_series(1, length(CAST(doc_id AS VARCHAR))), lambda i: list_concat([CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT)], [CAST(-1 AS BIGINT) FOR k IN generate_series(1, 8)])))),
+ lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295)"""
+
 ORACLES: dict[str, str] = {
     "op7_licenses": scan_sql(),
     "op8_decontaminate": f"""
@@ -131,4 +149,23 @@ chains AS (SELECT *, j - row_number() OVER (PARTITION BY rb, r, i - j ORDER BY j
 told AS (SELECT item, j, doc_id, i, n + max(j) OVER (PARTITION BY rb, r, i - j, chain) - j AS length FROM chains),
 best AS (SELECT *, row_number() OVER (PARTITION BY item, j ORDER BY length DESC, doc_id, i) AS k FROM told)
 SELECT item AS item_id, CAST(j - 1 AS BIGINT) AS item_word, CAST(length AS BIGINT) AS length, doc_id, CAST(i - 1 AS BIGINT) AS doc_word FROM best WHERE k = 1""",
+    "op13_merkle": f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf, CASE WHEN {_CRC32} % 7 = 0 THEN {_leaf_sql("(n_chars + 1)")} ELSE {_leaf_sql("n_chars")} END AS folded FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
+lv(lang, level, pos, n, h) AS (SELECT lang, 0, pos, n, leaf FROM placed UNION ALL
+  SELECT lang, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM lv WHERE n > 1 GROUP BY lang, level, pos // 2, n),
+subs AS (SELECT lang, level AS tall, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS k, count(*) OVER () AS n FROM lv WHERE n = 1),
+tops(level, pos, n, h) AS (SELECT 0, k, n, h FROM subs UNION ALL SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY level, pos // 2, n),
+nodes AS (SELECT 0 AS top, lang, level, pos, h FROM lv WHERE n > 1 UNION ALL SELECT 1, NULL, level, pos, h FROM tops WHERE n > 1),
+climb(doc_id, leaf, lang, at_pos, top, level, pos, folded, proof, ended) AS (
+  SELECT doc_id, leaf, lang, pos, 0, 0, pos, folded, '', false FROM placed UNION ALL
+  SELECT c.doc_id, c.leaf, c.lang, c.at_pos, CASE WHEN s.k IS NULL THEN c.top ELSE 1 END, CASE WHEN s.k IS NULL THEN c.level + 1 ELSE 0 END, CASE WHEN s.k IS NULL THEN c.pos // 2 ELSE s.k END,
+    CASE WHEN s.k IS NOT NULL OR c.level = r.level AND c.top = 1 THEN c.folded WHEN c.pos % 2 = 1 THEN sha256(b.h || c.folded) ELSE sha256(c.folded || coalesce(b.h, '')) END,
+    c.proof || coalesce(b.h, ''), s.k IS NULL AND c.top = 1 AND c.level = r.level
+  FROM climb c CROSS JOIN (SELECT max(level) AS level FROM tops) r
+  LEFT JOIN subs s ON c.top = 0 AND s.lang IS NOT DISTINCT FROM c.lang AND s.tall = c.level
+  LEFT JOIN nodes b ON s.k IS NULL AND b.top = c.top AND (c.top = 1 OR b.lang IS NOT DISTINCT FROM c.lang) AND b.level = c.level AND b.pos = xor(c.pos, 1)
+  WHERE NOT c.ended)
+SELECT c.doc_id, c.leaf, s.h AS subroot, t.h AS root, sha256(c.proof) AS proof_sha256, c.folded AS folded_root, c.folded = t.h AS verified
+FROM climb c JOIN subs s ON s.lang IS NOT DISTINCT FROM c.lang CROSS JOIN (SELECT h FROM tops WHERE n = 1) t WHERE c.ended""",
 }
