@@ -17,6 +17,7 @@ from .media import media_digests
 from .merkle import manifest
 from .mixing import mix
 from .quality import THRESHOLD, quality_column, train_quality
+from .ranking import ranked
 from .simhash import near_duplicates
 from .tokens import count_tokens, new_cache
 from .toxicity import THRESHOLD as TOXIC
@@ -91,6 +92,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.coalesce(id_remainder(F.col("doc_id"), 7) == 0, F.lit(False))
     told = manifest(table(spark, sf_dir, "documents"), tampered, n_chars=F.col("n_chars").cast("decimal(20,0)") + 1)
@@ -104,7 +109,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_tokens, op3_toxicity, op4_simhash, op5_mixing, op6_langid, op7_licenses, op8_decontaminate, longest_matches, op9_chat, op10_media, op13_merkle, pipeline)
+    f.__name__: f for f in (op1_quality, op2_tokens, op3_toxicity, op4_simhash, op5_mixing, op6_langid, op7_licenses, op8_decontaminate, longest_matches, op9_chat, op10_media, op11_ranking, op13_merkle, pipeline)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -149,6 +154,15 @@ chains AS (SELECT *, j - row_number() OVER (PARTITION BY rb, r, i - j ORDER BY j
 told AS (SELECT item, j, doc_id, i, n + max(j) OVER (PARTITION BY rb, r, i - j, chain) - j AS length FROM chains),
 best AS (SELECT *, row_number() OVER (PARTITION BY item, j ORDER BY length DESC, doc_id, i) AS k FROM told)
 SELECT item AS item_id, CAST(j - 1 AS BIGINT) AS item_word, CAST(length AS BIGINT) AS length, doc_id, CAST(i - 1 AS BIGINT) AS doc_word FROM best WHERE k = 1""",
+    "op11_ranking": r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+c AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS l FROM w WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+tf AS (SELECT r, doc_id, CAST(n AS BIGINT) AS n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM w) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+scored AS (SELECT item_id, r, doc_id, CAST(sum(CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // l)))) AS BIGINT) AS score
+           FROM tf JOIN df USING (term) JOIN q USING (term) CROSS JOIN c GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10""",
     "op13_merkle": f"""
 WITH RECURSIVE d AS (SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf, CASE WHEN {_CRC32} % 7 = 0 THEN {_leaf_sql("(n_chars + 1)")} ELSE {_leaf_sql("n_chars")} END AS folded FROM documents),
 placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
