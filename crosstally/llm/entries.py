@@ -11,6 +11,7 @@ from . import decontaminate
 from .chat import chat_digests, format_chats
 from .common import id_remainder, remove, table
 from .decontaminate import contamination, digest_of_items
+from .jaccard import near_documents
 from .langid import fit_profiles, predict_language
 from .licenses import scan_licenses, scan_sql
 from .media import media_digests
@@ -96,6 +97,10 @@ def op11_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.coalesce(id_remainder(F.col("doc_id"), 7) == 0, F.lit(False))
     told = manifest(table(spark, sf_dir, "documents"), tampered, n_chars=F.col("n_chars").cast("decimal(20,0)") + 1)
@@ -109,7 +114,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_tokens, op3_toxicity, op4_simhash, op5_mixing, op6_langid, op7_licenses, op8_decontaminate, longest_matches, op9_chat, op10_media, op11_ranking, op13_merkle, pipeline)
+    f.__name__: f for f in (op1_quality, op2_tokens, op3_toxicity, op4_simhash, op5_mixing, op6_langid, op7_licenses, op8_decontaminate, longest_matches, op9_chat, op10_media, op11_ranking, op12_jaccard, op13_merkle, pipeline)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -163,6 +168,16 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 scored AS (SELECT item_id, r, doc_id, CAST(sum(CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // l)))) AS BIGINT) AS score
            FROM tf JOIN df USING (term) JOIN q USING (term) CROSS JOIN c GROUP BY item_id, r, doc_id)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10""",
+    "op12_jaccard": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS s FROM d),
+g AS (SELECT *, min(r) OVER (PARTITION BY s) AS g FROM s),
+tok AS (SELECT g, len(s) AS n, unnest(s) AS t FROM g WHERE g = r),
+links AS (SELECT a.g AS a, b.g AS b FROM tok a JOIN tok b ON a.t = b.t AND a.g < b.g GROUP BY a.g, b.g, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT g, g FROM g WHERE g = r UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
+c AS (SELECT reach.a AS g, min(g.doc_id) AS component_id FROM reach JOIN g ON g.g = reach.b GROUP BY reach.a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, CASE WHEN len(s) = 0 THEN doc_id ELSE component_id END AS component_id FROM g JOIN c USING (g)""",
     "op13_merkle": f"""
 WITH RECURSIVE d AS (SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf, CASE WHEN {_CRC32} % 7 = 0 THEN {_leaf_sql("(n_chars + 1)")} ELSE {_leaf_sql("n_chars")} END AS folded FROM documents),
 placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
