@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import Store
+
 PERCENTS = (50, 95, 99)
 WORK_BUCKETS = ("pending", "running", "succeeded", "quarantined", "failed", "cancelled")
 COUNTERS = ("records_read", "records_written", "records_quarantined", "bytes_read", "bytes_written")
@@ -18,37 +21,105 @@ def bucket_of(state: Column) -> Column:
     return F.when(state.isin("pending", "retry_wait"), "pending").when(state.isin(*WORK_BUCKETS[1:]), state)
 
 
-def _percentiles(c: str = "duration_microseconds") -> list[Column]:
-    return [F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {c})").alias(f"p{p}_microseconds") for p in PERCENTS]
+#: Rows of a group up to which Spark's own exact percentile is used: it keeps every different value of a group in one buffer.
+LARGE = 100_000
+#: Bits that one counting pass tells apart.
+DIGIT = 12
 
 
-def node_latency(attempts: DataFrame) -> DataFrame:
-    """run_id, node_id, attempts and nearest-rank percentiles of their durations."""
-    return attempts.groupBy("run_id", "node_id").agg(F.count("*").alias("attempts"), *_percentiles())
+def _equal(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
+    """Equality of keys of a with those of b, which there bear an underscore; nulls are equal."""
+    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[f"{k}_"]) for k in keys])
 
 
-def ranked_attempts(attempts: DataFrame, *keys: str) -> DataFrame:
-    """attempts with their rank by (duration, work item, attempt) among those of the same keys, and how many these are."""
-    w = Window.partitionBy(*keys)
-    # how many of the key are shorter comes from counts of its durations; only attempts of one duration are sorted together
-    counted = attempts.groupBy(*keys, "duration_microseconds").agg(F.count("*").alias("n_"))
-    before = counted.withColumn("of", F.sum("n_").over(w)).withColumn("before_", F.sum("n_").over(w.orderBy("duration_microseconds")) - F.col("n_")).drop("n_")
-    named = before.select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("duration_microseconds").alias("duration_"), "of", "before_")
-    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys] + [F.col("duration_microseconds").eqNullSafe(F.col("duration_"))]
-    tied = Window.partitionBy(*keys, "duration_microseconds").orderBy("work_item_id", "attempt_number")
-    return attempts.join(named, same).withColumn("rank", F.col("before_") + F.row_number().over(tied)).select(*attempts.columns, "rank", "of")
+def _named(df: DataFrame, keys: Sequence[str], *rest) -> DataFrame:
+    return df.select(*[F.col(k).alias(f"{k}_") for k in keys], *rest)
+
+
+def _known(df: DataFrame, most: int = 50_000) -> DataFrame:
+    """df, a stored table, marked for broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def selected(df: DataFrame, keys: Sequence[str], column: str, percents: Sequence[int] = PERCENTS) -> DataFrame:
+    """keys, percent, value: nearest-rank percentiles by counting digits, for groups of any size; nulls don't count.
+
+    Values are numbers of 64 bits, of which all rows share some first ones. Each pass counts the next DIGIT bits of the rows whose bits so
+    far are those of a sought value, finds the digit in which its rank lies, and goes on below it. Counts are made where rows are read, so a
+    group moves 2^DIGIT counts a task and percentile at most, and holds as many when they meet.
+    """
+    spark, n_keys = df.sparkSession, list(keys)
+    store = Store(spark, "selected")
+    # as unsigned numbers that keep the order
+    rows = df.select(*keys, F.col(column).cast("long").bitwiseXOR(F.lit(-(1 << 63))).alias("u__")).filter("u__ is not null")
+    low, high = rows.agg(F.min(F.col("u__").bitwiseXOR(F.lit(-(1 << 63)))), F.max(F.col("u__").bitwiseXOR(F.lit(-(1 << 63))))).first()
+    if low is None:
+        return df.select(*keys, F.lit(0).alias("percent"), F.col(column).cast("long").alias("value")).limit(0)
+    unsigned = [x + (1 << 63) for x in (low, high)]
+    left = (unsigned[0] ^ unsigned[1]).bit_length()
+    above = lambda bits: F.shiftrightunsigned("u__", bits) if bits < 64 else F.lit(0).cast("long")
+    ranks = F.explode(F.array(*[F.struct(F.lit(p).alias("percent"), F.expr(f"(of__ * {p} + 99) div 100").alias("rank__")) for p in percents])).alias("r__")
+    sought = rows.groupBy(*keys).agg(F.count("*").alias("of__")).select(*keys, ranks).select(*keys, "r__.*")
+    prefix = unsigned[0] >> left if left < 64 else 0
+    sought = store.put(sought.withColumn("prefix__", F.lit(prefix - (1 << 64) if prefix >= 1 << 63 else prefix).cast("long")))
+    while left:
+        bits = max(0, left - DIGIT)
+        wanted = _named(sought, n_keys, F.col("prefix__").alias("prefix_in__")).distinct()
+        wanted = _known(store.put(wanted))
+        met = rows.withColumn("before__", above(left))
+        counted = met.join(wanted, _equal(met, wanted, n_keys) & (met["before__"] == wanted["prefix_in__"])).groupBy(*keys, "before__", above(bits).alias("digit__")).agg(F.count("*").alias("k__"))
+        counted = _named(counted, n_keys, F.col("before__").alias("prefix_in__"), "digit__", "k__")
+        found = sought.join(counted, _equal(sought, counted, n_keys) & (sought["prefix__"] == counted["prefix_in__"])).select(*[sought[k] for k in keys], "percent", "rank__", "digit__", "k__")
+        w = Window.partitionBy(*keys, "percent").orderBy(F.col("digit__").bitwiseXOR(F.lit(-(1 << 63))) if bits == 0 else F.col("digit__"))  # 2^DIGIT rows at most
+        found = found.withColumn("upto__", F.sum("k__").over(w)).filter((F.col("upto__") >= F.col("rank__")) & (F.col("upto__") - F.col("k__") < F.col("rank__")))
+        sought = store.put(found.select(*keys, "percent", (F.col("rank__") - F.col("upto__") + F.col("k__")).alias("rank__"), F.col("digit__").alias("prefix__")))
+        left = bits
+    return sought.select(*keys, "percent", F.col("prefix__").bitwiseXOR(F.lit(-(1 << 63))).alias("value"))
+
+
+def percentiles(df: DataFrame, keys: Sequence[str], column: str = "duration_microseconds", large: int = LARGE) -> DataFrame:
+    """keys, attempts (rows), and exact nearest-rank percentiles: Spark's own for groups of at most ``large`` rows, by counting digits for others."""
+    keys, names = list(keys), [f"p{p}_microseconds" for p in PERCENTS]
+    own = [F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {column})").cast("long").alias(n) for p, n in zip(PERCENTS, names)]
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("attempts"))
+    if not sizes.filter(F.col("attempts") > large).limit(1).count():
+        return df.groupBy(*keys).agg(F.count("*").alias("attempts"), *own)
+    sizes = Store(df.sparkSession, "percentiles").put(sizes)
+    hot = _named(sizes.filter(F.col("attempts") > large), keys)
+    few = _known(hot)  # one row for each ``large`` rows at most
+    small = df.join(few, _equal(df, few, keys), "left_anti").groupBy(*keys).agg(F.count("*").alias("attempts"), *own)
+    long = selected(df.join(few, _equal(df, few, keys), "left_semi"), keys, column)
+    wide = long.groupBy(*keys).agg(*[F.max(F.when(F.col("percent") == p, F.col("value"))).alias(n) for p, n in zip(PERCENTS, names)])
+    wide = _named(wide, keys, *names)
+    mine = sizes.filter(F.col("attempts") > large)
+    return small.unionByName(mine.join(wide, _equal(mine, wide, keys), "left").select(*keys, "attempts", *names))
+
+
+def node_latency(attempts: DataFrame, large: int = LARGE) -> DataFrame:
+    """run_id, node_id, attempts and nearest-rank percentiles of their durations."""
+    return percentiles(attempts, ["run_id", "node_id"], large=large)
 
 
 def latency_by_rank(attempts: DataFrame, *keys: str) -> DataFrame:
-    """The same percentiles from ranks, with whole-number arithmetic: rank (n * p + 99) div 100.
+    """The same percentiles, all by counting digits: rank (n * p + 99) div 100."""
+    return percentiles(attempts, keys, large=0)
+
+
+def ranked_attempts(attempts: DataFrame, *keys: str) -> DataFrame:
+    """attempts with their rank by (duration, work item, attempt) among those of the same keys, and how many these are.
 
-    Durations are counted first, so equal ones are one row and a hot key is as long as its distinct durations, not its attempts.
+    One range sort over all keys together; a range's rows of a key are numbered where they stand, and follow those of the ranges before.
+    A key of any size, and any number of equal durations, is spread over as many ranges as it fills; windows see a row a key and range.
     """
-    counted = attempts.groupBy(*keys, "duration_microseconds").agg(F.count("*").alias("k"))
+    keys, order = list(keys), ["duration_microseconds", "work_item_id", "attempt_number"]
+    ranged = attempts.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("at_", F.monotonically_increasing_id())
+    ranged = Store(attempts.sparkSession, "ranked").put(ranged).withColumn("range_", F.shiftright("at_", 33))
+    heads = ranged.groupBy(*keys, "range_").agg(F.min("at_").alias("first_"), F.count("*").alias("k_"))
     w = Window.partitionBy(*keys)
-    upto = counted.withColumn("upto", F.sum("k").over(w.orderBy("duration_microseconds"))).withColumn("of", F.sum("k").over(w))
-    at = lambda p: F.min(F.when(F.col("upto") >= F.expr(f"(of * {p} + 99) div 100"), F.col("duration_microseconds"))).alias(f"p{p}_microseconds")
-    return upto.groupBy(*keys).agg(F.max("of").alias("attempts"), *[at(p) for p in PERCENTS])
+    before = F.coalesce(F.sum("k_").over(w.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = _named(heads.withColumn("of", F.sum("k_").over(w)).withColumn("before_", before), keys, F.col("range_").alias("in_"), "first_", "before_", "of")
+    placed = ranged.join(heads, _equal(ranged, heads, keys) & (ranged["range_"] == heads["in_"]))
+    return placed.withColumn("rank", F.col("before_") + F.col("at_") - F.col("first_") + 1).select(*attempts.columns, "rank", "of")
 
 
 def node_statistics(nodes: DataFrame, attempts: DataFrame) -> DataFrame:
@@ -60,7 +131,7 @@ def run_summary(runs: DataFrame, nodes: DataFrame, attempts: DataFrame) -> DataF
     """A row for each run: sums over its nodes, percentiles over its attempts."""
     summed = ["work_total", *(f"work_{b}" for b in WORK_BUCKETS), *COUNTERS, "retry_count", "duration_microseconds"]
     by_node = nodes.groupBy("run_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in summed])
-    by_attempt = attempts.groupBy("run_id").agg(F.count("*").alias("attempts"), *_percentiles())
+    by_attempt = percentiles(attempts, ["run_id"])
     out = runs.select("run_id", "state").join(by_node, "run_id", "left").join(by_attempt, "run_id", "left")
     return out.fillna(0, [*summed, "attempts"])
 

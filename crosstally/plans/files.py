@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import artifacts, ingest
 from ..schemas import NORMALIZED_SCHEMA
+from ..session import Store
 from ..sources import tables
 from . import views as v
 from .catalog import _raw
@@ -20,13 +17,8 @@ QUERIES, ORACLES = {}, {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir. Where that is unset a local master gets one of our own; a cluster is an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + os.path.join(tempfile.gettempdir(), "crosstally-shared")
-    return f"{base}/files-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share; it goes when the driver ends."""
+    return Store(spark, "files").at
 
 
 def query(sql: str | None = None):
