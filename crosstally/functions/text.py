@@ -306,7 +306,8 @@ def valid_artifact_path(c: Column, max_bytes: int = 1024, max_segments: int = 32
         device = F.substring_index(low, ".", 1).isin(*DEVICES) | low.isin(*CONSOLES)
         return (F.length(s) > 0) & (F.octet_length(s) <= max_segment_bytes) & ~s.startswith(".") & ~s.endswith(".") & ~s.rlike(rf"^[ {_SPACES}]|[ {_SPACES}]$") & ~s.rlike(r'[<>:"\\|?*]') & ~device
 
-    return _is((F.octet_length(c) <= max_bytes) & ~c.rlike(r"\p{C}") & (F.size(parts) <= max_segments) & F.forall(parts, fine) & (_nfc(c) == c))
+    composed = F.coalesce(_nfc(F.when(~c.rlike(r"\A\p{ASCII}*\z"), c)), c)  # most paths are ASCII, and composed as they are
+    return _is((F.octet_length(c) <= max_bytes) & ~c.rlike(r"\p{C}") & (F.size(parts) <= max_segments) & F.forall(parts, fine) & (composed == c))
 
 
 def valid_enum(c: Column, values: Iterable[str]) -> Column:

@@ -10,6 +10,7 @@ from ..operators import artifacts, ingest
 from ..schemas import NORMALIZED_SCHEMA
 from ..session import Store
 from ..sources import tables
+from ..sources.footers import footers, list_files, other_columns
 from . import views as v
 from .catalog import _raw
 
@@ -31,6 +32,28 @@ def query(sql: str | None = None):
     return add
 
 
+@query("SELECT * FROM (VALUES ('fewer', 2), ('more', 2), ('order', 2), ('other_type', 2), ('rows', 0)) AS x(what, n) WHERE (SELECT count(*) FROM part) > 0")
+def s02_refused_files(spark: SparkSession, d: str) -> DataFrame:
+    """Look-alike files, two of each kind, planted among right ones: each is told by its own footer, and reading them is an error that names them."""
+    at, df = scratch(spark), v.inv_target(spark, d).select(*NORMALIZED_SCHEMA.names)
+    plain = lambda rows, name: rows.repartition(2).write.parquet(f"{at}/{name}")
+    tables.write_normalized(df, f"{at}/rows", "run_1", "nod_1")
+    plain(df.withColumn("extra", F.lit(1)), "more")
+    plain(df.drop("name"), "fewer")
+    plain(df.select(*reversed(df.columns)), "order")
+    plain(df.withColumn("quantity", F.col("quantity").cast("long")), "other_type")
+    told = other_columns(footers(spark, at), NORMALIZED_SCHEMA)
+    try:
+        tables.read_normalized(spark, at)
+    except ValueError as refused:
+        if "part-" not in str(refused):
+            raise
+    else:
+        raise AssertionError("look-alike files were read")
+    kinds = spark.createDataFrame([(k,) for k in ("fewer", "more", "order", "other_type", "rows")], "what string")
+    return kinds.join(told.select(F.split("relative_path", "/")[0].alias("what"), F.lit(1).alias("one")), "what", "left").groupBy("what").agg(F.count("one").cast("int").alias("n"))
+
+
 @query("SELECT p_partkey AS record_index, concat('part ', p_partkey) AS source_record_key FROM part")
 def s01_raw_round_trip(spark: SparkSession, d: str) -> DataFrame:
     at = scratch(spark)
@@ -78,28 +101,41 @@ def s10_ops_table(spark: SparkSession, d: str) -> DataFrame:
     return tables.read_ops_table(spark, at, "work_attempts").select("work_item_id", "attempt_number", "outcome")
 
 
-@query("SELECT * FROM (VALUES ('missing_file', 1), ('orphan_file', 1), ('invalid_file', 1), ('same_digest', 5)) AS x(kind, n) WHERE (SELECT count(*) FROM lineitem) > 0")
+@query("SELECT * FROM (VALUES ('missing_file', 1), ('orphan_file', 1), ('invalid_file', 2), ('same_digest', 6)) AS x(kind, n) WHERE (SELECT count(*) FROM lineitem) > 0")
 def s11_artifact_files(spark: SparkSession, d: str) -> DataFrame:
-    """The five files of an export against manifests of which one tells another digest, one is of a file that isn't there and one is absent; and whole reads against reads in blocks."""
+    """The five files of an export and one without a byte against manifests: one tells another digest, one tells bytes of the empty file, one is of a file that isn't there and one is absent; and reads in one block against reads in many."""
     at = scratch(spark)
-    tables.export_parquet(v.table(spark, d, "lineitem").repartition(5), at)
-    files = tables.read_artifact_files(spark, at).filter("relative_path like '%.parquet'")
-    blocks = tables.read_artifact_files(spark, at, whole_bytes=0).filter("relative_path like '%.parquet'")
-    first, second = sorted(r["relative_path"] for r in files.select("relative_path").collect())[:2]  # five names
-    said = files.select(F.sha2("relative_path", 256).alias("artifact_id"), "relative_path", "byte_size", F.when(F.col("relative_path") == first, F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("sha256"))
+    tables.export_parquet(v.table(spark, d, "lineitem").repartition(5), f"{at}/rows")
+    spark.range(0).select(F.lit("").alias("value")).coalesce(1).write.text(f"{at}/emptied/deep")
+    files = tables.read_artifact_files(spark, at)
+    blocks = tables.read_artifact_files(spark, at, block_bytes=1000)
+    first, second = sorted(r["relative_path"] for r in files.filter("byte_size > 0").select("relative_path").collect())[:2]  # five names
+    size = F.when(F.col("byte_size") == 0, F.lit(10)).otherwise(F.col("byte_size"))
+    said = files.select(F.sha2("relative_path", 256).alias("artifact_id"), "relative_path", size.alias("byte_size"), F.when(F.col("relative_path") == first, F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("sha256"))
     gone = said.filter(F.col("relative_path") == first).select("artifact_id", F.lit("gone.parquet").alias("relative_path"), "byte_size", "sha256")
     issues = artifacts.artifact_issues(said.filter(F.col("relative_path") != second).unionByName(gone), files)
     same = files.join(blocks, ["relative_path", "byte_size", "sha256"]).select(F.lit("same_digest").alias("kind"))
     return issues.select("kind").unionByName(same).groupBy("kind").agg(F.count("*").cast("int").alias("n"))
 
 
-@query("SELECT count(*) + 1 AS row_count, count(*) AS found FROM orders")
+@query("SELECT * FROM (VALUES ('count', 'row_count'), ('more', 'schema'), ('order', 'schema'), ('torn', 'unreadable'), ('gone', 'missing_file'), ('new', 'orphan_file')) AS x(place, kind), (SELECT count(*) AS n FROM orders) WHERE n > 0")
 def k03_artifact_row_counts(spark: SparkSession, d: str) -> DataFrame:
-    at = scratch(spark)
-    orders = v.table(spark, d, "orders")
-    orders.repartition(5).write.parquet(at)
-    said = tables.read_artifact_files(spark, at).filter("relative_path like '%.parquet'").select("relative_path").join(orders.agg((F.count("*") + 1).alias("row_count")))
-    return artifacts.artifact_row_counts(spark, at, said).agg(F.max("row_count").alias("row_count"), F.sum("found").alias("found"))
+    """Six files that aren't what their manifests say, and right ones, which stay silent; rows and columns are those of the footers."""
+    at, orders = scratch(spark), v.table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    n = orders.count()
+    for name, rows in {"right": orders, "count": orders, "new": orders, "more": orders.withColumn("extra", F.lit(1)), "order": orders.select("o_orderstatus", "o_orderkey")}.items():
+        rows.repartition(1).write.parquet(f"{at}/{name}")
+    orders.select(F.to_json(F.struct("*")).alias("value")).repartition(1).write.text(f"{at}/json")
+    torn = list_files(spark, f"{at}/json").filter("relative_path like '%.txt'").first()["path"]
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    path(torn).getFileSystem(spark._jsc.hadoopConfiguration()).rename(path(torn), path(f"{at}/json/torn.parquet"))
+    found = footers(spark, at)
+    place = F.split("relative_path", "/")[0]
+    said = found.select("relative_path", place.alias("place")).filter("place <> 'new'").select("relative_path", F.lit(n).cast("long").alias("row_count"), "place")
+    said = said.select("relative_path", (F.col("row_count") + (F.col("place") == "count").cast("int")).alias("row_count"))
+    said = said.unionByName(spark.createDataFrame([("gone/part.parquet", n)], "relative_path string, row_count long"))
+    told = artifacts.artifact_contents(found, said, orders.schema)
+    return told.select(F.when(place == "json", "torn").otherwise(place).alias("place"), "kind", F.lit(n).cast("long").alias("n"))
 
 
 @query(f"WITH {v.SQL_INVENTORY} SELECT 'round_trip' AS what, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'damaged', count(*) FROM tgt WHERE sku LIKE '%9'")

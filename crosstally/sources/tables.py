@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import NORMALIZED_SCHEMA, OPS_SCHEMAS, RAW_SCHEMA, null_violations, require_empty, require_schema
+from .footers import BLOCK_BYTES, footers, hashed_files, other_columns
 
 CORRUPT = "corrupt_record"
 
 
 def _exact(spark: SparkSession, paths: list[str], schema: T.StructType, check_nulls: bool) -> DataFrame:
-    """Files whose own schema is exactly the expected one. Partition columns of the layout are left out."""
-    found = spark.read.option("mergeSchema", "false").option("recursiveFileLookup", "true").parquet(*paths)
-    df = require_schema(found, schema)
+    """Files whose own schema is exactly the expected one, told by each file's footer. Partition columns of the layout are left out."""
+    require_empty(other_columns(footers(spark, *paths), schema).select("path", "told"), f"files with other columns than {schema.simpleString()}")
+    df = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*paths)
     if check_nulls:
         require_empty(null_violations(df), "null values")
     return df
@@ -29,7 +26,7 @@ def read_raw(spark: SparkSession, *paths: str, check_nulls: bool = False) -> Dat
 
 
 def read_normalized(spark: SparkSession, *paths: str, check_nulls: bool = False) -> DataFrame:
-    """All files of a side; columns are matched as they stand, a file with other columns is an error, nulls are one if asked."""
+    """All files of a side; a file with a column more, fewer, of another type or in another place is an error that names it, nulls are one if asked."""
     return _exact(spark, list(paths), NORMALIZED_SCHEMA, check_nulls)
 
 
@@ -85,37 +82,9 @@ def read_ops_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(OPS_SCHEMAS[name]).option("mergeSchema", "false").parquet(f"{root}/{name}")
 
 
-#: Files up to this size are read as one row; longer ones are hashed block by block.
-WHOLE_BYTES, BLOCK_BYTES = 32 << 20, 8 << 20
-
-
-def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """SHA-256 of the files at ``path``, read in blocks by the task, from any store that pyarrow knows."""
-    from pyarrow import fs
-
-    for b in batches:
-        digests = []
-        for path in b["path"]:
-            store, at = fs.FileSystem.from_uri(path.replace("file:/", "file:///") if path.startswith("file:/") and not path.startswith("file://") else path)
-            h = hashlib.sha256()
-            with store.open_input_stream(at) as f:
-                while block := f.read(BLOCK_BYTES):
-                    h.update(block)
-            digests.append(h.hexdigest())
-        yield pd.DataFrame({"path": b["path"], "byte_size": b["length"], "sha256": digests})
-
-
-def read_artifact_files(spark: SparkSession, root: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
-    """relative_path, byte_size, sha256 of every file below root. Contents are hashed by the tasks that read them; a row never holds more than whole_bytes of one.
-
-    Spark's reader leaves out files of no bytes, which no artifact can be; a manifest of one is told as missing.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    small = files.filter(F.col("length") <= whole_bytes).select("path", F.col("length").alias("byte_size"), F.sha2("content", 256).alias("sha256"))
-    large = files.filter(F.col("length") > whole_bytes).select("path", "length").mapInPandas(_hashed, "path string, byte_size long, sha256 string")
-    base = F.lit(root.rstrip("/").split(":", 1)[-1].replace("//", "") + "/")
-    plain: Column = F.regexp_replace("path", r"^[a-z0-9]+:/*", "/")
-    return small.unionByName(large).select(F.substring(plain, F.instr(plain, base) + F.length(base), F.length(plain)).alias("relative_path"), "byte_size", "sha256")
+def read_artifact_files(spark: SparkSession, root: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """relative_path, byte_size, sha256 of every file below root, those of no bytes too. Files are listed and hashed by tasks, block by block."""
+    return hashed_files(spark, root, block_bytes)
 
 
 def register_manifests(existing: DataFrame, incoming: DataFrame) -> DataFrame:

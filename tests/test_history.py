@@ -190,19 +190,6 @@ def test_heads_are_rewritten_by_part(spark, tmp_path):
     assert kept and max(kept) <= 2
 
 
-def test_files_in_blocks(spark, tmp_path):
-    """Files beyond the bound are hashed block by block by the task, with the same digests; none is a row."""
-    import hashlib
-
-    (tmp_path / "d" / "e").mkdir(parents=True)
-    content = {"d/a.bin": b"x" * 20_000_001, "d/e/b.bin": b"b", "d/e/c.bin": b"small"}
-    for name, data in content.items():
-        (tmp_path / name).write_bytes(data)
-    want = {n.removeprefix("d/"): (len(b), hashlib.sha256(b).hexdigest()) for n, b in content.items()}
-    for bound in (0, 10, 1 << 30):
-        assert {r["relative_path"]: (r["byte_size"], r["sha256"]) for r in tables.read_artifact_files(spark, f"file://{tmp_path}/d", bound).collect()} == want
-
-
 def test_partition_keys_in_paths(spark, tmp_path):
     """Keys that differ in case or hold signs of paths have folders of their own, and come back from them."""
     at, keys = f"file://{tmp_path}", ["a", "A", "a/b", "..", "x=1", "\u00e9"]
