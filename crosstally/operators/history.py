@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import OUTCOME_OF_STATE, WORK_TRANSITIONS, terminal, transition_table
+from ..session import Store
 
 
 def _any(conditions: Sequence[Column]) -> Column:
@@ -59,6 +60,43 @@ def replay_compare(log: DataFrame, batch: DataFrame, keys: Sequence[str]) -> Dat
     return j.select(*batch.columns, d.alias("disposition"))
 
 
+def range_replay(log: DataFrame, batch: DataFrame, keys: Sequence[str], seq: str, ranges: DataFrame | None = None, block: int = 1024) -> DataFrame:
+    """keys, seq, disposition of what differs between a replayed range and the log: missing (the batch lacks it), surplus (the log does), conflict (another row).
+
+    ranges: keys, first, last (both included) of the ranges that the batch claims to hold whole; by default from a key's smallest number in the
+    batch to its largest. Both sides are digested in blocks of numbers where they are read; only rows of blocks that differ meet, so a replay of an
+    unchanged range moves a digest a block. A number that a side has twice is told as a conflict.
+    """
+    keys, store = list(keys), Store(log.sparkSession, "replay")
+    rest = [c for c in batch.columns if c not in (*keys, seq)]
+    if ranges is None:
+        ranges = batch.groupBy(*keys).agg(F.min(seq).alias("first"), F.max(seq).alias("last"))
+    ranges = ranges.select(*[F.col(k).alias(f"{k}__") for k in keys], F.col("first").alias("first__"), F.col("last").alias("last__"))
+    inside = lambda df: reduce(lambda a, b: a & b, [df[k] == ranges[f"{k}__"] for k in keys], (df[seq] >= ranges["first__"]) & (df[seq] <= ranges["last__"]))
+    whole = F.struct(*[F.col(c) for c in rest]) if rest else F.lit(0)
+
+    def side(df: DataFrame) -> DataFrame:
+        kept = df.select(*keys, seq, *rest)
+        return kept.join(ranges, inside(kept), "left_semi").withColumn("block__", F.expr(f"`{seq}` div {block}"))
+
+    def digests(df: DataFrame) -> DataFrame:
+        told = [F.bit_xor(F.xxhash64(F.lit(salt), F.col(seq), *[F.col(c) for c in rest])) for salt in (1, 2)]
+        return df.groupBy(*keys, "block__").agg(F.struct(F.count("*"), *told).alias("digest__"))
+
+    ours, theirs = side(log), side(batch)
+    a, b = digests(ours), digests(theirs).withColumnRenamed("digest__", "other__")
+    differing = store.put(a.join(b, [*keys, "block__"], "full_outer").filter(~F.col("digest__").eqNullSafe(F.col("other__"))).select(*keys, "block__"))
+    few = F.broadcast(differing) if differing.limit(100_001).count() <= 100_000 else differing
+
+    def rows(df: DataFrame, name: str) -> DataFrame:
+        met = df.join(few, [*keys, "block__"], "left_semi")
+        return met.groupBy(*keys, seq).agg(F.sort_array(F.collect_list(whole)).alias(name))
+
+    met = rows(ours, "stored__").join(rows(theirs, "sent__"), [*keys, seq], "full_outer")
+    kind = F.when(F.col("sent__").isNull(), "missing").when(F.col("stored__").isNull(), "surplus").when(~F.col("stored__").eqNullSafe(F.col("sent__")) | (F.size("sent__") > 1), "conflict")
+    return met.select(*keys, seq, kind.alias("disposition")).filter("disposition is not null")
+
+
 def check_event_subjects(events: DataFrame, work: DataFrame) -> DataFrame:
     """Events about another run than their own, or about a work item that isn't of their run."""
     wrong_run = events.filter("subject_kind = 'run' and not (subject_id <=> run_id)").withColumn("rule", F.lit("run_subject"))

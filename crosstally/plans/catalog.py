@@ -579,6 +579,17 @@ def h03_replay_compare(spark, d):
     return history.replay_compare(log, batch, ["event_id"]).groupBy("disposition").agg(F.count("*").alias("n"))
 
 
+@query(f"{EVS} SELECT concat('run_', user_id) AS run_id, sequence_number, CASE WHEN event_id % 97 = 0 THEN 'surplus' WHEN event_id % 5 = 0 THEN 'missing' ELSE 'conflict' END AS disposition FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence_number, count(*) OVER (PARTITION BY user_id) AS of_n FROM events) WHERE sequence_number BETWEEN 2 AND of_n - 1 AND user_id % 2 = 0 AND (event_id % 97 = 0 AND event_id % 5 <> 0 OR event_id % 97 <> 0 AND event_id % 5 = 0 OR event_id % 97 <> 0 AND event_id % 5 <> 0 AND event_id % 7 = 0)")
+def h03_range_replay(spark, d):
+    """Every second run is replayed from its second event to its last but one: without every fifth event, with every seventh changed and with the lost ones."""
+    e = v.table(spark, d, "events").withColumn("t", v.micros("ts"))
+    e = e.selectExpr("concat('run_', user_id) as run_id", "row_number() over (partition by user_id order by t, event_id) as sequence_number", "count(*) over (partition by user_id) as of_n", "event_type as kind", "event_id", "user_id").filter("user_id % 2 = 0")
+    batch = e.filter("event_id % 5 <> 0").selectExpr("run_id", "cast(sequence_number as bigint) as sequence_number", "case when event_id % 7 = 0 and event_id % 97 <> 0 then 'other' else kind end as kind", "event_id")
+    ranges = e.groupBy("run_id").agg((F.max("of_n") - 1).alias("last")).select("run_id", F.lit(2).alias("first"), "last")
+    log = v.ops_events(spark, d).select("run_id", "sequence_number", "kind", "event_id")
+    return history.range_replay(log, batch, ["run_id"], "sequence_number", ranges)
+
+
 @query(f"{EVS} SELECT concat('run_', user_id) AS run_id, sequence_number, concat('run_', user_id + 1) AS subject_id, 'run_subject' AS rule FROM evs WHERE event_id % 2 = 0 AND event_id % 53 = 0")
 def h04_event_subjects(spark, d):
     work = v.table(spark, d, "events").selectExpr("concat('run_', user_id) as run_id", "concat('wrk_', user_id) as work_item_id").distinct()
@@ -655,7 +666,7 @@ def h14_unfinished_work(spark, d):
     return history.unfinished_work(work, nodes)
 
 
-@query(f"{EVS} SELECT concat('run_', user_id) AS run_id, CAST(0 AS BIGINT) AS block, string_agg(kind, ',' ORDER BY sequence_number) AS kinds FROM evs WHERE sequence_number <= 10000 GROUP BY user_id")
+@query(f"{EVS} SELECT concat('run_', user_id) AS run_id, (sequence_number - 1) // 10000 AS block, string_agg(kind, ',' ORDER BY sequence_number) AS kinds FROM evs GROUP BY user_id, (sequence_number - 1) // 10000")
 def h16_event_trace(spark, d):
     return history.event_trace(v.ops_events(spark, d)).select("run_id", "block", F.array_join("kinds", ",").alias("kinds"))
 

@@ -44,7 +44,7 @@ def w01_tail_events(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {v.SQL_EVENTS} SELECT concat('run_', user_id) AS run_id, count(*) AS n FROM evs GROUP BY user_id")
 def w02_ingest_once(spark: SparkSession, d: str) -> DataFrame:
-    """Every event arrives twice and is stored once."""
+    """Every event arrives twice and is stored once, by keyed state."""
     at = scratch(spark)
     _log(spark, d, at, times=2)
     streams.stream_ingest(streams.stream_events(spark, f"{at}/log", 4), f"{at}/out", f"{at}/cursor").awaitTermination()

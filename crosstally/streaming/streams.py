@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.history import replay_compare
 from ..operators.runstats import RETRIED
 from ..schemas import OPS_SCHEMAS
 
@@ -48,10 +47,6 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _touched(rows: DataFrame) -> list[int]:
-    return sorted(r["part"] for r in rows.select("part").distinct().collect())  # at most PARTS numbers
-
-
 def _parts(spark: SparkSession, folder: str, schema: T.StructType, paths: list[str]) -> DataFrame:
     full = T.StructType([*schema.fields, T.StructField("part", T.IntegerType()), T.StructField("batch", T.LongType())])
     return spark.read.schema(full).option("basePath", folder).parquet(*paths) if paths else spark.createDataFrame([], full)
@@ -63,27 +58,64 @@ def _write_parts(df: DataFrame, folder: str, number: int) -> None:
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(folder)
 
 
+#: Numbers of a run whose digests are one state.
+BLOCK_NUMBERS = 256
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keyed_state(spark: SparkSession) -> None:
+    """State on the executors' disks, of which a batch reads and writes only the keys that it touches."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
+def _unpacked(blob: bytes) -> dict[int, bytes]:
+    return {int.from_bytes(blob[i : i + 8], "big", signed=True): blob[i + 8 : i + 24] for i in range(0, len(blob), 24)}
+
+
+def _packed(known: dict[int, bytes]) -> bytes:
+    return b"".join(n.to_bytes(8, "big", signed=True) + d for n, d in sorted(known.items()))
+
+
 def stream_ingest(events: DataFrame, out: str, checkpoint: str, keys: Sequence[str] = ("run_id", "sequence_number")) -> StreamingQuery:
     """Appends events to out/log once each; the same event again is left out, another one with a stored key goes to out/conflicts.
 
-    The log is stored by part (of the run) and batch, so a batch is compared with its own runs' parts only, and one that runs again after
-    a failure adds nothing. read_log() reads it.
+    State holds a digest for each number, BLOCK_NUMBERS of a run together, so a batch never looks at the log: fresh events read no more than
+    the blocks that they fall in, and a replay reads the blocks that it touches. Of different events with one new key, the one with the smallest digest
+    is stored. The log is only ever added to, by part of the run and batch; a batch that runs again after a failure has its old state and
+    writes the same rows in the same place. read_log() reads it.
     """
+    run, seq = keys
+    keyed_state(events.sparkSession)
+    rest = [c for c in events.columns if c not in keys]
+    digest = F.substring(F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in rest]), {"ignoreNullFields": "false"}), 256), 1, 32)
+    dealt = events.withColumn("block_", F.expr(f"`{seq}` div {BLOCK_NUMBERS}")).withColumn("digest_", digest)
+
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = _unpacked(state.get[0]) if state.exists else {}
+        before = len(known)
+        rows = pd.concat(list(batches), ignore_index=True).drop_duplicates([seq, "digest_"]).sort_values([seq, "digest_"])
+        told = []
+        for n, d in zip(rows[seq], rows["digest_"]):
+            d = bytes.fromhex(d)
+            told.append("new" if n not in known else "replay" if known[n] == d else "conflict")
+            known.setdefault(int(n), d)
+        if len(known) > before:
+            state.update((_packed(known),))
+        rows["disposition"] = told
+        yield rows.loc[rows["disposition"] != "replay", [*names, "disposition"]]
+
+    names = events.columns
+    schema = T.StructType([*events.schema.fields, T.StructField("disposition", T.StringType())])
+    kept = dealt.groupBy(run, "block_").applyInPandasWithState(step, schema, "known binary", "append", GroupStateTimeout.NoTimeout)
 
     def take(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rest = [c for c in batch.columns if c not in keys]
-        first = batch.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("x"), F.count_distinct(F.struct(*rest)).alias("n"))
-        rows = first.select(*keys, "x.*", "n").withColumn("part", _part()).persist()
-        there = set(_numbers(spark, f"{out}/log", "part"))
-        stored = _parts(spark, f"{out}/log", batch.schema, [f"{out}/log/part={i}" for i in _touched(rows) if i in there]).filter(F.col("batch") < number)
-        told = replay_compare(stored.select(*batch.columns), rows.select(*batch.columns), list(keys)).join(rows.select(*keys, "n", "part"), list(keys)).persist()
-        _write_parts(told.filter("disposition = 'new'").select(*batch.columns, "part"), f"{out}/log", number)
-        told.filter("disposition = 'conflict' or n > 1").select(*batch.columns).write.mode("overwrite").parquet(f"{out}/conflicts/batch={number}")
-        told.unpersist()
+        rows = batch.withColumn("part", _part()).persist()
+        _write_parts(rows.filter("disposition = 'new'").drop("disposition"), f"{out}/log", number)
+        rows.filter("disposition = 'conflict'").select(*names).write.mode("overwrite").parquet(f"{out}/conflicts/batch={number}")
         rows.unpersist()
 
-    return events.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return kept.writeStream.outputMode("append").foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_log(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
@@ -120,32 +152,68 @@ def stream_node_metrics(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("run_id", "node_id").agg(F.count("*").alias("attempts"), F.count_if(F.col("outcome").isin(*RETRIED)).alias("retry_count"), F.sum("duration_microseconds").alias("duration_microseconds"), F.max("finished_at").alias("finished_at"))
 
 
+#: Head files of one tier that are merged into one of the next.
+FAN = 8
+
+
+def _spans(spark: SparkSession, root: str) -> list[tuple[int, int]]:
+    """The (first, last) batches of the head files below root, sorted."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [str(s.getPath().getName()) for s in store.listStatus(path)] if store.exists(path) else []
+    done = [n for n in names if n.startswith("span=") and store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))]
+    return sorted(tuple(map(int, n.removeprefix("span=").split("-"))) for n in done)
+
+
+def _outer(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans that lie in no other one."""
+    return [x for x in spans if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in spans)]
+
+
+def _tier(span: tuple[int, int]) -> int:
+    size, tier = span[1] - span[0] + 1, 0
+    while size >= FAN:
+        size, tier = size // FAN, tier + 1
+    return tier
+
+
+def _heads(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The row of the highest version of each key; of equal versions the greatest row."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("version", *[c for c in rest if c != "version"])).alias("x")).select(*keys, "x.*").select(*rows.columns)
+
+
+HEAD_KEYS = ("run_id", "node_id", "partition_key")
+
+
 def stream_checkpoints(checkpoints: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Heads of each (run, node, partition), the highest version of each, below out/heads by part and batch.
+    """Heads of each (run, node, partition), the highest version of each, below out/heads.
 
-    A batch rewrites the parts of its own runs. Of each part the newest heads and those before them, which a reader may have begun with, stay.
+    A batch writes the heads among its own rows and reads no others: a file of deltas. FAN files of a tier are merged into one of the next, so a row
+    is written again once a tier, and what a batch writes is in proportion to it. Files that a merged one holds go with the next batch, as
+    a reader may have begun with them. A late lower version is left behind when files are read together, and goes when they are merged.
     """
-    keys, root = ["run_id", "node_id", "partition_key"], f"{out}/heads"
+    root = f"{out}/heads"
 
     def take(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rest = [c for c in batch.columns if c not in keys]
-        rows = batch.withColumn("part", _part()).persist()
-        before = {i: [n for n in _numbers(spark, f"{root}/part={i}", "batch") if n < number] for i in _touched(rows)}
-        known = _parts(spark, root, batch.schema, [f"{root}/part={i}/batch={found[-1]}" for i, found in before.items() if found])
-        both = known.drop("batch").unionByName(rows)
-        heads = both.groupBy(*keys, "part").agg(F.max_by(F.struct(*rest), F.struct("version", *[c for c in rest if c != "version"])).alias("x")).select(*keys, "x.*", "part")
-        _write_parts(heads.select(*batch.columns, "part"), root, number)
-        rows.unpersist()
-        for i, found in before.items():
-            for n in found[:-1]:
-                _delete(spark, f"{root}/part={i}/batch={n}")
+        spark, schema = batch.sparkSession, batch.schema
+        spans = _spans(spark, root)
+        kept = _outer(spans)
+        for a, b in set(spans) - set(kept):
+            _delete(spark, f"{root}/span={a}-{b}")
+        _heads(batch, HEAD_KEYS).write.mode("overwrite").parquet(f"{root}/span={number}-{number}")
+        kept = _outer([*kept, (number, number)])
+        while len(kept) >= FAN and len({_tier(x) for x in kept[-FAN:]}) == 1:
+            merged = (kept[-FAN][0], kept[-1][1])
+            rows = spark.read.schema(schema).parquet(*[f"{root}/span={a}-{b}" for a, b in kept[-FAN:]])
+            _heads(rows, HEAD_KEYS).write.mode("overwrite").parquet(f"{root}/span={merged[0]}-{merged[1]}")
+            kept = [*kept[:-FAN], merged]
 
     return checkpoints.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_heads(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
-    """The newest heads that stream_checkpoints wrote."""
+    """The newest heads that stream_checkpoints wrote: its files, merged as they are read."""
     root = f"{out}/heads"
-    newest = [f"{root}/part={i}/batch={_numbers(spark, f'{root}/part={i}', 'batch')[-1]}" for i in _numbers(spark, root, "part")]
-    return _parts(spark, root, schema, newest).select(*schema.names)
+    paths = [f"{root}/span={a}-{b}" for a, b in _outer(_spans(spark, root))]
+    return _heads(spark.read.schema(schema).parquet(*paths), HEAD_KEYS) if paths else spark.createDataFrame([], schema)

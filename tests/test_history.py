@@ -176,20 +176,6 @@ def test_streams(spark, tmp_path):
     assert ("r", 3, 4, False) in gaps or ("r", 4, 4, False) in gaps
 
 
-def test_heads_are_rewritten_by_part(spark, tmp_path):
-    """Each batch rewrites its own runs' parts; a part's older heads go, but for those before the newest."""
-    at, schema = f"file://{tmp_path}", "run_id string, node_id string, partition_key string, version long"
-    for k in range(5):
-        rows = [("hot", "n", "p", k), (f"run_{k}", "n", "p", 7), ("late", "n", "p", 9 - k)]
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{at}/log")
-        streams.stream_checkpoints(streams.stream_table(spark, f"{at}/log", schema), f"{at}/out", f"{at}/c").awaitTermination()
-    want = {"hot": 4, "late": 9} | {f"run_{k}": 7 for k in range(5)}
-    heads = streams.latest_heads(spark, f"{at}/out", spark.createDataFrame([], schema).schema)
-    assert {r["run_id"]: r["version"] for r in heads.collect()} == want and heads.count() == len(want)
-    kept = [len(list(p.iterdir())) for p in (tmp_path / "out" / "heads").glob("part=*")]
-    assert kept and max(kept) <= 2
-
-
 def test_partition_keys_in_paths(spark, tmp_path):
     """Keys that differ in case or hold signs of paths have folders of their own, and come back from them."""
     at, keys = f"file://{tmp_path}", ["a", "A", "a/b", "..", "x=1", "\u00e9"]
