@@ -137,13 +137,15 @@ def run_summary(runs: DataFrame, nodes: DataFrame, attempts: DataFrame) -> DataF
 
 
 def derive_node_aggregates(work: DataFrame, attempts: DataFrame) -> DataFrame:
-    """run_id, node_id and the aggregates that the work items and attempts imply: buckets, attempts, retries, duration, earliest start, latest finish."""
-    bucket = bucket_of(F.col("state"))
-    w = work.groupBy("run_id", "node_id").agg(F.count("*").alias("work_total"), *[F.count_if(bucket == b).alias(f"work_{b}") for b in WORK_BUCKETS], F.count_if(bucket.isNull()).alias("work_unknown"))
+    """run_id, node_id and the aggregates that the work items and attempts imply: buckets, attempts, retries, duration, earliest start (active attempts too), latest finish."""
+    bucket, active = bucket_of(F.col("state")), F.lit(None).cast("timestamp")
+    if "active_attempt_started_at" in work.columns:
+        active = F.col("active_attempt_started_at")
+    w = work.groupBy("run_id", "node_id").agg(F.count("*").alias("work_total"), F.min(active).alias("active_at"), *[F.count_if(bucket == b).alias(f"work_{b}") for b in WORK_BUCKETS], F.count_if(bucket.isNull()).alias("work_unknown"))
     a = attempts.groupBy("run_id", "node_id").agg(
         F.count("*").alias("attempts"), F.count_if(F.col("outcome").isin(*RETRIED)).alias("retry_count"), F.sum("duration_microseconds").alias("duration_microseconds"), F.min("started_at").alias("started_at"), F.max("finished_at").alias("finished_at")
     )
-    out = w.join(a, ["run_id", "node_id"], "full_outer")
+    out = w.join(a, ["run_id", "node_id"], "full_outer").withColumn("started_at", F.least("started_at", "active_at")).drop("active_at")
     return out.fillna(0, ["work_total", *(f"work_{b}" for b in WORK_BUCKETS), "work_unknown", "attempts", "retry_count", "duration_microseconds"])
 
 

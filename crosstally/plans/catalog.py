@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import artifacts, fingerprint, history, ingest, paging, reconcile, recovery, repair, runstats
+from ..operators import artifacts, constraints, fingerprint, history, ingest, paging, reconcile, recovery, repair, runstats
 from ..schemas import CLASSES, WORK_TRANSITIONS
 from . import views as v
 
@@ -505,7 +505,7 @@ def t10_run_outcome(spark, d):
     return runstats.run_outcome(v.ops_work(spark, d))
 
 
-@query(f"{OPS} SELECT run_id, node_id, min(started_at) AS started_us, max(finished_at) AS finished_us FROM att GROUP BY 1, 2")
+@query(f"{OPS}, act AS (SELECT run_id, node_id, min(active_attempt_started_at) AS active_at FROM wrk GROUP BY 1, 2) SELECT run_id, node_id, least(min(started_at), min(active_at)) AS started_us, max(finished_at) AS finished_us FROM att JOIN act USING (run_id, node_id) GROUP BY 1, 2")
 def t12_node_times(spark, d):
     a = runstats.derive_node_aggregates(v.ops_work(spark, d), v.ops_attempts(spark, d))
     return a.select("run_id", "node_id", F.unix_micros("started_at").alias("started_us"), F.unix_micros("finished_at").alias("finished_us"))
@@ -660,6 +660,55 @@ def h13_row_rules(spark, d):
     return history.broken_rules(li, ["l_orderkey", "l_linenumber", "l_partkey"], {"quantity": F.col("l_quantity").between(1, 40), "flag": F.col("l_returnflag").isin("A", "N")})
 
 
+def _faulty_model(spark, d):
+    """The history tables with planted faults: of rows (negative, unknown and missing values, wrong digests and ids, JSON of another kind), of unique keys and of foreign keys."""
+    runs, nodes, work, attempts = _ops(spark, d)
+    u = F.regexp_replace("work_item_id", "wrk_", "").cast("long")
+    pad = lambda c, p: F.concat(F.lit(p), F.lpad(F.regexp_replace(c, "[a-z]+_", ""), 6, "0"))
+    work = work.withColumn("row_version", F.when(u % 47 == 0, 0).otherwise(F.col("row_version"))).withColumn("input_reference_json", F.when(u % 41 == 0, F.lit("[1]")).when(u % 43 == 0, F.lit("{")).when(u % 2 == 0, F.lit('{"a": 1}')))
+    attempts = attempts.withColumn("duration_microseconds", F.when((u % 53 == 0) & (F.col("attempt_number") == 1), -1).otherwise(F.col("duration_microseconds"))).withColumn("outcome", F.when((u % 59 == 0) & (F.col("attempt_number") == 1), "lost").otherwise(F.col("outcome")))
+    twice = work.filter(u % 31 == 0).withColumn("work_item_id", F.concat("work_item_id", F.lit("-b")))
+    heads = v.ops_heads(spark, d).withColumn("partition_key", F.when(F.substring("partition_key", 11, 8).cast("long") % 29 == 0, F.concat(F.lit("x"), F.col("partition_key"))).otherwise(F.col("partition_key")))
+    named = lambda df: df.withColumn("work_item_id", F.when(F.col("work_item_id").endswith("-b"), F.concat(pad(F.regexp_replace("work_item_id", "-b", ""), "wrk_"), F.lit("-b"))).otherwise(pad("work_item_id", "wrk_")))
+    run = lambda df: df.withColumn("run_id", pad("run_id", "run_"))
+    node = lambda df: df.withColumn("node_id", pad("node_id", "nod_"))
+    runs = run(runs).withColumn("plan_fingerprint", F.when(F.col("run_id") == "run_000001", F.upper("plan_fingerprint")).otherwise(F.col("plan_fingerprint")))
+    return {"runs": runs.filter("run_id <> 'run_000002'"), "run_nodes": run(node(nodes)), "work_items": run(node(named(work.unionByName(twice)))), "work_attempts": named(attempts.filter(u % 61 != 0).unionByName(attempts.filter((u % 67 == 0) & (u % 61 != 0) & (F.col("attempt_number") == 1)))), "checkpoint_heads": run(node(heads))}
+
+
+_MODEL = f"""{OPS}, m AS (SELECT u, run_id, node_id, partition_key, state, concat('wrk_', lpad(CAST(u AS VARCHAR), 6, '0')) AS id, concat('run_', lpad(substr(run_id, 5), 6, '0')) AS r, concat('nod_', lpad(substr(node_id, 5), 6, '0')) AS nd,
+  completed_attempt_count, active_attempt_number FROM wrk),
+w AS (SELECT * FROM m UNION ALL SELECT u, run_id, node_id, partition_key, state, concat(id, '-b'), r, nd, completed_attempt_count, active_attempt_number FROM m WHERE u % 31 = 0),
+a0 AS (SELECT concat('wrk_', lpad(CAST(u AS VARCHAR), 6, '0')) AS id, u, attempt_number, outcome, failure_class FROM att WHERE u % 61 <> 0),
+a AS (SELECT * FROM a0 UNION ALL SELECT * FROM a0 WHERE u % 67 = 0 AND attempt_number = 1),
+hd AS (SELECT concat('run_', lpad(substr(run_id, 5), 6, '0')) AS r, concat('nod_', lpad(substr(node_id, 5), 6, '0')) AS nd, concat('x', partition_key) AS p FROM heads WHERE CAST(substr(partition_key, 11, 8) AS BIGINT) % 29 = 0)"""
+
+
+@query(f"""{_MODEL} SELECT 'run_nodes' AS "table", 'foreign:run_id' AS rule, 'run_000002' AS id FROM nod WHERE run_id = 'run_2' GROUP BY 1, 2, 3
+UNION ALL SELECT 'checkpoint_heads', 'foreign:run_id,node_id,partition_key', concat_ws('/', r, nd, p) FROM hd""")
+def h11_model_foreign_keys(spark, d):
+    """All declared keys between the tables, with a run taken away and heads of unknown partitions."""
+    return constraints.check_model(_faulty_model(spark, d)).filter("rule like 'foreign:%'").select("table", "rule", "id")
+
+
+@query(f"""{_MODEL} SELECT 'work_items' AS "table", 'unique:run_id,node_id,partition_key' AS rule, concat_ws('/', r, nd, partition_key) AS id FROM w GROUP BY r, nd, partition_key HAVING count(*) > 1
+UNION ALL SELECT 'work_attempts', 'unique:work_item_id,attempt_number', concat_ws('/', id, attempt_number) FROM a GROUP BY id, attempt_number HAVING count(*) > 1""")
+def h12_model_unique(spark, d):
+    """All declared unique keys, with work items of one partition and attempts that are there twice."""
+    return constraints.check_model(_faulty_model(spark, d)).filter("rule like 'unique:%'").select("table", "rule", "id")
+
+
+@query(f"""{_MODEL} SELECT 'work_items' AS "table", rule, id FROM w, (VALUES ('row_version_range'), ('input_reference_json_object'), ('active_attempt'), ('active_attempt_number_order'), ('retry_time')) AS x(rule)
+WHERE rule = 'row_version_range' AND u % 47 = 0 OR rule = 'input_reference_json_object' AND (u % 41 = 0 OR u % 43 = 0) OR rule = 'active_attempt' AND state = 'running' AND u % 40 = 0 OR rule = 'active_attempt_number_order' AND active_attempt_number <> completed_attempt_count + 1 OR rule = 'retry_time' AND state = 'running' AND u % 17 = 0
+UNION ALL SELECT 'work_attempts', rule, concat_ws('/', id, attempt_number) FROM a, (VALUES ('duration_microseconds_range'), ('outcome_values'), ('failure')) AS x(rule)
+WHERE attempt_number = 1 AND (rule = 'duration_microseconds_range' AND u % 53 = 0 OR rule = 'outcome_values' AND u % 59 = 0 OR rule = 'failure' AND u % 59 = 0 AND failure_class IS NULL)
+UNION ALL SELECT 'runs', 'plan_fingerprint_shape', 'run_000001' FROM runs WHERE run_id = 'run_1'
+UNION ALL SELECT 'run_nodes', 'duration_microseconds_range', NULL FROM nod WHERE duration_microseconds < 0""")
+def h13_model_rules(spark, d):
+    """Every declared row rule over the history tables; planted are faults of ranges, values, digests, JSON and of what must go together."""
+    return constraints.check_model(_faulty_model(spark, d)).filter("rule not like '%:%'").select("table", "rule", "id")
+
+
 @query(f"{OPS} SELECT run_id, 'work_item' AS kind, work_item_id AS id, state FROM wrk WHERE state IN ('running', 'retry_wait') UNION ALL SELECT run_id, 'node', node_id, status FROM nod WHERE status = 'running'")
 def h14_unfinished_work(spark, d):
     _, nodes, work, _ = _ops(spark, d)

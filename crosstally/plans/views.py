@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 DAY0 = 1_767_225_600_000_000
 #: The moment of observation: 2024-07-01, about the middle of the events.
 NOW = 1_719_792_000_000_000
+#: 2020-01-01, when some active attempts began.
+EARLY = 1_577_836_800_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,7 +101,7 @@ def ops_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.when(u % 10 == 0, "running").when(u % 17 == 0, "retry_wait").otherwise(F.col("last"))
     return a.select(
         "work_item_id", "run_id", "node_id", F.concat(F.lit("partition-"), F.lpad(u.cast("string"), 8, "0")).alias("partition_key"), state.alias("state"), F.lit(1).alias("row_version"), (F.col("n") + F.when(u % 23 == 0, 1).otherwise(0)).cast("int").alias("completed_attempt_count"),
-        F.when((u % 10 == 0) & (u % 40 != 0), (F.col("n") + 1).cast("int")).alias("active_attempt_number"), F.when(u % 10 == 0, "owner").alias("lease_owner"), F.when(u % 10 == 0, F.when(u % 20 == 0, F.timestamp_micros(F.lit(NOW - 1_000_000))).otherwise(F.timestamp_micros(F.lit(NOW + 1_000_000)))).alias("lease_expires_at"),
+        F.when((u % 10 == 0) & (u % 40 != 0), (F.col("n") + 1).cast("int")).alias("active_attempt_number"), F.when((u % 10 == 0) & (u % 40 != 0), F.timestamp_micros(F.when(u % 30 == 0, F.lit(EARLY)).otherwise(F.lit(NOW - 2_000_000)))).alias("active_attempt_started_at"), F.when(u % 10 == 0, "owner").alias("lease_owner"), F.when(u % 10 == 0, F.when(u % 20 == 0, F.timestamp_micros(F.lit(NOW - 1_000_000))).otherwise(F.timestamp_micros(F.lit(NOW + 1_000_000)))).alias("lease_expires_at"),
         F.when(u % 17 == 0, F.timestamp_micros(F.lit(NOW) - (u % 2) * 10 + 5)).alias("available_at"), F.when(state == "succeeded", 1).otherwise(0).cast("long").alias("expected_checkpoint_version"),
     )
 
@@ -112,6 +114,7 @@ att AS (SELECT user_id AS u, concat('wrk_', user_id) AS work_item_id, concat('ru
   CASE WHEN outcome = 'succeeded' THEN NULL WHEN outcome = 'lease_expired' THEN 'timeout' ELSE (['connection', 'timeout', 'http_429', 'validation'])[event_id % 4 + 1] END AS failure_class, duration_microseconds, t AS started_at, t + duration_microseconds AS finished_at FROM ev2),
 wrk AS (SELECT u, work_item_id, run_id, node_id, concat('partition-', lpad(CAST(u AS VARCHAR), 8, '0')) AS partition_key, CASE WHEN u % 10 = 0 THEN 'running' WHEN u % 17 = 0 THEN 'retry_wait' ELSE max_by(outcome, attempt_number) END AS state,
   count(*) + CASE WHEN u % 23 = 0 THEN 1 ELSE 0 END AS completed_attempt_count, CASE WHEN u % 10 = 0 AND u % 40 <> 0 THEN count(*) + 1 END AS active_attempt_number,
+  CASE WHEN u % 10 = 0 AND u % 40 <> 0 THEN CASE WHEN u % 30 = 0 THEN {EARLY} ELSE {NOW} - 2000000 END END AS active_attempt_started_at,
   CASE WHEN u % 10 = 0 THEN CASE WHEN u % 20 = 0 THEN {NOW} - 1000000 ELSE {NOW} + 1000000 END END AS lease_expires_at, CASE WHEN u % 17 = 0 THEN {NOW} - (u % 2) * 10 + 5 END AS available_at, count(*) AS n
   FROM att GROUP BY u, work_item_id, run_id, node_id),
 wrk2 AS (SELECT *, CASE WHEN state = 'succeeded' THEN 1 ELSE 0 END AS expected_checkpoint_version FROM wrk),

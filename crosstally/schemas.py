@@ -26,7 +26,7 @@ _OPS = {
     "runs": "run_id string, state string, row_version int, plan_fingerprint string, created_at timestamp, started_at timestamp, finished_at timestamp",
     "run_event_counters": "run_id string, next_sequence long, row_version int",
     "run_nodes": "run_id string, node_id string, status string, row_version int, work_total long, work_pending long, work_running long, work_succeeded long, work_quarantined long, work_failed long, work_cancelled long, records_read long, records_written long, records_quarantined long, bytes_read long, bytes_written long, retry_count long, duration_microseconds long, started_at timestamp, finished_at timestamp",
-    "work_items": "work_item_id string, run_id string, node_id string, partition_key string, state string, row_version int, completed_attempt_count int, active_attempt_number int, lease_owner string, lease_expires_at timestamp, available_at timestamp, expected_checkpoint_version long",
+    "work_items": "work_item_id string, run_id string, node_id string, partition_key string, state string, row_version int, completed_attempt_count int, active_attempt_number int, active_attempt_started_at timestamp, lease_owner string, lease_expires_at timestamp, available_at timestamp, expected_checkpoint_version long",
     "work_attempts": "work_item_id string, run_id string, node_id string, attempt_number int, outcome string, failure_class string, duration_microseconds long, started_at timestamp, finished_at timestamp",
     "artifact_manifests": "artifact_id string, run_id string, node_id string, partition_key string, relative_path string, media_type string, schema_version int, row_count long, byte_size long, sha256 string, created_at timestamp",
     "checkpoint_heads": "run_id string, node_id string, partition_key string, version long",
@@ -84,28 +84,48 @@ DISPOSITIONS = {
 ID_PREFIXES = {"pipeline": "pip", "node": "nod", "connector": "con", "run": "run", "work_item": "wrk", "artifact": "art", "conflict": "cnf", "repair_plan": "rpl", "repair_action": "rac"}
 SENSITIVE_PARTS = ("access_key", "api_key", "authorization", "bearer", "cookie", "credential", "password", "private_key", "secret", "session", "token")
 FOREIGN_KEYS = (
+    ("run_event_counters", ("run_id",), "runs", ("run_id",)),
     ("run_nodes", ("run_id",), "runs", ("run_id",)),
     ("work_items", ("run_id", "node_id"), "run_nodes", ("run_id", "node_id")),
     ("work_attempts", ("work_item_id",), "work_items", ("work_item_id",)),
     ("artifact_manifests", ("run_id", "node_id"), "run_nodes", ("run_id", "node_id")),
-    ("checkpoints", ("artifact_id",), "artifact_manifests", ("artifact_id",)),
+    ("checkpoint_heads", ("run_id", "node_id", "partition_key"), "work_items", ("run_id", "node_id", "partition_key")),
+    ("checkpoints", ("run_id", "node_id", "partition_key"), "checkpoint_heads", ("run_id", "node_id", "partition_key")),
+    ("checkpoints", ("artifact_id", "run_id", "node_id", "partition_key"), "artifact_manifests", ("artifact_id", "run_id", "node_id", "partition_key")),
     ("execution_events", ("run_id",), "runs", ("run_id",)),
+    ("reconciliation_summaries", ("run_id",), "runs", ("run_id",)),
+    ("reconciliation_conflicts", ("run_id",), "runs", ("run_id",)),
+    ("repair_plans", ("run_id",), "runs", ("run_id",)),
+    ("repair_approvals", ("repair_plan_id", "state_fingerprint"), "repair_plans", ("repair_plan_id", "state_fingerprint")),
     ("repair_actions", ("repair_plan_id",), "repair_plans", ("repair_plan_id",)),
-    ("repair_actions", ("conflict_id",), "reconciliation_conflicts", ("conflict_id",)),
+    ("repair_actions", ("conflict_id", "canonical_key"), "reconciliation_conflicts", ("conflict_id", "canonical_key")),
 )
 UNIQUE_KEYS = (
     ("runs", ("run_id",)),
+    ("run_event_counters", ("run_id",)),
     ("run_nodes", ("run_id", "node_id")),
     ("work_items", ("work_item_id",)),
     ("work_items", ("run_id", "node_id", "partition_key")),
     ("work_attempts", ("work_item_id", "attempt_number")),
     ("artifact_manifests", ("artifact_id",)),
     ("artifact_manifests", ("relative_path",)),
+    ("checkpoint_heads", ("run_id", "node_id", "partition_key")),
     ("checkpoints", ("run_id", "node_id", "partition_key", "version")),
     ("execution_events", ("run_id", "sequence_number")),
     ("idempotency_records", ("scope", "idempotency_key")),
+    ("reconciliation_summaries", ("run_id", "classification")),
+    ("reconciliation_conflicts", ("conflict_id",)),
+    ("reconciliation_conflicts", ("run_id", "canonical_key")),
+    ("repair_plans", ("repair_plan_id",)),
+    ("repair_plans", ("run_id", "content_fingerprint")),
+    ("repair_approvals", ("repair_plan_id",)),
+    ("repair_actions", ("repair_action_id",)),
     ("repair_actions", ("external_idempotency_key",)),
+    ("repair_actions", ("repair_plan_id", "canonical_key", "kind")),
+    ("audit_entries", ("sequence_number",)),
 )
+#: The largest number of a sequence or version, and the longest duration in microseconds.
+MAX_NUMBER, MAX_DURATION = 2_147_483_647, 31_536_000_000_000
 
 
 def terminal(transitions: dict[str, tuple[str, ...]]) -> tuple[str, ...]:
