@@ -11,11 +11,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import format_utc
 from ..schemas import require_empty
+from ..sources.buckets import BucketStore
 
 #: Leading digits that the nodes of each level share, from the leaves up.
 LEVELS = (6, 3)
@@ -56,16 +58,66 @@ def state_fingerprint(df: DataFrame, text: Column, scope: str, *keys: str) -> Da
 
     A leaf that repeats is counted before it moves, so copies of a row neither travel nor fill a bucket.
     """
-    leaves = df.select(*keys, leaf_digest(F.concat(F.lit(scope + "\n"), text)).alias("leaf")).groupBy(*keys, "leaf").agg(F.count("*").alias("n"))
+    return _root(_nodes(_leaves(df, text, scope, *keys), *keys), scope, *keys)
+
+
+def _leaves(df: DataFrame, text: Column, scope: str, *keys: str) -> DataFrame:
+    return df.select(*keys, leaf_digest(F.concat(F.lit(scope + "\n"), text)).alias("leaf")).groupBy(*keys, "leaf").agg(F.count("*").alias("n"))
+
+
+def _nodes(leaves: DataFrame, *keys: str) -> DataFrame:
+    """keys, name, n, line of the nodes below the root."""
     level = leaves.select(*keys, F.col("leaf").alias("name"), "n", F.concat("leaf", F.lit("x"), F.col("n").cast("string")).alias("line"))
     for digits in LEVELS:
         made = level.groupBy(*keys, F.substring("name", 1, digits).alias("name")).agg(F.sum("n").alias("n"), F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("line"))), 256).alias("d"))
         level = made.select(*keys, "name", "n", F.concat_ws(":", "name", F.col("n").cast("string"), "d").alias("line"))
+    return level
+
+
+def _root(level: DataFrame, scope: str, *keys: str) -> DataFrame:
     total = F.coalesce(F.sum("n"), F.lit(0))
     joined = F.concat_ws("\n", F.lit(ROOT), F.lit(scope), total.cast("string"), F.concat_ws("\n", F.array_sort(F.collect_list("line"))))
     return level.groupBy(*keys).agg(total.alias("n"), F.sha2(joined, 256).alias("fingerprint"))
 
 
+class StateTree:
+    """The tree of a state fingerprint, stored, so that a change costs what it touches.
+
+    Leaves and the nodes below the root lie in buckets by the leaf's first digits. An update reads and rewrites the buckets of the leaves that
+    were added or removed, and the root is made of 4 096 stored lines; the fingerprint is that of state_fingerprint over the whole state.
+    """
+
+    def __init__(self, spark: SparkSession, at: str, scope: str, digits: int = 2):
+        if not 1 <= digits <= LEVELS[-1]:
+            raise ValueError(f"digits must be 1 to {LEVELS[-1]}")
+        self.scope, n = scope, 16**digits
+        place = lambda c: F.conv(F.substring(c, 1, digits), 16, 10).cast("int")
+        self.leaves = BucketStore(spark, f"{at}/leaves", T.StructType.fromDDL("leaf string, n long"), place("leaf"), n)
+        self.nodes = BucketStore(spark, f"{at}/nodes", T.StructType.fromDDL("name string, n long, line string"), place("name"), n)
+
+    def create(self, df: DataFrame, text: Column) -> None:
+        self.leaves.publish(_leaves(df, text, self.scope))
+        self.nodes.publish(_nodes(self.leaves.read()))
+
+    def update(self, removed: DataFrame, added: DataFrame, text: Column) -> list[int]:
+        """Takes away the rows removed and puts in the rows added; the buckets that this touched. A row that isn't there can't be removed."""
+        gone, new = (_leaves(df, text, self.scope).select("leaf", (F.col("n") * sign).alias("n")) for df, sign in ((removed, -1), (added, 1)))
+        change = gone.unionByName(new).groupBy("leaf").agg(F.sum("n").alias("n")).filter("n <> 0").persist()
+        touched = self.leaves.buckets_of(change)
+        if touched:
+            after = self.leaves.read(touched).unionByName(change).groupBy("leaf").agg(F.sum("n").alias("n")).persist()
+            require_empty(after.filter("n < 0"), "rows to be removed that aren't there")
+            self.leaves.publish(after.filter("n > 0"), touched)
+            self.nodes.publish(_nodes(self.leaves.read(touched)), touched)
+            after.unpersist()
+        change.unpersist()
+        return touched
+
+    def fingerprint(self) -> DataFrame:
+        """n, fingerprint."""
+        return _root(self.nodes.read(), self.scope)
+
+
 MAX_EXACT = 10_000
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import FIELDS, NORMALIZED_SCHEMA
-from .fingerprint import canonical_effect, effect_digest, inventory_fingerprint, plan_content_fingerprint
+from ..sources.buckets import BucketStore
+from .fingerprint import StateTree, canonical_effect, effect_digest, inventory_fingerprint, plan_content_fingerprint
 from .paging import ordered_blocks
 from .reconcile import reconcile, repairable
 
@@ -105,6 +106,22 @@ def apply_repairs(target: DataFrame, actions: DataFrame, ledger: DataFrame) -> t
     return new_target, entries
 
 
+def apply_to_buckets(target: BucketStore, actions: DataFrame, ledger: DataFrame, tree: StateTree | None = None) -> tuple[int, DataFrame]:
+    """apply_repairs on a stored target: only the buckets of the actions' keys are read and written; the new version's number and the ledger rows.
+
+    target must be dealt by ``sku``. tree, the stored fingerprint tree of the target's content, is brought up to date from the same buckets.
+    """
+    keys = actions.select(F.col("canonical_key").alias("sku"))
+    touched = target.buckets_of(keys)
+    before = target.read(touched)
+    after, entries = apply_repairs(before, actions, ledger)
+    version = target.publish(after, touched)
+    if tree:
+        old, new = (df.join(keys.distinct(), "sku", "left_semi") for df in (before, target.read(touched)))
+        tree.update(old, new, canonical_effect())
+    return version, entries
+
+
 def replay_conflicts(ledger: DataFrame, results: DataFrame) -> DataFrame:
     """Results for an external key that is in the ledger with another content."""
     known = ledger.select("external_idempotency_key", F.col("after_sha256").alias("stored_sha256"))
