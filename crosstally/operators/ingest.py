@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import attribute_rules, money_from_decimal, parse_utc, text_error, valid_currency, valid_quantity, valid_sku
 from ..schemas import NORMALIZED_SCHEMA
+from ..sources.batches import MAX_BYTES, MAX_ROWS, text_bytes
 
-MAX_BATCH_ROWS, MAX_BATCH_BYTES = 100_000, 64 << 20
+MAX_BATCH_ROWS, MAX_BATCH_BYTES = MAX_ROWS, MAX_BYTES
 MAX_PARTITIONS = 1024
 _PAYLOAD = "struct<sku:string,name:string,quantity:string,unit_price:struct<amount:string,currency:string,exponent:int>,updated_at:string,attributes:map<string,string>>"
 
@@ -88,12 +89,7 @@ def check_record_index(df: DataFrame, partition_cols: Sequence[str]) -> DataFram
 
 def check_batch_limits(df: DataFrame, batch_cols: Sequence[str], max_rows: int = MAX_BATCH_ROWS, max_bytes: int = MAX_BATCH_BYTES) -> DataFrame:
     """Batches with too many rows or too many bytes of text."""
-    size = None
-    for f in df.schema:
-        if f.dataType.simpleString() == "string":
-            n = F.coalesce(F.octet_length(f.name), F.lit(0))
-            size = n if size is None else size + n
-    g = df.groupBy(*batch_cols).agg(F.count("*").alias("n"), F.sum(size if size is not None else F.lit(0)).alias("text_bytes"))
+    g = df.groupBy(*batch_cols).agg(F.count("*").alias("n"), F.sum(text_bytes(df)).alias("text_bytes"))
     return g.filter((F.col("n") > max_rows) | (F.col("text_bytes") > max_bytes))
 
 

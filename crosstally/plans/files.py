@@ -10,6 +10,7 @@ from ..operators import artifacts, fingerprint, ingest, repair
 from ..schemas import NORMALIZED_SCHEMA
 from ..session import Store
 from ..sources import tables
+from ..sources.batches import cluster, clustered_page, cut_batches
 from ..sources.buckets import BucketStore, hashed
 from ..sources.footers import footers, list_files, other_columns
 from . import views as v
@@ -174,3 +175,25 @@ def f05_kept_up_to_date(spark: SparkSession, d: str) -> DataFrame:
     repair.apply_to_buckets(store, actions.filter("canonical_key like '%1'"), _ledger(spark), tree)
     both = tree.fingerprint().withColumn("what", F.lit("kept_up")).unionByName(fingerprint.inventory_fingerprint(store.read()).withColumn("what", F.lit("made_anew")))
     return both.select("what", "n").unionByName(both.select("fingerprint").distinct().agg(F.lit("fingerprints").alias("what"), F.count("*").alias("n")))
+
+
+@query("SELECT l_returnflag, count(*) AS n, CAST(0 AS BIGINT) AS broken, CAST(sum(l_orderkey) AS BIGINT) AS told FROM lineitem GROUP BY 1")
+def p05_cut_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Three partitions of very different sizes cut into batches of 1 000 rows or 8 000 bytes of text: none breaks the limits, numbers follow the order, no row is lost."""
+    li = v.table(spark, d, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_linestatus", F.expr("repeat('x', cast(l_quantity as int))").alias("note"))
+    cut = cut_batches(li, ["l_returnflag"], ["l_orderkey", "l_linenumber"], 1000, 8000)
+    broken = ingest.check_batch_limits(cut, ["l_returnflag", "batch"], 1000, 8000).select("l_returnflag", F.lit(1).alias("bad"))
+    ends = cut.groupBy("l_returnflag", "batch").agg(F.min(F.struct("l_orderkey", "l_linenumber")).alias("first"), F.max(F.struct("l_orderkey", "l_linenumber")).alias("last"))
+    after = ends.select("l_returnflag", (F.col("batch") + 1).alias("batch"), F.col("last").alias("before"))
+    crossed = ends.join(after, ["l_returnflag", "batch"]).filter("first < before").select("l_returnflag", F.lit(1).alias("bad"))
+    bad = broken.unionByName(crossed).groupBy("l_returnflag").agg(F.count("*").alias("broken"))
+    told = cut.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("told"))
+    return told.join(bad, "l_returnflag", "left").select("l_returnflag", "n", F.coalesce("broken", F.lit(0)).cast("long").alias("broken"), "told")
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT * FROM orders WHERE o_custkey > 30 OR o_custkey = 30 AND o_orderkey > 5 ORDER BY o_custkey, o_orderkey LIMIT 101)")
+def r10_clustered_page(spark: SparkSession, d: str) -> DataFrame:
+    """A page behind a cursor from a clustered copy of all orders."""
+    at, o, order = scratch(spark), v.table(spark, d, "orders").select("o_custkey", "o_orderkey"), ("o_custkey", "o_orderkey")
+    cluster(o, order, at)
+    return clustered_page(spark, at, o.schema, order, (30, 5))

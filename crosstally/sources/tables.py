@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import NORMALIZED_SCHEMA, OPS_SCHEMAS, RAW_SCHEMA, null_violations, require_empty, require_schema
+from .batches import GROUP_ROWS, cut_batches
 from .footers import BLOCK_BYTES, footers, hashed_files, other_columns
 
 CORRUPT = "corrupt_record"
@@ -45,13 +46,14 @@ def _write(df: DataFrame, schema: T.StructType, root: str, dataset: str, run_id:
     key = F.col("partition_key") if "partition_key" in df.columns else F.lit("partition-00000000")
     rows = df.select(*schema.names, *extra, path_key(key).alias("key"))
     require_schema(rows.select(*schema.names), schema)
-    # within a partition key rows are sorted by index; keys of any size are written by several tasks, each a range of the index
-    placed = rows.repartitionByRange("key", "record_index").sortWithinPartitions("key", "record_index")
-    placed.write.mode("errorifexists").option("compression", "zstd").option("parquet.block.size", 64 << 20).partitionBy("run_id", "dataset", "node_id", "key").parquet(f"{root}/{dataset}-{run_id}-{node_id}")
+    # a partition is cut into batches by prefix sums, each one file; a large one is sorted and written by many tasks
+    placed = cut_batches(rows, ["key"], ["record_index"]).repartition("key", "batch").sortWithinPartitions("key", "batch", "record_index")
+    options = {"compression": "zstd", "parquet.block.size": str(64 << 20), "parquet.block.row.count.limit": str(GROUP_ROWS)}
+    placed.write.mode("errorifexists").options(**options).partitionBy("run_id", "dataset", "node_id", "key", "batch").parquet(f"{root}/{dataset}-{run_id}-{node_id}")
 
 
 def write_raw(df: DataFrame, root: str, run_id: str, node_id: str) -> None:
-    """Partition files run_id=/dataset=/node_id=/key=; an existing destination is an error."""
+    """Partition files run_id=/dataset=/node_id=/key=/batch=, each of at most 100 000 rows and 64 MiB of text in row groups of 65 536 rows; an existing destination is an error."""
     _write(df, RAW_SCHEMA, root, "raw", run_id, node_id)
 
 
