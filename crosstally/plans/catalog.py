@@ -596,13 +596,17 @@ def h04_event_subjects(spark, d):
     return history.check_event_subjects(v.ops_events(spark, d), work)
 
 
-@query("SELECT 'manifest_before_run' AS rule, concat('art_', o_orderkey) AS id FROM orders WHERE o_orderkey % 41 <> 0 AND epoch_us(o_orderdate) < epoch_us(TIMESTAMP '2000-01-01')")
+@query(f"""{EVS} SELECT 'manifest_before_run' AS rule, concat('art_', o_orderkey) AS id FROM orders WHERE o_orderkey % 41 <> 0 AND epoch_us(o_orderdate) < epoch_us(TIMESTAMP '2000-01-01')
+UNION ALL SELECT 'event_before_run', concat('run_', user_id, '/', sequence_number) FROM evs WHERE event_id % 101 = 0
+UNION ALL SELECT DISTINCT 'run_times', concat('run_', user_id) FROM evs WHERE event_id % 101 = 0
+UNION ALL SELECT 'artifact_after_checkpoint', concat('run_', o_custkey % 3, '/n/p/', o_orderkey) FROM orders WHERE o_orderkey % 41 <> 0 AND o_orderkey % 37 = 0""")
 def h05_chronology(spark, d):
-    """All four rules over whole tables; on the given ones events, checkpoints and run times are in order."""
+    """All four rules over whole tables: every 101st event is moved before its run, which then starts early, and every 37th checkpoint before its artifact."""
     o = v.table(spark, d, "orders").filter("o_orderkey % 41 <> 0")
     m = o.select(F.expr("concat('art_', o_orderkey)").alias("artifact_id"), F.expr("concat('run_', o_custkey % 3)").alias("run_id"), F.timestamp_micros(v.micros("o_orderdate")).alias("created_at"))
-    checkpoints = m.select("run_id", F.lit("n").alias("node_id"), F.lit("p").alias("partition_key"), F.substring("artifact_id", 5, 20).cast("long").alias("version"), "artifact_id", F.timestamp_micros(F.unix_micros("created_at") + 1).alias("created_at"))
+    checkpoints = m.select("run_id", F.lit("n").alias("node_id"), F.lit("p").alias("partition_key"), F.substring("artifact_id", 5, 20).cast("long").alias("version"), "artifact_id", F.timestamp_micros(F.unix_micros("created_at") + F.when(F.col("version") % 37 == 0, -1).otherwise(1)).alias("created_at"))
     events, moment = v.ops_events(spark, d), F.timestamp_micros(F.lit(946_684_800_000_000))
+    events = events.withColumn("occurred_at", F.when(F.col("event_id") % 101 == 0, F.timestamp_micros(F.lit(900_000_000_000_000))).otherwise(F.col("occurred_at")))
     times = events.groupBy("run_id").agg(F.min("occurred_at").alias("first"), F.max("occurred_at").alias("last"))
     runs = m.select("run_id").distinct().join(times, "run_id", "full_outer")
     runs = runs.select("run_id", moment.alias("created_at"), F.coalesce("first", moment).alias("started_at"), F.coalesce("last", moment).alias("finished_at"))
