@@ -203,10 +203,20 @@ def valid_stable_text(c: Column, kind: str, max_chars: int = 128) -> Column:
 _KEY = re.compile(r'("(?:[^"\\]|\\.)*")\s*:', re.S)
 
 
+#: The eleven names as tuples of words; none has more than two.
+_NAMES = frozenset(tuple(name.split("_")) for name in SENSITIVE_PARTS)
+
+
+def _words(key: str) -> list[str]:
+    """The words of a key: letters and digits between other signs and at changes to a capital, composed and case-folded."""
+    pieces = re.split(r"(?<=[a-z0-9])(?=[A-Z])", key)
+    return [w for piece in pieces for w in re.findall("[a-z0-9]+", unicodedata.normalize("NFC", piece).casefold())]
+
+
 def _sensitive(key: str) -> bool:
-    """Whether a key, cut at case changes and signs, composed and case-folded, has one of the eleven words."""
-    words = re.sub(r"[^a-z0-9]+", "_", unicodedata.normalize("NFC", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", key)).casefold())
-    return any(f"_{part}_" in f"_{words}_" for part in SENSITIVE_PARTS)
+    """Whether one of the names stands among a key's words."""
+    words = _words(key)
+    return not _NAMES.isdisjoint([*((w,) for w in words), *zip(words, words[1:])])
 
 
 def _keys(text: str) -> set[str]:
