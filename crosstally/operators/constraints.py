@@ -61,8 +61,8 @@ def ordered(first: str, then: str) -> Rule:
 
 def json_kind(column: str, kind: str) -> Rule:
     """A JSON text that is an object, or an array."""
-    sign = {"object": "{", "array": "["}[kind]
-    return Rule(f"{column}_{kind}", (column,), lambda x: x.isNull() | F.try_parse_json(x).isNotNull() & F.ltrim(x).startswith(sign))
+    first, last = {"object": "{}", "array": "[]"}[kind]  # the parser lets signs behind a value pass
+    return Rule(f"{column}_{kind}", (column,), lambda x: x.isNull() | F.try_parse_json(x).isNotNull() & F.trim(x).startswith(first) & F.trim(x).endswith(last))
 
 
 def _all_or_none(when: Column, *columns: Column) -> Column:
