@@ -117,7 +117,7 @@ def test_similar_sets_share_a_prefix_token_under_each_order(order):
     prefixes = []
     for s in turned:
         p = j.prefix_size(len(s))
-        inside = int(np.searchsorted(s, j._EDGE))
+        inside = int(np.searchsorted(s, o.edge))
         sent = o.sent(s[: max(inside, p)], p)
         place = o.place(sent, np.array([df[int(t)] for t in sent]))
         prefixes.append({int(sent[i]) for i in sorted(range(len(sent)), key=lambda i: (place[i], sent[i]))[:p]})
@@ -137,3 +137,20 @@ def test_sets_are_those_of_the_words():
         assert len(s.of(a)) == len(shingles(a))
         for b in texts:
             assert (shingles(a) == shingles(b)) == (len(s.of(a)) == len(s.of(b)) and (s.of(a) == s.of(b)).all())
+
+
+def test_signatures_bound_differences(monkeypatch):
+    """Signatures differ in at most as many bits as sets do in tokens, folded ones too."""
+    monkeypatch.setattr(j, "SIGNED_BITS", 1024)
+    rng = np.random.default_rng(5)
+    for n in (9, 40, 300, 2000):
+        a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        b = np.unique(np.r_[a[n // 9 :], rng.integers(0, 2**64, n // 5, np.uint64)])
+        x, y = j.signature(a), j.signature(b)
+        while len(x) != len(y):
+            x, y = (j.folded(x), y) if len(x) > len(y) else (x, j.folded(y))
+        while True:
+            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+            if len(x) == 1:
+                break
+            x, y = j.folded(x), j.folded(y)
