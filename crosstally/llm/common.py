@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-from contextlib import suppress
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import Store, remove, shared_dir  # noqa: F401  for the modules of this package
+
 #: White space as the contracts define it (space, tab to carriage return).
 ASCII_WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,21 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a local master gets one of our own; a cluster is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + os.path.join(tempfile.gettempdir(), "crosstally-shared")
+def checkpoints(spark: SparkSession) -> None:
+    """Lets checkpoint() write to the folder that driver and executors share."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, stored in the shared folder, so that nothing above is computed again and a lost executor costs a read."""
-    shared_dir(df.sparkSession)
+    checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -49,31 +39,17 @@ def small_side(df: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that this library wrote."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-class Store:
-    """A folder of its own in the shared folder, for tables that are read more than once: what it stores isn't computed again, and a lost executor costs a read.
-
-    drop() deletes it. What a returned DataFrame still reads stays until the driver ends.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.at, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-        atexit.register(self.drop)
+def named(column: str) -> Column:
+    """A column by its exact name, whatever signs it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
-    def put(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        df.write.parquet(f"{self.at}/{self.n}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.at}/{self.n}")
 
-    def drop(self) -> None:
-        atexit.unregister(self.drop)
-        with suppress(Exception):  # a session may be gone, and its folder with it
-            remove(self.spark, self.at)
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, made longer until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def id_remainder(doc_id: Column, n: int) -> Column:

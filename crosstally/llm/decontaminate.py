@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_side
+from .common import cut, fresh, small_side
 
 WINDOW = 10
 #: Bytes of benchmark text handled at once, and what an item counts beside its text.
@@ -309,11 +309,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, with all their columns, that no window hits. Texts move only if several blocks hit very many different texts."""
     blocks = Blocks(benchmark, window, block_bytes)
-    others = [_text_hits(docs, blocks.read(k)).select(F.col("digest").alias("hit_digest")) for k in range(blocks.n - 1)]
+    name = fresh(docs, "hit_digest")
+    others = [_text_hits(docs, blocks.read(k)).select(F.col("digest").alias(name)) for k in range(blocks.n - 1)]
     clean = docs.filter(hits_column(F.col("text"), blocks.read(blocks.n - 1))["n_hit"] == 0)
     if not others:
         return clean
-    return clean.join(small_side(reduce(DataFrame.unionByName, others)), F.sha2(clean["text"], 256) == F.col("hit_digest"), "left_anti")
+    return clean.join(small_side(reduce(DataFrame.unionByName, others)), F.sha2(clean["text"], 256) == F.col(name), "left_anti")
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -23,10 +23,10 @@ from itertools import accumulate
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Store, cut, fresh, named
 
 SHINGLE = 3
 THRESHOLD = 3
@@ -35,6 +35,8 @@ SEED = 42
 BLOCK = 2048
 #: Shingles whose bits are counted at once.
 _COUNTED = 65_536
+#: Kept ids that are sent to all tasks at most.
+MOST_SENT = 200_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -186,15 +188,32 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     return marked.join(classes, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def first_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; all columns stay.
+def keep_first(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in kept(doc_id); all columns stay, whatever their names.
 
     Rows that repeat a doc_id are one document, of which one row stays: that with the smallest SHA-256 of its text (null first), then with
-    the smallest hash of its other columns. Rows with a null doc_id stay. Rows of one id are reduced where they are read, and texts move once.
+    the smallest hash of its other columns. Rows with a null doc_id stay. Winners are chosen among digests; texts are filtered where they are
+    read if few ids are kept, and else move once, unsorted. Only rows that are equal in all of this are numbered.
     """
-    kept = near_duplicates(docs, **options).filter("doc_id = component_id").select("doc_id").distinct()
     others = [f.name for f in docs.schema if f.name != "text" and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    order = F.struct(F.sha2("text", 256), F.xxhash64(*others))
-    one = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("row"))
-    known = one.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id") == F.col("kept_id"), "left_semi").select("row.*")
-    return known.unionByName(docs.filter("doc_id is null"))
+    digest, rest = F.sha2("text", 256), F.xxhash64(*[named(c) for c in others])
+    k, d, h, n = (fresh(docs, x) for x in ("kept_id", "kept_digest", "kept_hash", "kept_rows"))
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").alias(k), digest.alias(d), rest.alias(h)).groupBy(k, d, h).agg(F.count("*").alias(n))
+    best = rows.groupBy(k).agg(F.min_by(F.struct(d, h, n), F.struct(d, h)).alias("x")).select(k, f"x.{d}", f"x.{h}", f"x.{n}")
+    best = Store(docs.sparkSession, "kept").put(best.join(kept.select(F.col("doc_id").alias(k)), k, "left_semi"))
+
+    def of(winners: DataFrame) -> DataFrame:
+        few = winners.limit(MOST_SENT + 1).count() <= MOST_SENT
+        return docs.join(winners.hint("broadcast" if few else "shuffle_hash"), (F.col("doc_id") == F.col(k)) & digest.eqNullSafe(F.col(d)) & (rest == F.col(h)), "left_semi")
+
+    out = of(best.filter(F.col(n) == 1))
+    if best.filter(F.col(n) > 1).limit(1).count():
+        number = fresh(docs, "kept_number")
+        equal = of(best.filter(F.col(n) > 1)).withColumn(number, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(1))))
+        out = out.unionByName(equal.filter(F.col(number) == 1).drop(number))
+    return out.unionByName(docs.filter("doc_id is null"))
+
+
+def first_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its component; all columns stay, and of an id one row, as keep_first says."""
+    return keep_first(docs, near_duplicates(docs, **options).filter("doc_id = component_id").select("doc_id"))
