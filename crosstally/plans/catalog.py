@@ -409,7 +409,7 @@ def x09_plan_status(spark, d):
     return repair.plan_status(_plans(spark, d), _plan_actions(spark, d))
 
 
-@query("SELECT concat('rpl_', c_custkey) AS repair_plan_id, CASE WHEN c_custkey % 2 = 0 THEN concat('person ', c_custkey % 9) END AS approver, count(o_orderkey) AS n_actions, min(concat('SKU-', o_orderkey)) AS first_key, count(*) FILTER (o_orderkey % 500 % 3 = 0) AS n_missing FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+@query("SELECT concat('rpl_', c_custkey) AS repair_plan_id, CASE WHEN c_custkey % 2 = 0 THEN concat('person ', c_custkey % 9) END AS approver, count(o_orderkey) AS n_actions, min('SKU-' || o_orderkey) AS first_key, count(*) FILTER (o_orderkey % 500 % 3 = 0) AS n_missing FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def x10_plan_details(spark, d):
     p = repair.plan_details(_plans(spark, d), _approvals(spark, d), _plan_actions(spark, d), _plan_conflicts(spark, d))
     listed = F.when(F.col("actions").isNotNull(), F.size("actions")).otherwise(0)

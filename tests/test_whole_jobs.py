@@ -101,3 +101,14 @@ def test_exact_fingerprint_without_rows(spark):
     """Without keys there is a fingerprint of no rows too, and it isn't that of one row."""
     of = lambda n: fingerprint.state_fingerprint_exact(spark.range(n), F.col("id").cast("string"), "s").first()
     assert of(0)["n"] == 0 and of(0)["fingerprint"] == hashlib.sha256(f"{fingerprint.ROOT}\ns\n0\n".encode()).hexdigest() and of(3)["n"] == 3 and of(3)["fingerprint"] != of(0)["fingerprint"]
+
+
+def test_plans_without_actions_agree_with_sql(spark, tmp_path):
+    """x10: a plan without any action has no first key, in the SQL too."""
+    plan_tables(spark, str(tmp_path), 20)
+    con = duckdb.connect()
+    for t in ("customer", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    rows = con.execute(entry.oracle_sql()["x10_plan_details"]).fetchall()
+    assert ("rpl_2", "person 2", 0, None, 0) in rows
+    assert sorted(map(str, map(tuple, entry.queries()["x10_plan_details"](spark, str(tmp_path)).collect()))) == sorted(map(str, rows))
