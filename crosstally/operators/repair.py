@@ -14,6 +14,11 @@ from .reconcile import reconcile, repairable
 MAX_ACTIONS = 10_000
 
 
+def _met(df: DataFrame) -> DataFrame:
+    """df, one side of a join, to be met by shuffles: an inventory's or ledger's rows take many times the bytes that its files do, by which Spark would choose to send it whole to the driver."""
+    return df.hint("merge")
+
+
 def generate_repairs(outcomes: DataFrame, reference: DataFrame, target: DataFrame, fingerprint: str, plan_id: str = "rpl_main") -> DataFrame:
     """One action for each repairable key: create what the target lacks, update what differs; nothing else, and never a delete.
 
@@ -21,10 +26,10 @@ def generate_repairs(outcomes: DataFrame, reference: DataFrame, target: DataFram
     """
     keys = repairable(outcomes).select("sku", "classification")
     record = F.struct(*NORMALIZED_SCHEMA.names)
-    proposed = reference.select("sku", record.alias("record"), canonical_effect().alias("proposed_effect"), effect_digest().alias("after_sha256"))
-    expected = target.select("sku", canonical_effect().alias("expected_effect"), effect_digest().alias("before_sha256"))
     create = F.col("classification") == "missing_from_target"
-    j = keys.join(proposed, "sku").join(expected, "sku", "left")
+    j = keys.join(_met(reference.select("sku", record.alias("record"))), "sku").join(_met(target.select("sku", record.alias("present"))), "sku", "left")
+    there = F.col("present").isNotNull()
+    j = j.withColumns({"proposed_effect": canonical_effect("record."), "after_sha256": effect_digest("record."), "expected_effect": F.when(there, canonical_effect("present.")), "before_sha256": F.when(there, effect_digest("present."))})
     kind = F.when(create, "create_target").otherwise("update_target")
     ident = F.sha2(F.concat_ws("|", F.lit(plan_id), "sku", kind, "after_sha256"), 256)
     return j.select(
@@ -43,7 +48,7 @@ def derived_mismatches(proposed: Column, expected: Column) -> Column:
 
 
 def check_actions(actions: DataFrame) -> DataFrame:
-    """repair_action_id, rule of every broken rule: a create has no before, an update has one, and differs from it."""
+    """repair_action_id, canonical_key, rule of every broken rule: a create has no before, an update has one, and differs from it."""
     create, update = F.col("kind") == "create_target", F.col("kind") == "update_target"
     rules = [
         F.when(~F.coalesce(create | update, F.lit(False)), "kind"),
@@ -52,7 +57,7 @@ def check_actions(actions: DataFrame) -> DataFrame:
         F.when(update & (F.col("before_sha256") == F.col("after_sha256")), "update_without_change"),
         F.when(F.col("after_sha256").isNull(), "after_missing"),
     ]
-    return actions.select("repair_action_id", F.explode(F.array_compact(F.array(*rules))).alias("rule"))
+    return actions.select("repair_action_id", "canonical_key", F.explode(F.array_compact(F.array(*rules))).alias("rule"))
 
 
 def check_plan_uniqueness(actions: DataFrame, limit: int = MAX_ACTIONS) -> DataFrame:
@@ -68,9 +73,9 @@ def check_plan_uniqueness(actions: DataFrame, limit: int = MAX_ACTIONS) -> DataF
 def check_against_conflicts(actions: DataFrame, conflicts: DataFrame) -> DataFrame:
     """Actions whose conflict is unknown, or doesn't say what they do."""
     c = conflicts.select("conflict_id", F.col("canonical_key").alias("c_key"), "classification", "suggested_action")
-    j = actions.join(c, "conflict_id", "left")
+    j = actions.join(_met(c), "conflict_id", "left")
     rule = F.when(F.col("c_key").isNull(), "unknown_conflict").when(F.col("c_key") != F.col("canonical_key"), "other_key").when(F.col("suggested_action") != F.col("kind"), "other_action")
-    return j.select("repair_action_id", "conflict_id", rule.alias("rule")).filter("rule is not null")
+    return j.select("repair_action_id", "canonical_key", "conflict_id", rule.alias("rule")).filter("rule is not null")
 
 
 def stale_plans(plans: DataFrame, summaries: DataFrame) -> DataFrame:
@@ -93,11 +98,11 @@ def apply_repairs(target: DataFrame, actions: DataFrame, ledger: DataFrame) -> t
     Actions whose external key is in the ledger already have no further effect. A row of the ledger says applied, or conflict when the
     target changed meanwhile (its row is kept as it is). Keys with several target rows are never updated. Applying twice changes nothing.
     """
-    todo = actions.join(ledger.filter("status = 'applied'").select("external_idempotency_key").distinct(), "external_idempotency_key", "left_anti")
+    todo = actions.join(_met(ledger.filter("status = 'applied'").select("external_idempotency_key").distinct()), "external_idempotency_key", "left_anti")
     a = todo.select(F.col("canonical_key").alias("sku"), "repair_action_id", "external_idempotency_key", "kind", F.col("before_sha256").alias("before"), "after_sha256", "record")
     rows = target.select("sku", F.struct(*NORMALIZED_SCHEMA.names).alias("row"), effect_digest().alias("now"))
     state = rows.groupBy("sku").agg(F.count("*").alias("n"), F.min("now").alias("now"))
-    verdict = a.join(state, "sku", "left").withColumn("ok", F.when(F.col("kind") == "create_target", F.col("n").isNull()).otherwise((F.col("n") == 1) & F.col("now").eqNullSafe(F.col("before"))))
+    verdict = a.join(_met(state), "sku", "left").withColumn("ok", F.when(F.col("kind") == "create_target", F.col("n").isNull()).otherwise((F.col("n") == 1) & F.col("now").eqNullSafe(F.col("before"))))
     verdict = verdict.withColumn("ok", F.coalesce("ok", F.lit(False)))
     done = verdict.filter("ok").select("sku", F.col("record").alias("new_row"))
     joined = rows.select("sku", "row").join(done, "sku", "full_outer")
@@ -168,7 +173,7 @@ def action_counts(actions: DataFrame, *keys: str) -> DataFrame:
 def check_mismatch_evidence(actions: DataFrame) -> DataFrame:
     """Updates whose stored list of mismatches (array column ``mismatches``) isn't what their two contents differ in."""
     derived = derived_mismatches(F.col("proposed_effect"), F.col("expected_effect"))
-    found = actions.filter("kind = 'update_target'").select("repair_action_id", "mismatches", derived.alias("derived"))
+    found = actions.filter("kind = 'update_target'").select("repair_action_id", "canonical_key", "mismatches", derived.alias("derived"))
     return found.filter(~F.col("mismatches").eqNullSafe(F.col("derived")) | (F.size("derived") == 0))
 
 

@@ -330,7 +330,7 @@ def x02_check_actions(spark, d):
     ends = lambda n: F.col("canonical_key").endswith(n)
     a = _actions(spark, d).withColumn("kind", F.when(ends("3"), "delete").otherwise(F.col("kind")))
     a = a.withColumn("before_sha256", F.when(ends("5"), F.lit(None)).when(ends("1"), "x").otherwise(F.col("before_sha256"))).withColumn("after_sha256", F.when(ends("7"), F.col("before_sha256")).otherwise(F.col("after_sha256")))
-    return repair.check_actions(a).join(a.select("repair_action_id", "canonical_key"), "repair_action_id").select("canonical_key", "rule")
+    return repair.check_actions(a).select("canonical_key", "rule")
 
 
 @query(f"{_ACT} SELECT 'rpl_main' AS repair_plan_id, 'too_many_actions' AS rule, CAST(count(*) AS VARCHAR) AS detail FROM act HAVING count(*) > 100")
@@ -344,7 +344,7 @@ def x04_against_conflicts(spark, d):
     o = reconcile.reconcile(s, g)
     a = repair.generate_repairs(o, s, g, "state-1")
     c = reconcile.conflicts(o, s, g).withColumn("suggested_action", F.when(F.col("classification") == "missing_from_target", "none").otherwise(F.col("suggested_action")))
-    return repair.check_against_conflicts(a, c).join(a.select("repair_action_id", "canonical_key"), "repair_action_id").select("canonical_key", "rule")
+    return repair.check_against_conflicts(a, c).select("canonical_key", "rule")
 
 
 def _plans(spark: SparkSession, d: str) -> DataFrame:
@@ -441,7 +441,7 @@ def x13_action_counts(spark, d):
 @query(f"{INV} SELECT sku AS canonical_key FROM flags WHERE one AND (name_mismatch OR quantity_mismatch OR unit_price_mismatch OR updated_at_mismatch OR attributes_mismatch) AND (name_mismatch OR unit_price_mismatch OR updated_at_mismatch OR attributes_mismatch OR NOT quantity_mismatch)")
 def x14_mismatch_evidence(spark, d):
     a = _actions(spark, d).withColumn("mismatches", F.array(F.lit("quantity")))
-    return repair.check_mismatch_evidence(a).join(a.select("repair_action_id", "canonical_key"), "repair_action_id").select("canonical_key")
+    return repair.check_mismatch_evidence(a).select("canonical_key")
 
 
 @query("SELECT concat('rpl_', c_custkey) AS repair_plan_id, 'content' AS rule FROM customer UNION ALL SELECT concat('rpl_', c_custkey), 'approval' FROM customer WHERE c_custkey % 5 = 0 AND c_custkey % 2 = 0 UNION ALL SELECT DISTINCT concat('rpl_', o_custkey), 'repeated_conflict_id' FROM (SELECT o_custkey, o_orderkey % 500 FROM orders GROUP BY 1, 2 HAVING count(*) > 1) UNION ALL SELECT DISTINCT concat('rpl_', o_custkey), 'unknown_plan' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")

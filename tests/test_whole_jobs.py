@@ -5,6 +5,7 @@ import hashlib
 import os
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -112,3 +113,18 @@ def test_plans_without_actions_agree_with_sql(spark, tmp_path):
     rows = con.execute(entry.oracle_sql()["x10_plan_details"]).fetchall()
     assert ("rpl_2", "person 2", 0, None, 0) in rows
     assert sorted(map(str, map(tuple, entry.queries()["x10_plan_details"](spark, str(tmp_path)).collect()))) == sorted(map(str, rows))
+
+
+@pytest.mark.parametrize("name", ["x01_generate_repairs", "x02_check_actions", "x04_against_conflicts", "x08_idempotent_replay", "x14_mismatch_evidence", "f12_plan_content_fingerprint"])
+def test_repairs_send_no_inventory_to_the_driver(spark, sf_dir, name):
+    """Sides that grow with the tables meet by shuffles, however small their files are, and actions are derived once."""
+    plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Broadcast" not in plan
+
+
+def test_update_of_an_absent_row_expects_nothing(spark, sf_dir):
+    """Outcomes that tell an update of a key which the target no longer has give an action without a before, and that rule is told."""
+    s, g = catalog._sides(spark, sf_dir)
+    a = repair.generate_repairs(reconcile.reconcile(s, g), s, g.filter("false"), "f")
+    rows = a.filter("kind = 'update_target'").select("before_sha256", "expected_effect").distinct().collect()
+    assert [tuple(r) for r in rows] == [(None, None)] and {r["rule"] for r in repair.check_actions(a).select("rule").distinct().collect()} == {"update_without_before"}
