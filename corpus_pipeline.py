@@ -20,9 +20,9 @@ from crosstally.llm.toxicity import THRESHOLD, toxicity_column, train_toxicity
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter, texts that are like no learned language, and texts that are surely in another language than they state."""
+    """Rejects texts without a letter, texts that are like no learned language, and texts that are surely in another language than they state. Profiles and rule are learned from all rows."""
     long_rows(spark)
-    profiles = fit_profiles(docs)
+    profiles = fit_profiles(docs, max_docs_per_lang=None)
     rule = learn_rule(docs, profiles)
     return docs.filter(in_stated_language(F.col("lang").cast("string"), predict_language(F.col("text"), profiles), rule))
 

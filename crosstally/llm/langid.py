@@ -31,8 +31,8 @@ ROWS = 512
 #: Code points, and different trigrams, handled at once inside a task.
 CHUNK_CHARS, GRAMS = 300_000, 8192
 
-#: Letters from which a text is long enough to be judged by the pipeline's rule, and the size of that rule's sample.
-LETTERS, RULE_DOCS = 200, 5000
+#: Letters from which a text is long enough to be judged by the pipeline's rule, and the steps in which that rule's cosines are counted.
+LETTERS, STEPS = 200, 10_000
 #: Five times the spread of the cosine of unrelated vectors.
 CHANCE = 5 / DIMENSIONS**0.5
 
@@ -128,8 +128,8 @@ class Profiles:
     vectors: np.ndarray  # unit rows
 
 
-def fit_profiles(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs_per_lang: int = MAX_DOCS_PER_LANG) -> Profiles:
-    """Prototypes from at most max_docs_per_lang rows of each language (whole texts; those with the smallest hash of the key).
+def fit_profiles(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs_per_lang: int | None = MAX_DOCS_PER_LANG) -> Profiles:
+    """Prototypes from about max_docs_per_lang rows of each language (whole texts, chosen by the hash of the key), or from all rows if that is None.
 
     What reaches the driver is one vector for each language.
     """
@@ -137,8 +137,10 @@ def fit_profiles(rows: DataFrame, text: str = "text", lang: str = "lang", key: s
     n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not n:
         return Profiles([], np.zeros((0, DIMENSIONS), np.float32))
-    share = F.create_map(*[x for k, v in n.items() for x in (F.lit(k), F.lit(min(1.0, max_docs_per_lang / v)))])
-    some = rows.filter(F.pmod(F.xxhash64("key", F.lit("profile")), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    some = rows
+    if max_docs_per_lang is not None:
+        share = F.create_map(*[x for k, v in n.items() for x in (F.lit(k), F.lit(min(1.0, max_docs_per_lang / v)))])
+        some = rows.filter(F.pmod(F.xxhash64("key", F.lit("profile")), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
 
     def bundled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -198,14 +200,12 @@ class Rule:
     margin: float  # from which a prediction is sure
 
 
-def learn_rule(rows: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang", key: str = "doc_id", docs: int = RULE_DOCS) -> Rule:
-    """From about ``docs`` rows (a share of them by the key's hash) whose language is known and told rightly, of LETTERS letters or more:
-    half of the cosine, and of the margin, that 99 of 100 of them reach; and of the cosine CHANCE at least, which unrelated texts hardly reach."""
-    known = rows.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter("lang is not null")
-    share = min(1.0, docs / max(1, known.select("lang").count()))
-    some = known.filter((F.pmod(F.xxhash64("key", F.lit("rule")), F.lit(1_000_000)) < share * 1_000_000) & (F.length("text") >= LETTERS))
-    told = some.select("lang", predict_language(F.col("text"), profiles).alias("p")).filter((F.col("p.lang_pred") == F.col("lang")) & (F.col("p.letters") >= LETTERS))
-    low = told.agg(F.percentile_approx("p.score", 0.01, 1000).alias("score"), F.percentile_approx("p.margin", 0.01, 1000).alias("margin")).first()
+def learn_rule(rows: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang") -> Rule:
+    """From all rows whose language is known and told rightly, of LETTERS letters or more: half of the cosine, and of the margin, that 99 of
+    100 of them reach; and of the cosine CHANCE at least, which unrelated texts hardly reach. Both are counted in steps of 1 / STEPS, so a count is small."""
+    known = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter((F.col("lang").isNotNull()) & (F.length("text") >= LETTERS))
+    told = known.select("lang", predict_language(F.col("text"), profiles).alias("p")).filter((F.col("p.lang_pred") == F.col("lang")) & (F.col("p.letters") >= LETTERS))
+    low = told.agg(*[(F.percentile(F.floor(F.col(f"p.{c}") * STEPS), 0.01) / STEPS).alias(c) for c in ("score", "margin")]).first()
     return Rule(max(CHANCE, (low["score"] or 0.0) / 2), (low["margin"] or 0.0) / 2)
 
 

@@ -35,8 +35,6 @@ SEED = 42
 BLOCK = 2048
 #: Shingles whose bits are counted at once.
 _COUNTED = 65_536
-#: Kept ids that are sent to all tasks at most.
-MOST_SENT = 200_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -192,8 +190,8 @@ def keep_first(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is in kept(doc_id); all columns stay, whatever their names.
 
     Rows that repeat a doc_id are one document, of which one row stays: that with the smallest SHA-256 of its text (null first), then with
-    the smallest hash of its other columns. Rows with a null doc_id stay. Winners are chosen among digests; texts are filtered where they are
-    read if few ids are kept, and else move once, unsorted. Only rows that are equal in all of this are numbered.
+    the smallest hash of its other columns. Rows with a null doc_id stay. Winners are chosen among digests; texts move
+    once, unsorted, for any number of ids. Only rows that are equal in all of this are numbered.
     """
     others = [f.name for f in docs.schema if f.name != "text" and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     digest, rest = F.sha2("text", 256), F.xxhash64(*[named(c) for c in others])
@@ -203,8 +201,7 @@ def keep_first(docs: DataFrame, kept: DataFrame) -> DataFrame:
     best = Store(docs.sparkSession, "kept").put(best.join(kept.select(F.col("doc_id").alias(k)), k, "left_semi"))
 
     def of(winners: DataFrame) -> DataFrame:
-        few = winners.limit(MOST_SENT + 1).count() <= MOST_SENT
-        return docs.join(winners.hint("broadcast" if few else "shuffle_hash"), (F.col("doc_id") == F.col(k)) & digest.eqNullSafe(F.col(d)) & (rest == F.col(h)), "left_semi")
+        return docs.join(winners.hint("shuffle_hash"), (F.col("doc_id") == F.col(k)) & digest.eqNullSafe(F.col(d)) & (rest == F.col(h)), "left_semi")
 
     out = of(best.filter(F.col(n) == 1))
     if best.filter(F.col(n) > 1).limit(1).count():

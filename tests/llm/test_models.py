@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from crosstally.llm import langid, quality, toxicity
 from crosstally.llm.common import id_remainder, table
 
-from .helpers import documents, empty
+from .helpers import ENGLISH, FRENCH, documents, empty
 
 SF = "/root/testdata/sf0.01"
 LABELS = "doc_id long, quality int, toxic int, text string"
@@ -177,3 +177,24 @@ def test_language_awkward_rows(spark):
     none = langid.fit_profiles(empty(spark))
     assert documents(spark).select(langid.predict_language(F.col("text"), none)["lang_pred"].alias("l")).filter("l <> 'und'").count() == 0
     assert empty(spark).select(langid.predict_language(F.col("text"), profiles)).count() == 0
+
+
+def test_language_rule_of_all_rows(spark):
+    """Profiles and rule of 6 600 documents are those of all of them, not of a share."""
+    rng = random.Random(3)
+    words = {"en": ENGLISH.split(), "fr": FRENCH.split()}
+    rows = [(i, " ".join(rng.choices(words[k], k=rng.randint(60, 75))), k) for i in range(6600) for k in ["en" if i % 2 else "fr"]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = langid.fit_profiles(docs, max_docs_per_lang=None)
+    v, letters = langid.bundle([t for _, t, _ in rows])
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    english = np.array([k == "en" for *_, k in rows])
+    whole = np.stack([unit[english].sum(0), unit[~english].sum(0)])
+    whole /= np.linalg.norm(whole, axis=1, keepdims=True)
+    assert profiles.langs == ["en", "fr"] and profiles.vectors == pytest.approx(whole, abs=1e-5)
+    cosine = unit @ profiles.vectors.T
+    right = (letters >= langid.LETTERS) & ((cosine[:, 0] > cosine[:, 1]) == english)
+    score, margin = cosine.max(1)[right], np.abs(cosine[:, 0] - cosine[:, 1])[right]
+    rule = langid.learn_rule(docs, profiles)
+    steps = lambda x: np.percentile(np.floor(x * langid.STEPS), 1) / langid.STEPS / 2
+    assert rule.score == pytest.approx(max(langid.CHANCE, steps(score)), abs=1e-6) and rule.margin == pytest.approx(steps(margin), abs=1e-6)

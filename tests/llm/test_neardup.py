@@ -84,3 +84,11 @@ def test_equal_rows_and_rows_of_one_id(spark):
     assert [r[0] for r in got].count(None) == 2 and Counter(r[0] for r in got) == {1: 1, 2: 1, 3: 1, None: 2}
     assert (2, None, "x") in got and kept.columns == df.columns
     assert sorted(map(str, keep_first(df.repartition(1), df.select("doc_id").filter("doc_id < 4").distinct()).select(F.struct("*")).collect())) == sorted(map(str, keep_first(df.repartition(4), df.select("doc_id").filter("doc_id < 4").distinct()).select(F.struct("*")).collect()))
+
+
+def test_few_kept_ids_are_met_by_a_shuffle_like_many(spark):
+    """One plan for any number of ids, so what moves grows with the input and has no step."""
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    kept = keep_first(df, df.select("doc_id").filter("doc_id < 20"))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan and kept.count() == 20
