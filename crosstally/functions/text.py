@@ -29,13 +29,13 @@ def _is(condition: Column) -> Column:
 
 
 def _nfc(c: Column) -> Column:
-    """NFC form; Spark has no function for it. Texts of ASCII, which are in that form already, are not sent to Python's normaliser."""
+    """NFC form; Spark has no function for it. Texts of ASCII, which have as many bytes as letters and are in that form already, are not sent to Python."""
 
     @F.pandas_udf("string")
     def nfc(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: t if t.isascii() else unicodedata.normalize("NFC", t), na_action="ignore")
+        return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
-    return nfc(c)
+    return F.coalesce(nfc(F.when(F.length(c) < F.octet_length(c), c)), c)
 
 
 def _nfc_each(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import Store, remove, shared_dir  # noqa: F401  for the modules of this package
+from ..session import Store, long_rows, remove, shared_dir  # noqa: F401  for the modules of this package
 
 #: White space as the contracts define it (space, tab to carriage return).
 ASCII_WORD = r"[^\x20\x09-\x0D]+"
@@ -27,13 +27,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def long_rows(spark: SparkSession, n: int = 1000) -> None:
-    """Arrow batches of at most n rows: documents are long, and the default of 10 000 makes batches of tens of MB for each task."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > n:
-        spark.conf.set(key, str(n))
-
-
 def small_side(df: DataFrame, most: int = 200_000) -> DataFrame:
     """df, a stored side of short rows, marked for broadcast if it has been counted to have at most so many; else as it is, for a shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import artifacts, constraints, fingerprint, history, ingest, paging, reconcile, recovery, repair, runstats
 from ..schemas import CLASSES, WORK_TRANSITIONS
+from ..session import long_rows
 from . import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -973,7 +974,8 @@ def n08_duration(spark, d):
 @query("SELECT doc_id, text IS NULL AS missing, coalesce(regexp_matches(text, '^ | $|  |[\\t\\n\\x0B\\f\\r]'), false) AS spaced, coalesce(length(text) > 160 OR octet_length(encode(text)) > 320, false) AS long FROM documents")
 def n01_text_rules(spark, d):
     """Which whole documents break the rules of business texts; each rule by itself, as the canonical form tells only the first."""
-    docs = v.table(spark, d, "documents").select("doc_id", "text", t.normalize_text(F.col("text"), 10**9, 10**9, True).alias("n"), t.normalize_text(F.regexp_replace("text", r"\s+", "_")).alias("m"))
+    long_rows(spark)
+    docs = v.table(spark, d, "documents").select("doc_id", "text", t.normalize_text(F.col("text"), 10**9, 10**9, True).alias("n"))
     return docs.select("doc_id", (F.col("n.error").eqNullSafe(F.lit("missing"))).alias("missing"), F.coalesce(F.col("n.error") == "whitespace", F.lit(False)).alias("spaced"), F.coalesce((F.length("text") > 160) | (F.octet_length("text") > 320), F.lit(False)).alias("long"))
 
 

@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from crosstally.functions import text as t
 from crosstally.schemas import ID_PREFIXES
 
@@ -169,3 +170,13 @@ def test_paths(spark):
 def test_unknown_kind(spark):
     with pytest.raises(KeyError):
         t.valid_id(F.col("x"), "nothing")
+
+
+def test_only_texts_beyond_ascii_go_to_python(spark):
+    """n01: the normaliser gets no text that is in NFC form by its bytes, and long texts go in small batches."""
+    df = spark.createDataFrame([("plain",), ("e\u0301",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(t.normalize_text(F.col("t"), allow_empty=True)["value"]).collect()] == ["plain", "\u00e9", None, ""]
+    plan = df.select(t.normalize_text(F.col("t"))["value"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "octet_length" in plan.split("ArrowEvalPython")[1].split("\n")[0]
+    entry.queries()["n01_text_rules"](spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
