@@ -7,7 +7,9 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from crosstally.operators import artifacts
+from crosstally.plans import files
 from crosstally.schemas import NORMALIZED_SCHEMA
 from crosstally.sources import footers as ft
 from crosstally.sources import tables
@@ -76,3 +78,14 @@ def test_one_look_alike_among_many_files_is_refused_by_name(spark, tmp_path, cha
     with pytest.raises(ValueError, match="zz/part-") as refused:
         tables.read_normalized(spark, f"{at}/side")
     assert named in str(refused.value)
+
+
+def test_exports_have_as_many_files_as_rows_ask_for(spark, monkeypatch):
+    """s11: files are bounded in rows; the five parts of twelve files and the empty file have their digests."""
+    asked = []
+    export = tables.export_parquet
+    monkeypatch.setattr(files, "FILE_ROWS", 500)
+    monkeypatch.setattr(files.tables, "export_parquet", lambda df, at, *a: (asked.append((df.rdd.getNumPartitions(), df.count())), export(df, at, *a)))
+    got = {tuple(r) for r in entry.queries()["s11_artifact_files"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {("missing_file", 1), ("orphan_file", 1), ("invalid_file", 2), ("same_digest", 6)}
+    assert len(asked) == 1 and asked[0][0] == -(-asked[0][1] // 500) > 5
