@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
@@ -52,13 +52,25 @@ def _parts(spark: SparkSession, folder: str, schema: T.StructType, paths: list[s
     return spark.read.schema(full).option("basePath", folder).parquet(*paths) if paths else spark.createDataFrame([], full)
 
 
-def _write_parts(df: DataFrame, folder: str, number: int) -> None:
-    """As part=/batch=<number>; what an earlier try of the same batch wrote there is replaced."""
-    dealt = df.withColumn("batch", F.lit(number).cast("long")).hint("rebalance", "part")  # few files a part; a large part is split
+#: Rows of a part and batch that one task writes, a file each.
+FILE_ROWS = 100_000
+
+
+def _write_parts(df: DataFrame, folder: str, number: int, keys: Sequence[str]) -> None:
+    """As part=/batch=<number>; what an earlier try of the same batch wrote there is replaced.
+
+    A part has as many files as its rows ask for, by a hash of the keys; without that each task would write a file of every part. A rebalance hint
+    does nothing here, as streams run without adaptive execution.
+    """
+    pieces = {r["part"]: -(-r["n"] // FILE_ROWS) for r in df.groupBy("part").agg(F.count("*").alias("n")).collect()}  # PARTS rows at most
+    dealt = df.withColumn("batch", F.lit(number).cast("long"))
+    if pieces:
+        of_part = F.create_map(*[F.lit(x) for pair in pieces.items() for x in pair])[F.col("part")]
+        dealt = dealt.repartition(sum(pieces.values()), "part", F.pmod(F.xxhash64(*keys), of_part))
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(folder)
 
 
-#: Numbers of a run whose digests are one state.
+#: Numbers of a run whose digests were one state when Python kept it; state is by number now, and nothing reads this.
 BLOCK_NUMBERS = 256
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -69,53 +81,29 @@ def keyed_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
-def _unpacked(blob: bytes) -> dict[int, bytes]:
-    return {int.from_bytes(blob[i : i + 8], "big", signed=True): blob[i + 8 : i + 24] for i in range(0, len(blob), 24)}
-
-
-def _packed(known: dict[int, bytes]) -> bytes:
-    return b"".join(n.to_bytes(8, "big", signed=True) + d for n, d in sorted(known.items()))
-
-
 def stream_ingest(events: DataFrame, out: str, checkpoint: str, keys: Sequence[str] = ("run_id", "sequence_number")) -> StreamingQuery:
-    """Appends events to out/log once each; the same event again is left out, another one with a stored key goes to out/conflicts.
+    """Appends events to out/log once each; the same event again is left out, another one with a stored key goes to out/conflicts, once too.
 
-    State holds a digest for each number, BLOCK_NUMBERS of a run together, so a batch never looks at the log: fresh events read no more than
-    the blocks that they fall in, and a replay reads the blocks that it touches. Of different events with one new key, the one with the smallest digest
-    is stored. The log is only ever added to, by part of the run and batch; a batch that runs again after a failure has its old state and
-    writes the same rows in the same place. read_log() reads it.
+    Spark's own keyed state holds each key once by itself and once a digest of its events, so a batch never looks at the log and no row or group
+    passes through Python: what state lets through are the events that no batch had and the keys that no batch had. Of different events with
+    one new key, the one with the smallest digest is stored. The log is only ever added to, by part of the run and batch; a batch that runs again
+    after a failure has its old state and writes the same rows in the same place. read_log() reads it.
     """
-    run, seq = keys
     keyed_state(events.sparkSession)
-    rest = [c for c in events.columns if c not in keys]
+    names, rest = events.columns, [c for c in events.columns if c not in keys]
     digest = F.substring(F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in rest]), {"ignoreNullFields": "false"}), 256), 1, 32)
-    dealt = events.withColumn("block_", F.expr(f"`{seq}` div {BLOCK_NUMBERS}")).withColumn("digest_", digest)
-
-    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = _unpacked(state.get[0]) if state.exists else {}
-        before = len(known)
-        rows = pd.concat(list(batches), ignore_index=True).drop_duplicates([seq, "digest_"]).sort_values([seq, "digest_"])
-        told = []
-        for n, d in zip(rows[seq], rows["digest_"]):
-            d = bytes.fromhex(d)
-            told.append("new" if n not in known else "replay" if known[n] == d else "conflict")
-            known.setdefault(int(n), d)
-        if len(known) > before:
-            state.update((_packed(known),))
-        rows["disposition"] = told
-        yield rows.loc[rows["disposition"] != "replay", [*names, "disposition"]]
-
-    names = events.columns
-    schema = T.StructType([*events.schema.fields, T.StructField("disposition", T.StringType())])
-    kept = dealt.groupBy(run, "block_").applyInPandasWithState(step, schema, "known binary", "append", GroupStateTimeout.NoTimeout)
+    told = events.withColumn("digest_", F.unhex(digest)).unionByName(events.select(*keys), allowMissingColumns=True)  # a key by itself has no digest
+    of_key = Window.partitionBy(*keys).orderBy("digest_")  # and stands before its events
 
     def take(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("part", _part()).persist()
-        _write_parts(rows.filter("disposition = 'new'").drop("disposition"), f"{out}/log", number)
-        rows.filter("disposition = 'conflict'").select(*names).write.mode("overwrite").parquet(f"{out}/conflicts/batch={number}")
+        placed = batch.select("*", F.first(F.col("digest_").isNull()).over(of_key).alias("opened_"), F.row_number().over(of_key).alias("place_"))
+        rows = placed.filter("digest_ is not null").select(*names, F.expr("opened_ and place_ = 2").alias("new_"), _part().alias("part")).persist()
+        _write_parts(rows.filter("new_").drop("new_"), f"{out}/log", number, keys)
+        rows.filter("not new_").select(*names).write.mode("overwrite").parquet(f"{out}/conflicts/batch={number}")
         rows.unpersist()
 
-    return kept.writeStream.outputMode("append").foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    fresh = told.dropDuplicates([*keys, "digest_"])
+    return fresh.writeStream.outputMode("append").foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_log(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:

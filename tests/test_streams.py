@@ -6,6 +6,7 @@ import random
 import shutil
 
 import pytest
+from pyspark.sql import functions as F
 
 from crosstally.operators import history as hi
 from crosstally.schemas import OPS_SCHEMAS
@@ -58,6 +59,32 @@ def test_different_events_of_one_new_key(spark, tmp_path):
     assert len(log) == 2 and log | other == {(1, "x"), (1, "y"), (2, "k")} and len(other) == 1
 
 
+def test_ingestion_is_native_and_writes_a_file_a_part(spark, tmp_path):
+    """No group passes through Python, a batch writes one file a part however many tasks it has, and a conflict that comes again is left out."""
+    at, rows = f"file://{tmp_path}", [event(f"run_{i}", n) for i in range(300) for n in (1, 2, 3)]
+    other = [event("run_0", 2, "other"), event("run_1", 3, "other")]
+    for batch in (rows, rows + other, other + other[:1]):
+        spark.createDataFrame(batch, EVENTS).repartition(4).write.mode("append").parquet(f"{at}/log")
+        query = streams.stream_ingest(streams.stream_events(spark, f"{at}/log"), f"{at}/out", f"{at}/c")
+        query.awaitTermination()
+        assert [o["operatorName"] for o in query.lastProgress["stateOperators"]] == ["dedupe"]
+    assert sorted(map(tuple, streams.read_log(spark, f"{at}/out", EVENTS).select("run_id", "sequence_number", "kind").collect())) == sorted(r[:3] for r in rows)
+    parts = list((tmp_path / "out" / "log").glob("part=*"))
+    assert len(parts) == len(list((tmp_path / "out" / "log").rglob("*.parquet"))) > 32
+    conflicts = spark.read.schema(EVENTS).option("recursiveFileLookup", "true").parquet(f"{at}/out/conflicts").collect()
+    assert sorted((r["run_id"], r["sequence_number"]) for r in conflicts) == [("run_0", 2), ("run_1", 3)]
+
+
+def test_a_large_part_of_a_batch_is_many_tasks_work(spark, tmp_path):
+    df = spark.range(2500).select(F.lit("hot").alias("run_id"), F.col("id").alias("sequence_number"), F.lit(7).alias("part"))
+    streams.FILE_ROWS, before = 500, streams.FILE_ROWS
+    try:
+        streams._write_parts(df, f"file://{tmp_path}/log", 0, ["run_id", "sequence_number"])
+    finally:
+        streams.FILE_ROWS = before
+    assert len(list((tmp_path / "log").rglob("*.parquet"))) >= 3 and spark.read.parquet(f"file://{tmp_path}/log").count() == 2500
+
+
 def test_heads_are_written_in_proportion_to_the_batch(spark, tmp_path):
     """Twenty batches: each writes its own rows and a share of merges, few files stay, and a late lower version never wins."""
     at, schema = f"file://{tmp_path}", "run_id string, node_id string, partition_key string, version long"
