@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -28,6 +28,11 @@ def _is(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
+def _let(c: Column, then: Callable[[Column], Column]) -> Column:
+    """then(c), with c computed once however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(c), then), 1)
+
+
 def _nfc(c: Column) -> Column:
     """NFC form; Spark has no function for it. Texts of ASCII, which have as many bytes as letters and are in that form already, are not sent to Python."""
 
@@ -97,8 +102,8 @@ def money_from_decimal(amount: Column, currency: Column, exponent: Column) -> Co
     ok = F.coalesce(exponent.between(0, MAX_EXPONENT), F.lit(False)) & valid_currency(currency)
     value = amount.cast("string").try_cast("decimal(38,18)")
     scaled = F.when(ok, value * _pow10(F.when(ok, exponent).otherwise(F.lit(0))).cast("decimal(7,0)"))
-    units = F.when((scaled == F.floor(scaled)) & (F.abs(scaled) <= MAX_MINOR_UNITS), scaled.cast("long"))
-    return F.when(units.isNotNull(), F.struct(units.alias("units"), currency.alias("currency"), exponent.cast("tinyint").alias("exponent")))
+    units = _let(scaled, lambda s: F.when((s == F.floor(s)) & (F.abs(s) <= MAX_MINOR_UNITS), s.cast("long")))
+    return _let(units, lambda u: F.when(u.isNotNull(), F.struct(u.alias("units"), currency.alias("currency"), exponent.cast("tinyint").alias("exponent"))))
 
 
 def money_from_text(c: Column) -> Column:
@@ -126,15 +131,15 @@ _STAMP = r"\A([0-9]{4})-([0-9]{2})-([0-9]{2})T([0-9]{2}):([0-9]{2}):([0-9]{2})(?
 
 def parse_utc(c: Column) -> Column:
     """Timestamp of ISO-8601 text with an offset; null for any other text. Offsets go to +-23:59, and -00:00 is not one."""
-    part = lambda i: F.regexp_extract(c, _STAMP, i)
-    num = lambda i: part(i).try_cast("int")
-    zone = part(8)
+    num = lambda at, n=2: F.substring(c, at, n).try_cast("int")  # noqa: E731  # places are fixed where the shape fits, and nothing else counts
+    zone = F.when(F.substring(c, -1, 1) == "Z", "Z").otherwise(F.substring(c, -6, 6))
+    digits = F.when(F.substring(c, 20, 1) == ".", F.substring(c, F.lit(21), F.length(c) - F.length(zone) - 20)).otherwise("")
     off_h, off_m = F.substring(zone, 2, 2).try_cast("int"), F.substring(zone, 5, 2).try_cast("int")
     zone_ok = (zone == "Z") | ((off_h <= 23) & (off_m <= 59) & (zone != "-00:00"))
-    day = F.concat_ws("-", part(1), part(2), part(3)).try_cast("date")
-    ok = c.rlike(_STAMP) & zone_ok & day.isNotNull() & (num(1) >= 1) & (num(4) <= 23) & (num(5) <= 59) & (num(6) <= 59)
+    day = F.substring(c, 1, 10).try_cast("date")
+    ok = c.rlike(_STAMP) & zone_ok & day.isNotNull() & (num(1, 4) >= 1) & (num(12) <= 23) & (num(15) <= 59) & (num(18) <= 59)
     minutes = F.when(zone == "Z", 0).otherwise(F.when(F.substring(zone, 1, 1) == "-", -1).otherwise(1) * (off_h * 60 + off_m))
-    micros = (F.unix_date(day).cast("long") * 86_400 + num(4) * 3600 + num(5) * 60 + num(6) - minutes * 60) * 1_000_000 + F.rpad(part(7), 6, "0").try_cast("long")
+    micros = (F.unix_date(day).cast("long") * 86_400 + num(12) * 3600 + num(15) * 60 + num(18) - minutes * 60) * 1_000_000 + F.rpad(digits, 6, "0").try_cast("long")
     return F.when(_is(ok), F.timestamp_micros(micros))
 
 
@@ -162,6 +167,10 @@ def format_duration(us: Column) -> Column:
 
 def attribute_rules(items: Column) -> Column:
     """struct(value, error) of array<struct<key,value>> whose values are in NFC form."""
+    return _let(items, _attribute_rules)
+
+
+def _attribute_rules(items: Column) -> Column:
     total = F.aggregate(items, F.lit(0), lambda n, a: n + F.coalesce(F.octet_length(a["key"]), F.lit(0)) + F.coalesce(F.octet_length(a["value"]), F.lit(0)))
     fine = lambda k: _is(k.rlike(r"\A[a-z][a-z0-9]*(?:[_.-][a-z0-9]+)*\z") & (F.length(k) <= MAX_KEY_CHARS))
     error = (
@@ -172,7 +181,7 @@ def attribute_rules(items: Column) -> Column:
         .when(F.exists(items, lambda a: text_error(a["value"], MAX_VALUE_CHARS, MAX_VALUE_BYTES, allow_empty=True).isNotNull()), "value")
         .when(total > MAX_ATTRIBUTE_BYTES, "too_long")
     )
-    return F.struct(F.when(error.isNull(), F.array_sort(items)).alias("value"), error.alias("error"))
+    return _let(error, lambda e: F.struct(F.when(e.isNull(), F.array_sort(items)).alias("value"), e.alias("error")))
 
 
 def canonical_attributes(c: Column) -> Column:

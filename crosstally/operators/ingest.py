@@ -37,7 +37,8 @@ def _composed(name: Column, key: Column, values: Column) -> Column:
 
 def normalize_inventory(raw: DataFrame) -> DataFrame:
     """Typed columns of each payload, and ``errors``: the names of all rules that its row breaks."""
-    x = _once(raw.select("record_index", "connector_id", "source_record_key", "payload_json"), p=F.from_json("payload_json", _PAYLOAD))
+    rows = raw.select("record_index", "connector_id", "source_record_key", "payload_json").hint("rebalance")  # a small file has many rows, and its rows much work
+    x = _once(rows, p=F.from_json("payload_json", _PAYLOAD))
     attributes = F.coalesce(F.col("p.attributes"), F.create_map().cast("map<string,string>"))
     x = x.select("*", _composed(F.col("p.name"), F.col("source_record_key"), F.map_values(attributes)).alias("c"))
     items = F.zip_with(F.map_keys(attributes), F.col("c.values"), lambda k, v: F.struct(k.alias("key"), v.alias("value")))

@@ -128,3 +128,13 @@ def test_update_of_an_absent_row_expects_nothing(spark, sf_dir):
     a = repair.generate_repairs(reconcile.reconcile(s, g), s, g.filter("false"), "f")
     rows = a.filter("kind = 'update_target'").select("before_sha256", "expected_effect").distinct().collect()
     assert [tuple(r) for r in rows] == [(None, None)] and {r["rule"] for r in repair.check_actions(a).select("rule").distinct().collect()} == {"update_without_before"}
+
+
+def test_payloads_of_one_small_file_are_many_tasks_work(spark):
+    """A file of few bytes has many rows: they are dealt to all cores before they are parsed."""
+    from crosstally.operators import ingest
+
+    text = F.to_json(F.struct(F.lit("P-1").alias("sku"), F.sha2(F.col("id").cast("string"), 512).alias("name"), F.lit("1").alias("quantity")))
+    raw = spark.range(60_000).coalesce(1).select(F.col("id").alias("record_index"), F.lit("c").alias("connector_id"), F.lit("k").alias("source_record_key"), text.alias("payload_json"))
+    tasks = ingest.normalize_inventory(raw).select("record_index", F.spark_partition_id().alias("task")).groupBy("task").agg(F.count_distinct("record_index").alias("n")).collect()
+    assert len(tasks) > 1 and sum(r["n"] for r in tasks) == 60_000
