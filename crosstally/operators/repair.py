@@ -114,7 +114,7 @@ def apply_repairs(target: DataFrame, actions: DataFrame, ledger: DataFrame) -> t
 def apply_to_buckets(target: BucketStore, actions: DataFrame, ledger: DataFrame, tree: StateTree | None = None) -> tuple[int, DataFrame]:
     """apply_repairs on a stored target: only the buckets of the actions' keys are read and written; the new version's number and the ledger rows.
 
-    target must be dealt by ``sku``. tree, the stored fingerprint tree of the target's content, is brought up to date from the same buckets.
+    target must be dealt by ``sku``; actions are read several times, so they should be stored. tree, the stored fingerprint tree of the target's content, is brought up to date from the same buckets.
     """
     keys = actions.select(F.col("canonical_key").alias("sku"))
     touched = target.buckets_of(keys)

@@ -157,19 +157,18 @@ def p08_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return count(ingest.round_trip_differences(df, at), "round_trip").unionByName(count(damaged, "damaged"))
 
 
-def _stored_target(spark: SparkSession, d: str) -> tuple[BucketStore, fingerprint.StateTree, DataFrame]:
-    """The target in 64 buckets with its tree, and the repairs that its outcomes ask for."""
-    at, target = scratch(spark), v.inv_target(spark, d).select(*NORMALIZED_SCHEMA.names)
-    store, tree = BucketStore(spark, f"{at}/target", NORMALIZED_SCHEMA, hashed("sku", 64), 64), fingerprint.StateTree(spark, f"{at}/tree", "inventory")
+def _stored_target(spark: SparkSession, d: str) -> tuple[BucketStore, DataFrame]:
+    """The target in 64 buckets, and the repairs that its outcomes ask for, stored: rounds read them and derive nothing again."""
+    target = v.inv_target(spark, d).select(*NORMALIZED_SCHEMA.names)
+    store = BucketStore(spark, f"{scratch(spark)}/target", NORMALIZED_SCHEMA, hashed("sku", 64), 64)
     store.publish(target)
-    tree.create(store.read(), fingerprint.canonical_effect())
-    return store, tree, _actions(spark, d)
+    return store, Store(spark, "actions").put(_actions(spark, d))
 
 
 @query(f"WITH {v.SQL_INVENTORY}, act AS (SELECT sku FROM outcome WHERE classification IN ('missing_from_target', 'field_mismatch')) SELECT sku, name, quantity, units FROM tgt WHERE sku NOT IN (SELECT sku FROM act) UNION ALL SELECT sku, name, quantity, units FROM ref WHERE sku IN (SELECT sku FROM act)")
 def x07_bucketed_target(spark: SparkSession, d: str) -> DataFrame:
     """Every repair applied to a stored target, bucket by bucket, in two rounds."""
-    store, _, actions = _stored_target(spark, d)
+    store, actions = _stored_target(spark, d)
     some = F.col("canonical_key").like("%1")
     for part in (actions.filter(some), actions.filter(~some)):
         repair.apply_to_buckets(store, part, _ledger(spark))
@@ -179,7 +178,9 @@ def x07_bucketed_target(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {v.SQL_INVENTORY}, act AS (SELECT sku FROM outcome WHERE classification IN ('missing_from_target', 'field_mismatch') AND sku LIKE '%1'), t AS (SELECT sku FROM tgt WHERE sku NOT IN (SELECT sku FROM act) UNION ALL SELECT sku FROM ref WHERE sku IN (SELECT sku FROM act)) SELECT 'kept_up' AS what, count(*) AS n FROM t UNION ALL SELECT 'made_anew', count(*) FROM t UNION ALL SELECT 'fingerprints', 1")
 def f05_kept_up_to_date(spark: SparkSession, d: str) -> DataFrame:
     """The stored tree after the repairs of some keys, and the fingerprint made anew of the whole target: the same rows, one fingerprint."""
-    store, tree, actions = _stored_target(spark, d)
+    store, actions = _stored_target(spark, d)
+    tree = fingerprint.StateTree(spark, f"{scratch(spark)}/tree", "inventory")
+    tree.create(store.read(), fingerprint.canonical_effect())
     repair.apply_to_buckets(store, actions.filter("canonical_key like '%1'"), _ledger(spark), tree)
     both = tree.fingerprint().withColumn("what", F.lit("kept_up")).unionByName(fingerprint.inventory_fingerprint(store.read()).withColumn("what", F.lit("made_anew")))
     return both.select("what", "n").unionByName(both.select("fingerprint").distinct().agg(F.lit("fingerprints").alias("what"), F.count("*").alias("n")))

@@ -138,3 +138,11 @@ def test_payloads_of_one_small_file_are_many_tasks_work(spark):
     raw = spark.range(60_000).coalesce(1).select(F.col("id").alias("record_index"), F.lit("c").alias("connector_id"), F.lit("k").alias("source_record_key"), text.alias("payload_json"))
     tasks = ingest.normalize_inventory(raw).select("record_index", F.spark_partition_id().alias("task")).groupBy("task").agg(F.count_distinct("record_index").alias("n")).collect()
     assert len(tasks) > 1 and sum(r["n"] for r in tasks) == 60_000
+
+
+def test_rounds_of_repairs_read_stored_actions(spark, sf_dir):
+    """The stored target's actions are a table: neither round nor tree joins the inventories again to learn them."""
+    from crosstally.plans import files
+
+    actions = files._stored_target(spark, sf_dir)[-1]
+    assert "Join" not in actions._jdf.queryExecution().optimizedPlan().toString() and actions.count() == catalog._actions(spark, sf_dir).count() > 0
