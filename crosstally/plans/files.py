@@ -190,7 +190,7 @@ def f05_kept_up_to_date(spark: SparkSession, d: str) -> DataFrame:
 def p05_cut_batches(spark: SparkSession, d: str) -> DataFrame:
     """Three partitions of very different sizes cut into batches of 1 000 rows or 8 000 bytes of text: none breaks the limits, numbers follow the order, no row is lost."""
     li = v.table(spark, d, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_linestatus", F.expr("repeat('x', cast(l_quantity as int))").alias("note"))
-    cut = cut_batches(li, ["l_returnflag"], ["l_orderkey", "l_linenumber"], 1000, 8000)
+    cut = Store(spark, "cut").put(cut_batches(li, ["l_returnflag"], ["l_orderkey", "l_linenumber"], 1000, 8000))  # read four times
     broken = ingest.check_batch_limits(cut, ["l_returnflag", "batch"], 1000, 8000).select("l_returnflag", F.lit(1).alias("bad"))
     ends = cut.groupBy("l_returnflag", "batch").agg(F.min(F.struct("l_orderkey", "l_linenumber")).alias("first"), F.max(F.struct("l_orderkey", "l_linenumber")).alias("last"))
     after = ends.select("l_returnflag", (F.col("batch") + 1).alias("batch"), F.col("last").alias("before"))

@@ -11,6 +11,8 @@ from ..session import Store
 
 #: Limits of a file, and the rows of a row group.
 MAX_ROWS, MAX_BYTES, GROUP_ROWS = 100_000, 64 << 20, 65_536
+#: Rows of a range of the sort, about: the number of ranges grows with the table, what a task sorts doesn't.
+RANGE_ROWS = 250_000
 
 
 def text_bytes(df: DataFrame) -> Column:
@@ -31,15 +33,17 @@ def cut_batches(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_ro
     """
     keys, store = list(keys), Store(df.sparkSession, "batches")
     sized = df.withColumn("size_", text_bytes(df))
-    placed = store.put(sized.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("at_", F.monotonically_increasing_id())).withColumn("range_", F.shiftright("at_", 33))
-    longest = placed.agg(F.coalesce(F.max("size_"), F.lit(0))).first()[0]
+    total, longest = sized.agg(F.count("*"), F.coalesce(F.max("size_"), F.lit(0))).first()
     if longest > max_bytes:
         raise ValueError(f"a row has {longest} bytes of text, more than {max_bytes}")
+    n = -(-max(total, 1) // RANGE_ROWS)
+    placed = store.put(sized.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order).withColumn("at_", F.monotonically_increasing_id())).withColumn("range_", F.shiftright("at_", 33))
     here = Window.partitionBy(*keys, "range_").orderBy("at_").rowsBetween(Window.unboundedPreceding, -1)  # a range of the sort
     ahead = Window.partitionBy(*keys).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     sums = placed.groupBy(*keys, "range_").agg(F.count("*").alias("n_"), F.sum("size_").alias("b_"))
     sums = sums.select(*keys, "range_", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}before_") for c in ("n_", "b_")])
-    rows = placed.withColumn("n_", F.count("*").over(here)).withColumn("b_", F.coalesce(F.sum("size_").over(here), F.lit(0))).join(sums, [*keys, "range_"])
+    dealt = placed.repartition(n, *keys, "range_")  # a number of our own is kept, where Spark would put ranges together by their compressed bytes
+    rows = dealt.withColumn("n_", F.count("*").over(here)).withColumn("b_", F.coalesce(F.sum("size_").over(here), F.lit(0))).join(sums, [*keys, "range_"])
     room = max(1, max_bytes - longest)
     rows = rows.withColumn("cell_", F.struct(F.expr(f"(n_ + n_before_) div {max_rows}").alias("r"), F.expr(f"(b_ + b_before_) div {room}").alias("b")))
     cells = store.put(rows.groupBy(*keys, "cell_").agg(F.count("*").alias("rows_")))  # a row a batch

@@ -63,3 +63,14 @@ def test_pages_open_a_file_or_two(spark, tmp_path):
         assert [tuple(r) for r in batches.clustered_page(spark, f"{tmp_path}/c", df.schema, ["k", "n"], after).collect()] == want
         assert len(batches.clustered_files(spark, f"{tmp_path}/c", ["k", "n"], after, 100)) <= 2
         assert want == [tuple(r) for r in paging.page_frame(df, ["k", "n"], after).collect()]
+
+
+def test_ranges_have_bounded_rows(spark):
+    """A table of few bytes is cut by as many tasks as its rows ask for."""
+    batches.RANGE_ROWS, before = 100, batches.RANGE_ROWS
+    try:
+        cut = batches.cut_batches(spark.range(2000).select(F.lit("a").alias("k"), "id"), ["k"], ["id"], 50, 10_000)
+        tasks = cut.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
+    finally:
+        batches.RANGE_ROWS = before
+    assert sum(r["n"] for r in tasks) == 2000 and len(tasks) > 4 and max(r["n"] for r in tasks) < 1000
