@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import FIELDS, NORMALIZED_SCHEMA
+from ..session import Store
 from ..sources.buckets import BucketStore
-from .fingerprint import StateTree, canonical_effect, effect_digest, inventory_fingerprint, plan_content_fingerprint
+from .fingerprint import StateTree, canonical_effect, effect_digest, inventory_fingerprint, plan_content_fingerprint, state_leaf
 from .paging import ordered_blocks
 from .reconcile import reconcile, repairable
 
@@ -98,33 +99,49 @@ def apply_repairs(target: DataFrame, actions: DataFrame, ledger: DataFrame) -> t
     Actions whose external key is in the ledger already have no further effect. A row of the ledger says applied, or conflict when the
     target changed meanwhile (its row is kept as it is). Keys with several target rows are never updated. Applying twice changes nothing.
     """
+    verdict = _verdicts(target, actions, ledger)
+    return _applied(target, verdict), _entries(verdict)
+
+
+def _verdicts(target: DataFrame, actions: DataFrame, ledger: DataFrame, *told: Column) -> DataFrame:
+    """A row for each action that the ledger doesn't have as applied: whether it is ok, and of its key's target rows how many there are (null: none) and the least digest and told."""
     todo = actions.join(_met(ledger.filter("status = 'applied'").select("external_idempotency_key").distinct()), "external_idempotency_key", "left_anti")
     a = todo.select(F.col("canonical_key").alias("sku"), "repair_action_id", "external_idempotency_key", "kind", F.col("before_sha256").alias("before"), "after_sha256", "record")
-    rows = target.select("sku", F.struct(*NORMALIZED_SCHEMA.names).alias("row"), effect_digest().alias("now"))
-    state = rows.groupBy("sku").agg(F.count("*").alias("n"), F.min("now").alias("now"))
-    verdict = a.join(_met(state), "sku", "left").withColumn("ok", F.when(F.col("kind") == "create_target", F.col("n").isNull()).otherwise((F.col("n") == 1) & F.col("now").eqNullSafe(F.col("before"))))
-    verdict = verdict.withColumn("ok", F.coalesce("ok", F.lit(False)))
+    rows = target.select("sku", effect_digest().alias("now"), *told)
+    state = rows.groupBy("sku").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in rows.columns[1:]])
+    ok = F.when(F.col("kind") == "create_target", F.col("n").isNull()).otherwise((F.col("n") == 1) & F.col("now").eqNullSafe(F.col("before")))
+    return a.join(_met(state), "sku", "left").withColumn("ok", F.coalesce(ok, F.lit(False)))
+
+
+def _applied(target: DataFrame, verdict: DataFrame) -> DataFrame:
+    """The target with the records of the actions that are ok."""
     done = verdict.filter("ok").select("sku", F.col("record").alias("new_row"))
-    joined = rows.select("sku", "row").join(done, "sku", "full_outer")
-    new_target = joined.select(F.coalesce("new_row", "row").alias("r")).select("r.*")
-    entries = verdict.select("external_idempotency_key", "repair_action_id", F.when(F.col("ok"), "applied").otherwise("conflict").alias("status"), F.col("now").alias("found_sha256"), "after_sha256")
-    return new_target, entries
+    joined = target.select("sku", F.struct(*NORMALIZED_SCHEMA.names).alias("row")).join(done, "sku", "full_outer")
+    return joined.select(F.coalesce("new_row", "row").alias("r")).select("r.*")
+
+
+def _entries(verdict: DataFrame) -> DataFrame:
+    return verdict.select("external_idempotency_key", "repair_action_id", F.when(F.col("ok"), "applied").otherwise("conflict").alias("status"), F.col("now").alias("found_sha256"), "after_sha256")
 
 
 def apply_to_buckets(target: BucketStore, actions: DataFrame, ledger: DataFrame, tree: StateTree | None = None) -> tuple[int, DataFrame]:
     """apply_repairs on a stored target: only the buckets of the actions' keys are read and written; the new version's number and the ledger rows.
 
-    target must be dealt by ``sku``; actions are read several times, so they should be stored. tree, the stored fingerprint tree of the target's content, is brought up to date from the same buckets.
+    target must be dealt by ``sku``; actions are read several times, so they should be stored. Verdicts are found once and stored. tree, the stored
+    fingerprint tree of the target's content, is brought up to date from them: they tell the leaf of each row that was replaced, so no row is
+    read or moved for it.
     """
-    keys = actions.select(F.col("canonical_key").alias("sku"))
-    touched = target.buckets_of(keys)
+    touched = target.buckets_of(actions.select(F.col("canonical_key").alias("sku")))
     before = target.read(touched)
-    after, entries = apply_repairs(before, actions, ledger)
-    version = target.publish(after, touched)
+    leaf = [state_leaf(canonical_effect(), tree.scope).alias("leaf")] if tree else []
+    verdict = Store(target.spark, "verdicts").put(_verdicts(before, actions, ledger, *leaf))
+    version = target.publish(_applied(before, verdict), touched)
     if tree:
-        old, new = (df.join(keys.distinct(), "sku", "left_semi") for df in (before, target.read(touched)))
-        tree.update(old, new, canonical_effect())
-    return version, entries
+        done = verdict.filter("ok")
+        gone = done.filter("n = 1").select("sku", "leaf").distinct()  # a row goes once, however many actions replace it
+        new = done.select(state_leaf(canonical_effect("record."), tree.scope).alias("leaf"), F.lit(1).alias("n"))
+        tree.change(gone.select("leaf", F.lit(-1).alias("n")).unionByName(new))
+    return version, _entries(verdict)
 
 
 def replay_conflicts(ledger: DataFrame, results: DataFrame) -> DataFrame:
